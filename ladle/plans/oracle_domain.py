@@ -178,4 +178,7 @@ def with_domain(body: str) -> str:
     if not order:
         return body.strip()
     ctes = ",\n".join(f"{n} as ({DOMAIN_CTES[n].strip()})" for n in order)
-    return f"with {ctes}\n{body.strip()}"
+    body = body.strip()
+    if body[:5].lower() == "with ":
+        return f"with {ctes},\n{body[5:]}"
+    return f"with {ctes}\n{body}"
