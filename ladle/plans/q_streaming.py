@@ -1,7 +1,67 @@
-"""Registered queries."""
+"""Registered streaming queries (X1-X8): the final answer of each stream
+after all available input, checked against the batch twin's SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.money import money
+from ..streaming import streams as X
 from .catalog import query
+
+
+@query("stream_admin_kpis", oracle="select order_type, status, count(*) orders from all_orders group by 1, 2")
+def _x1(d):
+    return X.stream_admin_kpis(d.spark, d.sf_dir)
+
+
+@query("stream_manager_stats", oracle="""
+select restaurant_id, count(*) total_orders,
+  cast(coalesce(sum(case when status = 'Delivered' then cast(total_amount as decimal(18,2)) end), 0) as double) revenue
+from food_orders group by restaurant_id""")
+def _x2(d):
+    lines = d.food_orders.select((F.col("id") / 100_000).cast("bigint").alias("ok"), "restaurant_id",
+                                 money("total_amount").alias("total"))
+    return X.stream_manager_stats(d.spark, d.sf_dir, lines)
+
+
+@query("stream_available_orders", oracle="""
+select ok, order_type, customer_id from all_orders where status = 'Confirmed'""")
+def _x3(d):
+    return X.stream_available_orders(d.spark, d.sf_dir)
+
+
+@query("stream_unread", oracle="""
+select sender_id contact_id, count(*) unread from messages where receiver_id = -1 and is_read = 0 group by 1""")
+def _x4(d):
+    return X.stream_unread(d.spark, d.sf_dir)
+
+
+@query("stream_loyalty", oracle="select customer_id, total_points, lifetime_points from loyalty_points")
+def _x5(d):
+    return X.stream_loyalty(d.spark, d.sf_dir)
+
+
+@query("stream_order_status", oracle="""
+select order_id, status from (select l_orderkey * 100000 + l_suppkey order_id,
+    case when l_linestatus = 'F' then 'Delivered' else 'Out for Delivery' end status,
+    row_number() over (partition by l_orderkey * 100000 + l_suppkey order by l_shipdate desc, l_linenumber desc,
+      l_partkey desc, case when l_linestatus = 'F' then 'Delivered' else 'Out for Delivery' end desc) rn
+  from lineitem where l_orderkey % 4 <> 0) x where rn = 1""")
+def _x6(d):
+    return X.stream_order_status(d.spark, d.sf_dir)
+
+
+@query("stream_audit", oracle="""
+select a.id, a.user_id, a.action, coalesce(u.name, 'System') user_name
+from audit_log a left join users u on a.user_id = u.id""")
+def _x7(d):
+    return X.stream_audit(d.spark, d.sf_dir, d.users)
+
+
+@query("stream_ratings", oracle="""
+select restaurant_id, count(*) n, cast(floor((sum(rating) * 20 + count(*)) / (count(*) * 2)) as double) / 10 rating
+from reviews group by restaurant_id""")
+def _x8(d):
+    n = d.raw("supplier").count()
+    return X.stream_ratings(d.spark, d.sf_dir, n)
