@@ -193,17 +193,22 @@ def settle(requests: DataFrame, menu_items: DataFrame, produce_items: DataFrame,
 
     static_ok = F.col("item_error").isNull() & ~(
         F.col("promo_code").isNotNull() & (F.col("promo_code") != "") & F.col("promo_id").isNull())
-    state = _ckpt(base.select(*KEY, static_ok.alias("accepted")))
+    # The round table carries the current decision as a column: no per-round
+    # join back to a separate decision table, and the change count is a filter.
+    base_cols = base.columns
+    cur = _ckpt(base.withColumn("accepted", static_ok))
 
     for rnd in range(1, max_rounds + 1):
-        s = base.join(state, KEY)
         acc = F.col("accepted")
-        promo_run = running_sum(s.where(F.col("promo_id").isNotNull()), ["promo_id"], ORDER,
+        promo_run = running_sum(cur.where(F.col("promo_id").isNotNull()), ["promo_id"], ORDER,
                                 F.when(acc, 1).otherwise(0).cast("bigint"), "uses_before") \
             .select(*KEY, "uses_before")
-        loy_run = running_sum(s, ["customer_id"], ORDER, F.when(acc, F.col("delta")).otherwise(0), "delta_before") \
-            .select(*KEY, "delta_before")
-        sq = stock_q.join(state, KEY)
+        # Only rows that move a balance (accepted, non-zero delta) or need it
+        # (a redemption) take part in the loyalty running sum.
+        loy_in = cur.where((acc & (F.col("delta") != 0)) | (F.col("loyalty_discount") > 0))
+        loy_run = running_sum(loy_in, ["customer_id"], ORDER, F.when(acc, F.col("delta")).otherwise(0),
+                              "delta_before").select(*KEY, "delta_before")
+        sq = stock_q.join(cur.select(*KEY, "accepted"), KEY)
         stock_run = running_sum(sq, ["produce_id"], ORDER,
                                 F.when(acc, F.col("q")).otherwise(F.lit(0).cast("decimal(18,1)")), "used_before")
         stock_before = stock_run.select(
@@ -214,19 +219,20 @@ def settle(requests: DataFrame, menu_items: DataFrame, produce_items: DataFrame,
                     .select(*KEY, "pos", produce_line_error(F.col("quantity_kg"), F.col("stock_before")).alias("e"))
                     .where(F.col("e").isNotNull())
                     .groupBy(*KEY).agg(F.min_by("e", "pos").alias("line_error")))
-        d = (base.join(promo_run, KEY, "left").join(loy_run, KEY, "left").join(line_err, KEY, "left"))
+        d = (cur.join(promo_run, KEY, "left").join(loy_run, KEY, "left").join(line_err, KEY, "left"))
         available = F.col("bal0") + F.coalesce(F.col("delta_before"), F.lit(0))
         uses = F.coalesce(F.col("used0"), F.lit(0)) + F.coalesce(F.col("uses_before"), F.lit(0))
         error = F.coalesce(F.col("item_error"), F.col("line_error"),
                            promo_error(F.col("promo_code"), F.col("promo_id").isNotNull(), uses, F.col("max_uses")),
                            loyalty_error(F.col("loyalty_discount"), available))
-        new = _ckpt(d.select(*KEY, error.isNull().alias("accepted"), error.alias("error"),
-                             available.alias("points_before")))
-        changed = (new.join(state.withColumnRenamed("accepted", "_prev"), KEY)
-                   .where(F.col("accepted") != F.col("_prev")).count())
-        state = new
+        new = _ckpt(d.select(*base_cols, error.isNull().alias("accepted"), error.alias("error"),
+                             F.when(F.col("loyalty_discount") > 0, available).alias("points_before"),
+                             F.col("accepted").alias("_prev")))
+        changed = new.where(F.col("accepted") != F.col("_prev")).count()
         if changed == 0:
-            return Settlement(priced, state, stock_q, rnd)
+            decisions = new.select(*KEY, "accepted", "error", "points_before")
+            return Settlement(priced, decisions, stock_q, rnd)
+        cur = new.select(*base_cols, "accepted")
     raise RuntimeError(f"settlement did not reach a stable set in {max_rounds} rounds")
 
 
