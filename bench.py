@@ -5,7 +5,8 @@ on ``local[$BENCH_CPUS]`` and prints one JSON line.  Each query is fully
 materialised with the ``noop`` sink (no driver collect); the figure is the
 median of ``$BENCH_REPEAT`` warm runs (the first run warms the JVM and the
 file cache and is not counted).  The settlement runs its fixpoint once per
-repetition (the per-session cache is cleared).
+repetition (the per-session cache is cleared) and is repeated
+``$BENCH_SETTLE_REPEAT`` times (default 1: one run is ~100 s at sf0.1).
 """
 
 from __future__ import annotations
@@ -37,6 +38,7 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     repeat = int(os.environ.get("BENCH_REPEAT", "3"))
+    settle_repeat = int(os.environ.get("BENCH_SETTLE_REPEAT", "1"))
     from ladle.plans import q_settlement
     from ladle.plans.catalog import as_callables
     from ladle.session import local_session
@@ -46,7 +48,8 @@ def main() -> None:
     times: dict[str, float] = {}
     for name in HEADLINE:
         runs = []
-        for i in range(repeat + 1):
+        n = settle_repeat if name.startswith("settle") else repeat
+        for i in range(n + 1):
             q_settlement._CACHE.clear()
             t0 = time.perf_counter()
             qs[name](spark, sf_dir).write.format("noop").mode("overwrite").save()

@@ -26,6 +26,8 @@ so lineage stays one round deep and a lost executor recomputes one round.
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -162,12 +164,60 @@ def _ckpt(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager=eager)
 
 
+COUNTER = "decimal(20,1)"
+PROMO, LOYALTY, STOCK = 0, 1, 2
+
+
+def _counter_rows(base: DataFrame, pl: DataFrame) -> DataFrame:
+    """One row per (request, shared counter) the request reads or moves:
+    promo uses per code, loyalty balance per customer, stock per item.
+    ``v`` is what the request adds when accepted."""
+    def typed(df: DataFrame, ctype: int, ckey: Column, v: Column, **extra: Column) -> DataFrame:
+        cols = {
+            "promo_code": F.lit(None).cast("string"), "max_uses": F.lit(None).cast("int"),
+            "used0": F.lit(None).cast("int"), "loyalty_discount": F.lit(None).cast("double"),
+            "bal0": F.lit(None).cast("bigint"), "_s0": F.lit(None).cast("double"),
+            "_pavail": F.lit(None).cast("int"), "_pname": F.lit(None).cast("string"),
+            "lines": F.lit(None).cast("array<struct<pos:int,qty:double>>"),
+        }
+        cols.update(extra)
+        return df.select(*KEY, "requested_at", F.lit(ctype).alias("ctype"), ckey.cast("bigint").alias("ckey"),
+                         v.cast(COUNTER).alias("v"), *[c.alias(n) for n, c in cols.items()])
+
+    promo = typed(base.where(F.col("promo_id").isNotNull()), PROMO, F.col("promo_id"), F.lit(1),
+                  promo_code=F.col("promo_code"), max_uses=F.col("max_uses").cast("int"),
+                  used0=F.col("used0").cast("int"))
+    loyalty = typed(base.where((F.col("delta") != 0) | (F.col("loyalty_discount") > 0)), LOYALTY,
+                    F.col("customer_id"), F.col("delta"),
+                    loyalty_discount=F.col("loyalty_discount"), bal0=F.col("bal0"))
+    per_item = (pl.where(F.col("produce_id").isNotNull())
+                .groupBy(*KEY, "requested_at", "produce_id", "_s0", "_pavail", "_pname")
+                .agg(F.sum(F.col("quantity_kg").cast("decimal(18,1)")).alias("q"),
+                     F.array_sort(F.collect_list(F.struct(F.col("pos").cast("int").alias("pos"),
+                                                          F.col("quantity_kg").alias("qty")))).alias("lines")))
+    stock = typed(per_item, STOCK, F.col("produce_id"), F.col("q"), _s0=F.col("_s0"),
+                  _pavail=F.col("_pavail").cast("int"), _pname=F.col("_pname"), lines=F.col("lines"))
+    return promo.unionByName(loyalty).unionByName(stock)
+
+
 def settle(requests: DataFrame, menu_items: DataFrame, produce_items: DataFrame, promo_codes: DataFrame,
-           loyalty_points: DataFrame, max_rounds: int = 60, ui_adds_fee: bool = True) -> Settlement:
+           loyalty_points: DataFrame, max_rounds: int = 60, ui_adds_fee: bool = True,
+           log=None) -> Settlement:
     """Settle food and produce requests together (S8, S9) -- they share promo
     counters and loyalty balances.  Start-of-batch state comes from the given
     tables (``promo_codes.used_count``, ``loyalty_points.total_points``,
-    ``produce_items.stock_kg``)."""
+    ``produce_items.stock_kg``).  ``log(stage, changed, seconds)`` is called
+    after the preparation and after every round.
+
+    Per round: the counter rows take the current decisions (one join on the
+    request key), ONE two-level running sum over ``(counter type, key)``
+    gives every row its "before" value, and one aggregate per request turns
+    them into the first error.  Requests touching no shared counter are
+    decided statically."""
+    t0 = time.perf_counter()
+    # The request plan feeds pricing, item validation and the stock lines:
+    # materialise it once instead of re-deriving it three times.
+    requests = _ckpt(requests)
     priced = price_requests(requests, ui_adds_fee)
     promos = promo_codes.select(F.col("code").alias("promo_code"), F.col("id").alias("promo_id"),
                                 F.col("max_uses"), F.col("used_count").alias("used0"),
@@ -175,64 +225,74 @@ def settle(requests: DataFrame, menu_items: DataFrame, produce_items: DataFrame,
     promos = promos.where("active").drop("active")
     bal = loyalty_points.select(F.col("customer_id"), F.col("total_points").alias("bal0"))
     food_err = validate_food_items(requests, menu_items)
+    pl = produce_lines(requests, produce_items)
+    not_found = (pl.where(F.col("produce_id").isNull()).groupBy(*KEY).agg(
+        F.min_by(F.format_string("Produce item %d not found", F.col("item_id")), F.col("pos")).alias("nf_error"),
+        F.min("pos").alias("nf_pos")))
 
     base = (priced.select(*KEY, "requested_at", "customer_id", "promo_code", "loyalty_discount",
                           "points_earned", "redeem_points")
             .join(promos, "promo_code", "left")
             .join(bal, "customer_id", "left")
             .join(food_err, KEY, "left")
+            .join(not_found, KEY, "left")
             .withColumn("bal0", F.coalesce("bal0", F.lit(0)).cast("bigint"))
             .withColumn("delta", F.col("points_earned") - F.col("redeem_points")))
-    base = _ckpt(base)
-    pl = _ckpt(produce_lines(requests, produce_items))
-    # Per (request, item) quantity: an order's lines of one item deduct together.
-    stock_q = (pl.where(F.col("produce_id").isNotNull())
-               .groupBy(*KEY, "requested_at", "produce_id", "_s0")
-               .agg(F.sum(F.col("quantity_kg").cast("decimal(18,1)")).alias("q")))
-    stock_q = _ckpt(stock_q)
-
-    static_ok = F.col("item_error").isNull() & ~(
+    base = _ckpt(base.repartition(*KEY))
+    crow = _ckpt(_counter_rows(base, pl).repartition(*KEY))
+    stock_q = crow.where(F.col("ctype") == STOCK).select(
+        *KEY, "requested_at", F.col("ckey").alias("produce_id"), "_s0", F.col("v").cast("decimal(18,1)").alias("q"))
+
+    static_ok = F.col("item_error").isNull() & F.col("nf_error").isNull() & ~(
         F.col("promo_code").isNotNull() & (F.col("promo_code") != "") & F.col("promo_id").isNull())
-    # The round table carries the current decision as a column: no per-round
-    # join back to a separate decision table, and the change count is a filter.
-    base_cols = base.columns
-    cur = _ckpt(base.withColumn("accepted", static_ok))
+    state = _ckpt(base.select(*KEY, static_ok.alias("accepted")))
+    if log:
+        log("prepare", None, time.perf_counter() - t0)
 
     for rnd in range(1, max_rounds + 1):
+        t0 = time.perf_counter()
+        rows = crow.join(state, KEY)
         acc = F.col("accepted")
-        promo_run = running_sum(cur.where(F.col("promo_id").isNotNull()), ["promo_id"], ORDER,
-                                F.when(acc, 1).otherwise(0).cast("bigint"), "uses_before") \
-            .select(*KEY, "uses_before")
-        # Only rows that move a balance (accepted, non-zero delta) or need it
-        # (a redemption) take part in the loyalty running sum.
-        loy_in = cur.where((acc & (F.col("delta") != 0)) | (F.col("loyalty_discount") > 0))
-        loy_run = running_sum(loy_in, ["customer_id"], ORDER, F.when(acc, F.col("delta")).otherwise(0),
-                              "delta_before").select(*KEY, "delta_before")
-        sq = stock_q.join(cur.select(*KEY, "accepted"), KEY)
-        stock_run = running_sum(sq, ["produce_id"], ORDER,
-                                F.when(acc, F.col("q")).otherwise(F.lit(0).cast("decimal(18,1)")), "used_before")
-        stock_before = stock_run.select(
-            *KEY, "produce_id",
-            F.greatest(F.lit(0).cast("decimal(18,1)"), F.col("_s0").cast("decimal(18,1)") - F.col("used_before"))
-            .cast("double").alias("stock_before"))
-        line_err = (pl.join(stock_before, [*KEY, "produce_id"], "left")
-                    .select(*KEY, "pos", produce_line_error(F.col("quantity_kg"), F.col("stock_before")).alias("e"))
-                    .where(F.col("e").isNotNull())
-                    .groupBy(*KEY).agg(F.min_by("e", "pos").alias("line_error")))
-        d = (cur.join(promo_run, KEY, "left").join(loy_run, KEY, "left").join(line_err, KEY, "left"))
-        available = F.col("bal0") + F.coalesce(F.col("delta_before"), F.lit(0))
-        uses = F.coalesce(F.col("used0"), F.lit(0)) + F.coalesce(F.col("uses_before"), F.lit(0))
-        error = F.coalesce(F.col("item_error"), F.col("line_error"),
-                           promo_error(F.col("promo_code"), F.col("promo_id").isNotNull(), uses, F.col("max_uses")),
-                           loyalty_error(F.col("loyalty_discount"), available))
-        new = _ckpt(d.select(*base_cols, error.isNull().alias("accepted"), error.alias("error"),
-                             F.when(F.col("loyalty_discount") > 0, available).alias("points_before"),
-                             F.col("accepted").alias("_prev")))
-        changed = new.where(F.col("accepted") != F.col("_prev")).count()
+        rs = running_sum(rows, ["ctype", "ckey"], ORDER,
+                         F.when(acc, F.col("v")).otherwise(F.lit(0).cast(COUNTER)), "before")
+        ctype = F.col("ctype")
+        # stock: the first line (list order) that fails against the pre-order stock
+        sb = F.greatest(F.lit(0).cast("decimal(18,1)"),
+                        F.col("_s0").cast("decimal(18,1)") - F.col("before")).cast("double")
+        over = F.try_element_at(F.filter("lines", lambda ln: ln["qty"] > sb), F.lit(1))
+        out = (F.coalesce(F.col("_pavail"), F.lit(0)) == 0) | (sb <= 0)
+        s_pos = F.when(out, F.try_element_at("lines", F.lit(1))["pos"]).otherwise(over["pos"])
+        s_err = (F.when(out, F.format_string("Produce item '%s' is currently out of stock", F.col("_pname")))
+                 .when(over.isNotNull(),
+                       F.concat(F.lit("Not enough stock for '"), F.col("_pname"), F.lit("' — requested "),
+                                over["qty"].cast("string"), F.lit("kg, only "), sb.cast("string"),
+                                F.lit("kg available"))))
+        uses = (F.col("used0") + F.col("before")).cast("bigint")
+        avail_pts = (F.col("bal0") + F.col("before")).cast("bigint")
+        per = rs.select(
+            *KEY, acc,
+            F.when(ctype == STOCK, s_err).alias("s_err"),
+            F.when((ctype == STOCK) & s_err.isNotNull(), s_pos).alias("s_pos"),
+            F.when(ctype == PROMO, promo_error(F.col("promo_code"), F.lit(True), uses, F.col("max_uses")))
+            .alias("p_err"),
+            F.when(ctype == LOYALTY, loyalty_error(F.col("loyalty_discount"), avail_pts)).alias("l_err"),
+            F.when((ctype == LOYALTY) & (F.col("loyalty_discount") > 0), avail_pts).alias("pts"))
+        agg = per.groupBy(*KEY).agg(
+            F.min_by("s_err", "s_pos").alias("line_err"), F.min("s_pos").alias("line_pos"),
+            F.max("p_err").alias("promo_err"), F.max("l_err").alias("loy_err"),
+            F.max("pts").alias("points_before"), F.max(acc.cast("int")).alias("_prev"))
+        d = base.join(agg, KEY, "left")
+        nf_first = F.col("nf_pos").isNotNull() & (F.col("line_pos").isNull() | (F.col("nf_pos") < F.col("line_pos")))
+        line_error = F.when(nf_first, F.col("nf_error")).otherwise(F.col("line_err"))
+        static_promo = promo_error(F.col("promo_code"), F.col("promo_id").isNotNull(), F.lit(0), F.lit(1))
+        error = F.coalesce(F.col("item_error"), line_error, F.col("promo_err"), static_promo, F.col("loy_err"))
+        new = _ckpt(d.select(*KEY, error.isNull().alias("accepted"), error.alias("error"), "points_before", "_prev"))
+        changed = new.where(F.col("_prev").isNotNull() & (F.col("accepted").cast("int") != F.col("_prev"))).count()
+        state = new.select(*KEY, "accepted")
+        if log:
+            log(f"round {rnd}", changed, time.perf_counter() - t0)
         if changed == 0:
-            decisions = new.select(*KEY, "accepted", "error", "points_before")
-            return Settlement(priced, decisions, stock_q, rnd)
-        cur = new.select(*base_cols, "accepted")
+            return Settlement(priced, new.drop("_prev"), stock_q, rnd)
     raise RuntimeError(f"settlement did not reach a stable set in {max_rounds} rounds")
 
 

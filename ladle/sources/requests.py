@@ -69,28 +69,28 @@ def derived_requests(d) -> DataFrame:
     promo code is the one the order carried; every ``LOYALTY_EVERY``-th
     request redeems ``LOYALTY_REDEEM`` points.
     """
+    # Promo codes: one per nation (25 rows by construction), so broadcast.
     promos = d.promo_codes.select(F.col("id").alias("promo_id"), "code", "discount_type", "discount_value")
-    ao = d.all_orders.select("ok", "promo_id")
 
-    food_lines = (d.order_items.groupBy("order_id").agg(
+    # One pass over the lines per family: the item array and the subtotal come
+    # from the same aggregate, joined straight to the orders (the order
+    # tables would aggregate the same lines a second time).
+    food = (d.order_items.groupBy("order_id").agg(
         F.array_sort(F.collect_list(F.struct(F.col("item_id"), F.col("quantity").cast("double").alias("quantity"),
                                              F.col("unit_price")))).alias("items"),
-        F.sum(money("unit_price") * F.col("quantity")).alias("sub")))
-    food = (d.food_orders.select("id", "customer_id", "restaurant_id", "created_at", "payment_method")
-            .join(food_lines, F.col("id") == F.col("order_id"))
-            .join(ao, (F.col("id") / 100_000).cast("bigint") == F.col("ok"))
-            .select(F.col("id").alias("request_id"), F.col("created_at").alias("requested_at"),
-                    F.lit("food").alias("order_type"), "customer_id", "restaurant_id", "sub", "payment_method",
+        F.sum(money("unit_price") * F.col("quantity")).alias("sub"))
+            .join(d.all_orders, (F.col("order_id") / 100_000).cast("bigint") == F.col("ok"))
+            .select(F.col("order_id").alias("request_id"), F.col("created_at").alias("requested_at"),
+                    F.lit("food").alias("order_type"), "customer_id",
+                    (F.col("order_id") % 100_000).alias("restaurant_id"), "sub", "payment_method",
                     "promo_id", "items"))
-    prod_lines = (d.produce_order_items.groupBy("order_id").agg(
+    prod = (d.produce_order_items.groupBy("order_id").agg(
         F.array_sort(F.collect_list(F.struct(F.col("produce_id").alias("item_id"),
                                              F.col("quantity_kg").alias("quantity"), F.col("unit_price")))).alias("items"),
         F.sum((money(F.col("quantity_kg").cast("decimal(18,1)")) * money("unit_price")).cast("decimal(18,2)"))
-        .alias("sub")))
-    prod = (d.produce_orders.select("id", "customer_id", "created_at", "payment_method")
-            .join(prod_lines, F.col("id") == F.col("order_id"))
-            .join(ao, F.col("id") == F.col("ok"))
-            .select(F.col("id").alias("request_id"), F.col("created_at").alias("requested_at"),
+        .alias("sub"))
+            .join(d.all_orders, F.col("order_id") == F.col("ok"))
+            .select(F.col("order_id").alias("request_id"), F.col("created_at").alias("requested_at"),
                     F.lit("produce").alias("order_type"), "customer_id",
                     F.lit(None).cast("bigint").alias("restaurant_id"), "sub", "payment_method", "promo_id", "items"))
     both = food.unionByName(prod).join(F.broadcast(promos), "promo_id", "left")
