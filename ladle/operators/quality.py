@@ -86,12 +86,6 @@ ZERO_MEANS_NONE = {("menu_items", "category_id"), ("produce_orders", "rider_id")
 VIOLATION_COLS = ("check", "table_name", "column_name", "row_key", "value")
 
 
-def _rows(df: DataFrame, check: str, table: str, column: str, key: Column, value: Column) -> DataFrame:
-    return df.select(F.lit(check).alias("check"), F.lit(table).alias("table_name"),
-                     F.lit(column).alias("column_name"), key.cast("string").alias("row_key"),
-                     value.cast("string").alias("value"))
-
-
 def _key(df: DataFrame) -> Column:
     return F.col("id") if "id" in df.columns else F.lit(None)
 
@@ -100,33 +94,42 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def check_enums(tables) -> DataFrame:
-    """Rows whose value is outside the declared set (Q1)."""
+def _rules_per_table(tables, check: str, rules: list[tuple[str, str, Column, Column]]) -> DataFrame:
+    """Evaluate many (table, column, violated, value) rules reading each table
+    ONCE: the table's rules become an array of structs that is exploded and
+    filtered, so no table is re-derived per rule."""
+    by_table: dict[str, list[tuple[str, Column, Column]]] = {}
+    for t, c, bad, value in rules:
+        by_table.setdefault(t, []).append((c, bad, value))
     parts = []
-    for (t, c), allowed in ENUMS.items():
+    for t, rs in by_table.items():
         df = getattr(tables, t)
-        parts.append(_rows(df.where(F.col(c).isNotNull() & ~F.col(c).isin(*allowed)),
-                           "enum", t, c, _key(df), F.col(c)))
+        arr = F.array(*[F.struct(F.lit(c).alias("column_name"), F.coalesce(bad, F.lit(False)).alias("bad"),
+                                 value.cast("string").alias("value")) for c, bad, value in rs])
+        parts.append(df.select(_key(df).cast("string").alias("row_key"), F.explode(arr).alias("r"))
+                     .where("r.bad")
+                     .select(F.lit(check).alias("check"), F.lit(t).alias("table_name"),
+                             F.col("r.column_name").alias("column_name"), "row_key", F.col("r.value").alias("value")))
     return _union(parts)
 
 
+def check_enums(tables) -> DataFrame:
+    """Rows whose value is outside the declared set (Q1)."""
+    return _rules_per_table(tables, "enum", [
+        (t, c, F.col(c).isNotNull() & ~F.col(c).isin(*allowed), F.col(c)) for (t, c), allowed in ENUMS.items()])
+
+
 def check_ranges(tables) -> DataFrame:
-    """Negative money, non-positive quantities, ratings outside 1-5 (Q2)."""
-    parts = []
-    for t, c, ok in RANGES:
-        df = getattr(tables, t)
-        parts.append(_rows(df.where(~F.coalesce(ok(F.col(c)), F.lit(True))), "range", t, c, _key(df), F.col(c)))
-    return _union(parts)
+    """Negative money, non-positive quantities, ratings outside 1-5 (Q2);
+    NULL passes, as in a SQL CHECK."""
+    return _rules_per_table(tables, "range", [
+        (t, c, ~F.coalesce(ok(F.col(c)), F.lit(True)), F.col(c)) for t, c, ok in RANGES])
 
 
 def check_required(tables) -> DataFrame:
     """NOT NULL columns holding NULL (Q3)."""
-    parts = []
-    for t, cols in REQUIRED.items():
-        df = getattr(tables, t)
-        for c in cols:
-            parts.append(_rows(df.where(F.col(c).isNull()), "required", t, c, _key(df), F.lit(None)))
-    return _union(parts)
+    return _rules_per_table(tables, "required", [
+        (t, c, F.col(c).isNull(), F.lit(None)) for t, cols in REQUIRED.items() for c in cols])
 
 
 def check_unique(tables) -> DataFrame:
@@ -135,22 +138,51 @@ def check_unique(tables) -> DataFrame:
     for t, c in UNIQUE:
         dup = getattr(tables, t).where(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("n")) \
             .where(F.col("n") > 1)
-        parts.append(_rows(dup, "unique", t, c, F.col(c), F.col("n")))
+        parts.append(dup.select(F.lit("unique").alias("check"), F.lit(t).alias("table_name"),
+                                F.lit(c).alias("column_name"), F.col(c).cast("string").alias("row_key"),
+                                F.col("n").cast("string").alias("value")))
     return _union(parts)
 
 
 def check_orphans(tables) -> DataFrame:
-    """Child rows whose reference has no parent, per foreign key (Q5)."""
-    parts = []
+    """Child rows whose reference has no parent, per foreign key (Q5).
+
+    Every table is derived ONCE: its own keys (when it is a parent) and its
+    references (when it is a child) are exploded from one projection into
+    ``(kind, parent, ref)`` rows, which are checkpointed (reliably, into
+    ``spark.checkpoint.dir``).  One anti-join of the references against the
+    keys then covers all foreign keys; AQE splits a hot parent key (one
+    restaurant referenced by a third of all orders) across tasks."""
+    from ..session import ensure_checkpoint_dir
+    children: dict[str, list[tuple[str, str, str]]] = {}
     for ct, cc, pt, pc in FOREIGN_KEYS:
-        child = getattr(tables, ct)
-        parent = getattr(tables, pt).select(F.col(pc).alias("_p"))
-        refs = child.where(F.col(cc).isNotNull())
-        if (ct, cc) in ZERO_MEANS_NONE:
-            refs = refs.where(F.col(cc) != 0)
-        orphans = refs.join(parent, F.col(cc) == F.col("_p"), "left_anti")
-        parts.append(_rows(orphans, "orphan", ct, f"{cc}->{pt}.{pc}", _key(child), F.col(cc)))
-    return _union(parts)
+        children.setdefault(ct, []).append((cc, pt, pc))
+    parents = {pt: pc for _, _, pt, pc in FOREIGN_KEYS}
+    parts = []
+    for t in sorted(set(children) | set(parents)):
+        df = getattr(tables, t)
+
+        def ref(cc: str, t=t) -> Column:
+            c = F.col(cc).cast("bigint")
+            return F.when(c != 0, c) if (t, cc) in ZERO_MEANS_NONE else c
+
+        items = [F.struct(F.lit("ref").alias("kind"), F.lit(pt).alias("parent"),
+                          F.lit(f"{cc}->{pt}.{pc}").alias("column_name"), ref(cc).alias("ref"))
+                 for cc, pt, pc in children.get(t, [])]
+        if t in parents:
+            items.append(F.struct(F.lit("key").alias("kind"), F.lit(t).alias("parent"),
+                                  F.lit(None).cast("string").alias("column_name"),
+                                  F.col(parents[t]).cast("bigint").alias("ref")))
+        parts.append(df.select(F.lit(t).alias("table_name"), _key(df).cast("string").alias("row_key"),
+                               F.explode(F.array(*items)).alias("r"))
+                     .select("table_name", "row_key", "r.*").where(F.col("ref").isNotNull()))
+    ensure_checkpoint_dir(parts[0].sparkSession)
+    rows = _union(parts).checkpoint(eager=True)
+    refs = rows.where(F.col("kind") == "ref")
+    keys = rows.where(F.col("kind") == "key").select(F.col("parent").alias("_parent"), F.col("ref").alias("_id"))
+    j = refs.join(keys, (F.col("parent") == F.col("_parent")) & (F.col("ref") == F.col("_id")), "left_anti")
+    return j.select(F.lit("orphan").alias("check"), "table_name", "column_name", "row_key",
+                    F.col("ref").cast("string").alias("value"))
 
 
 def cascade_delete(children: DataFrame, fk: str, deleted_parents: DataFrame, set_null: bool = False) -> DataFrame:

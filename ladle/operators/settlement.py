@@ -397,3 +397,41 @@ def quote_promo(quotes: DataFrame, promo_codes: DataFrame) -> DataFrame:
         F.when(valid, to_double(disc)).alias("discount_amount"),
         F.when(valid, F.concat(F.lit("\U0001F389 "), label, F.lit(" applied! You save PKR "),
                                disc.cast("bigint").cast("string"))).otherwise(err).alias("message"))
+
+
+def validate_promo_use(priced: DataFrame, promo_codes: DataFrame) -> DataFrame:
+    """S5 over a request stream on its own: the code must exist and be
+    active, and the uses so far -- the code's starting ``used_count`` plus
+    every earlier request carrying it, both order families -- must be below
+    ``max_uses``.  (Inside the settlement only *accepted* earlier requests
+    count; see :func:`settle`.)  The running count is the skew-safe two-level
+    prefix sum, so one hot code is split by day."""
+    p = promo_codes.where(F.coalesce(F.col("is_active"), F.lit(0)) == 1).select(
+        F.col("code").alias("promo_code"), F.col("id").alias("promo_id"), "max_uses", F.col("used_count").alias("used0"))
+    r = priced.where(F.col("promo_code").isNotNull() & (F.col("promo_code") != "")).select(
+        *KEY, "requested_at", "promo_code").join(p, "promo_code", "left")
+    found = r.where(F.col("promo_id").isNotNull())
+    run = running_sum(found, ["promo_id"], ORDER, F.lit(1).cast("bigint"), "earlier")
+    uses = (F.col("used0") + F.col("earlier")).cast("bigint")
+    ok = run.select(*KEY, "promo_code", uses.alias("uses_before"),
+                    promo_error(F.col("promo_code"), F.lit(True), uses, F.col("max_uses")).alias("promo_error"))
+    missing = r.where(F.col("promo_id").isNull()).select(
+        *KEY, "promo_code", F.lit(None).cast("bigint").alias("uses_before"),
+        promo_error(F.col("promo_code"), F.lit(False), F.lit(0), F.lit(1)).alias("promo_error"))
+    return ok.unionByName(missing)
+
+
+def validate_loyalty(priced: DataFrame, loyalty_points: DataFrame) -> DataFrame:
+    """S6 over a request stream on its own: a redemption needs
+    ``int(discount)`` points, the balance being the starting points plus what
+    every earlier request of the customer earned and redeemed.  (Inside the
+    settlement only accepted requests move the balance.)"""
+    bal = loyalty_points.select("customer_id", F.col("total_points").alias("bal0"))
+    r = priced.select(*KEY, "requested_at", "customer_id", "loyalty_discount",
+                      (F.col("points_earned") - F.col("redeem_points")).alias("delta"))
+    moving = r.where((F.col("delta") != 0) | (F.col("loyalty_discount") > 0))
+    run = running_sum(moving, ["customer_id"], ORDER, "delta", "moved")
+    j = run.where(F.col("loyalty_discount") > 0).join(bal, "customer_id", "left")
+    have = (F.coalesce(F.col("bal0"), F.lit(0)) + F.col("moved")).cast("bigint")
+    return j.select(*KEY, "customer_id", "loyalty_discount", have.alias("points_before"),
+                    loyalty_error(F.col("loyalty_discount"), have).alias("loyalty_error"))

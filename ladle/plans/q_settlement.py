@@ -131,6 +131,47 @@ def _s7(d):
     return S.quote_promo(quotes, d.promo_codes)
 
 
+_PRICED = """
+priced as (select *, cast(trunc(total / 100) as bigint) points_earned,
+    case when loyalty_discount > 0 then cast(trunc(loyalty_discount) as bigint) else 0 end redeem_points
+  from (select *, case when order_type = 'food'
+      then round(greatest(0, sub + 50 + round(sub * cast(0.05 as decimal(4,2)), 2) - promo_discount - loyalty_discount), 2)
+      else round(greatest(0, sub + 50 + 50 - promo_discount - loyalty_discount), 2) end total from req) x)"""
+
+_USES = """count(*) over (partition by c.id order by p.requested_at, p.order_type, p.request_id
+    rows between unbounded preceding and 1 preceding)"""
+
+
+@query("validate_promo_use", oracle=f"""
+with {_REQ}, {_PRICED.strip()}
+select p.order_type, p.request_id, p.promo_code,
+  case when c.id is not null then {_USES} end uses_before,
+  case when c.id is null then 'Promo code ''' || p.promo_code || ''' is invalid or inactive'
+       when {_USES} >= c.max_uses then 'Promo code ''' || p.promo_code || ''' has reached its usage limit ('
+            || c.max_uses || '/' || c.max_uses || ')' end promo_error
+from priced p left join (select * from promo_codes where is_active = 1) c on p.promo_code = c.code
+where p.promo_code is not null and p.promo_code <> ''""")
+def _s5(d):
+    r = S.price_requests(derived_requests(d))
+    return S.validate_promo_use(r, d.promo_codes.withColumn("used_count", F.lit(0)))
+
+
+@query("validate_loyalty", oracle=f"""
+with {_REQ}, {_PRICED.strip()},
+mv as (select *, points_earned - redeem_points delta from priced
+       where points_earned - redeem_points <> 0 or loyalty_discount > 0),
+run as (select *, coalesce(sum(delta) over (partition by customer_id order by requested_at, order_type, request_id
+          rows between unbounded preceding and 1 preceding), 0) moved from mv)
+select r.order_type, r.request_id, r.customer_id, cast(r.loyalty_discount as double) loyalty_discount,
+  cast(coalesce(l.total_points, 0) + r.moved as bigint) points_before,
+  case when coalesce(l.total_points, 0) + r.moved < cast(trunc(r.loyalty_discount) as bigint)
+    then 'Insufficient loyalty points (have ' || cast(coalesce(l.total_points, 0) + r.moved as bigint) || ', need '
+         || cast(trunc(r.loyalty_discount) as bigint) || ')' end loyalty_error
+from run r left join loyalty_points l on r.customer_id = l.customer_id where r.loyalty_discount > 0""")
+def _s6(d):
+    return S.validate_loyalty(S.price_requests(derived_requests(d)), d.loyalty_points)
+
+
 def _orders(d):
     return batch(d).orders.select("order_type", "request_id", "customer_id", "accepted", "error", "total_amount",
                                   "platform_fee", "rider_tip", "points_earned", "promo_code", "requested_at")
