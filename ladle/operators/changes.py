@@ -108,7 +108,7 @@ def seed_insert_ignore(target: DataFrame, new: DataFrame, key: str) -> DataFrame
 def seed_if_empty(target: DataFrame, defaults: DataFrame) -> DataFrame:
     """Load ``defaults`` only when the target has no rows (A7): an anti-join
     against at most one target row, so no count of the target is needed."""
-    one = target.limit(1).select(F.lit(1).alias("_any"))
+    one = F.broadcast(target.limit(1).select(F.lit(1).alias("_any")))  # at most one row
     add = defaults.withColumn("_any", F.lit(1)).join(one, "_any", "left_anti").drop("_any")
     return target.unionByName(add, allowMissingColumns=True)
 

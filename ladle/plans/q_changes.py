@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.ints import idiv
 from ..operators import aggregates as A
 from ..operators import changes as X
 from ..sources.requests import derived_requests, ingest_json
@@ -71,7 +72,7 @@ def _s20(d):
     from ..operators.filters import available_food
     ch = available_food(d.food_orders).select(
         F.col("id").alias("order_id"), F.timestamp_add("DAY", F.lit(1), F.col("created_at")).alias("ts"),
-        F.lit(0).alias("seq"), ((F.col("customer_id") / 20).cast("bigint") + 1).alias("rider_id"),
+        F.lit(0).alias("seq"), (idiv("customer_id", 20) + 1).alias("rider_id"),
         F.lit("Out for Delivery").alias("status"))
     return X.last_write_wins(d.food_orders, ch, "order_id", ["ts", "seq"], ["rider_id", "status"])
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.ints import idiv
 from ..functions.money import money
 from ..streaming import streams as X
 from .catalog import query
@@ -20,7 +21,7 @@ select restaurant_id, count(*) total_orders,
   cast(coalesce(sum(case when status = 'Delivered' then cast(total_amount as decimal(18,2)) end), 0) as double) revenue
 from food_orders group by restaurant_id""")
 def _x2(d):
-    lines = d.food_orders.select((F.col("id") / 100_000).cast("bigint").alias("ok"), "restaurant_id",
+    lines = d.food_orders.select(idiv("id", 100_000).alias("ok"), "restaurant_id",
                                  money("total_amount").alias("total"))
     return X.stream_manager_stats(d.spark, d.sf_dir, lines)
 

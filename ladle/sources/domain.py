@@ -29,6 +29,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.ints import idiv
 from .tables import read_table
 
 # Fixed values of the mapping.
@@ -66,7 +67,7 @@ class Domain:
     # ------------------------------------------------------------------ people
     @cached_property
     def riders(self) -> DataFrame:
-        rid = (F.col("c_custkey") / CUSTOMERS_PER_RIDER).cast("bigint") + 1
+        rid = idiv("c_custkey", CUSTOMERS_PER_RIDER) + 1
         return (
             self.raw("customer")
             .where(F.col("c_custkey") % CUSTOMERS_PER_RIDER == 0)
@@ -216,12 +217,12 @@ class Domain:
         rate10 = F.lit(0.10).cast("decimal(4,2)")
         platform = F.round(F.col("sub") * rate5, 2)
         oid = F.col("order_id")
-        return sub.join(a, (oid / FOOD_ORDER_MULT).cast("bigint") == F.col("ok")).select(
+        return sub.join(a, idiv("order_id", FOOD_ORDER_MULT) == F.col("ok")).select(
             oid.alias("id"),
             "customer_id",
             (oid % FOOD_ORDER_MULT).alias("restaurant_id"),
             F.when(F.col("status").isin(*ACTIVE_RIDER_STATUSES),
-                   (F.col("customer_id") / CUSTOMERS_PER_RIDER).cast("bigint") + 1).alias("rider_id"),
+                   idiv("customer_id", CUSTOMERS_PER_RIDER) + 1).alias("rider_id"),
             "status",
             F.lit(DELIVERY_FEE).alias("delivery_fee"),
             platform.cast("double").alias("platform_fee"),
@@ -265,7 +266,7 @@ class Domain:
         return sub.join(self.all_orders, ok == F.col("order_id")).select(
             ok.alias("id"), "customer_id",
             F.when(F.col("status").isin(*ACTIVE_RIDER_STATUSES),
-                   (F.col("customer_id") / CUSTOMERS_PER_RIDER).cast("bigint") + 1)
+                   idiv("customer_id", CUSTOMERS_PER_RIDER) + 1)
             .when(ok % 8 == 0, F.lit(0).cast("bigint")).alias("rider_id"),
             F.when(F.col("status") == "Preparing", "Confirmed").otherwise(F.col("status")).alias("status"),
             F.lit(DELIVERY_FEE).alias("delivery_fee"),

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.ints import idiv
 from ..functions.money import money, to_double
 
 ITEM = T.StructType([
@@ -79,7 +80,7 @@ def derived_requests(d) -> DataFrame:
         F.array_sort(F.collect_list(F.struct(F.col("item_id"), F.col("quantity").cast("double").alias("quantity"),
                                              F.col("unit_price")))).alias("items"),
         F.sum(money("unit_price") * F.col("quantity")).alias("sub"))
-            .join(d.all_orders, (F.col("order_id") / 100_000).cast("bigint") == F.col("ok"))
+            .join(d.all_orders, idiv("order_id", 100_000) == F.col("ok"))
             .select(F.col("order_id").alias("request_id"), F.col("created_at").alias("requested_at"),
                     F.lit("food").alias("order_type"), "customer_id",
                     (F.col("order_id") % 100_000).alias("restaurant_id"), "sub", "payment_method",
