@@ -11,7 +11,7 @@ Scale notes
   narrow lineitem projection *before* joining ``part`` (partial aggregation
   map-side, then one shuffle on the pair).
 * The part-type numbering is a window over the distinct ``p_type`` values --
-  a vocabulary (150 values in TPC-H), not a data-sized set; it is broadcast.
+  a vocabulary (150 values in TPC-H), not a data-sized set.
 * Food orders are one ``(l_orderkey, l_suppkey)`` pair: lines are aggregated
   per pair first, then joined to ``orders`` on ``l_orderkey``.
 
@@ -140,11 +140,13 @@ class Domain:
 
     @cached_property
     def _part_types(self) -> DataFrame:
-        # Vocabulary-sized (distinct p_type): numbering it in one window is fine.
-        return F.broadcast(
-            self.raw("part").select("p_type").distinct()
-            .select(F.col("p_type").alias("pt"),
-                    F.row_number().over(Window.orderBy("p_type")).cast("int").alias("tid")))
+        # Numbering distinct type names needs one ordered window; the input
+        # is the type vocabulary (distinct values after a partial aggregate),
+        # not the part table.  Its join is left to AQE, which broadcasts it
+        # only when the runtime size is under the threshold.
+        return (self.raw("part").select("p_type").distinct()
+                .select(F.col("p_type").alias("pt"),
+                        F.row_number().over(Window.orderBy("p_type")).cast("int").alias("tid")))
 
     @cached_property
     def _supplied_parts(self) -> DataFrame:
