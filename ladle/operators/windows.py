@@ -7,10 +7,11 @@ Per-key top-n
 
 Running sums on hot keys
     A window partitioned only by the key sends a hot key (one promo code used
-    by a third of all orders) to a single task.  :func:`running_sum` splits the
-    key by a time bucket: a small (key, bucket) total table gives each bucket
-    its offset, and the running sum inside each (key, bucket) partition adds
-    it.  The result is exact; the widest partition is one key-day.
+    by a third of all orders) to a single task.  :func:`running_sum` cuts the
+    (key, order) sequence into contiguous range slices: a small (slice, key)
+    total table gives each slice its offset, and the running sum inside each
+    (slice, key) group adds it.  The result is exact; no group is larger than
+    one range slice.
 """
 
 from __future__ import annotations
@@ -32,22 +33,43 @@ def time_bucket(ts: Column | str, unit: str = "day") -> Column:
 
 
 def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column | str,
-                out: str, inclusive: bool = False, bucket: Column | None = None) -> DataFrame:
-    """Per-key running sum of ``value`` ordered by ``order`` (ascending;
-    the first column must be a timestamp).  ``inclusive=False`` sums strictly
-    earlier rows.  Exact two-level prefix sum, see the module docstring."""
+                out: str, inclusive: bool = False, bucket: Column | None = None,
+                slices: int | None = None) -> DataFrame:
+    """Per-key running sum of ``value`` ordered by ``order`` (ascending; the
+    order columns must make rows unique within a key).  ``inclusive=False``
+    sums strictly earlier rows.  Exact two-level prefix sum.
+
+    Buckets are contiguous slices of the ``(keys, order)`` total order:
+    by default ``repartitionByRange`` cuts the data into ``slices`` ranges
+    (``spark.sql.shuffle.partitions``) from a sample, so a key holding a third
+    of all rows spans many slices and no slice exceeds ~1/``slices`` of the
+    data, however its timestamps are distributed.  Each slice gets the sum of
+    the key's earlier slices as an offset (a table of at most keys + slices
+    rows) and the ordered window runs inside (slice, key).  The sliced rows
+    are checkpointed once so the slice id is stable.  A caller may pass its
+    own monotone ``bucket`` expression instead (e.g. a day; no checkpoint)."""
     value = F.col(value) if isinstance(value, str) else value
     keys = list(keys)
-    b = bucket if bucket is not None else time_bucket(order[0])
-    x = df.withColumn("_b", b).withColumn("_v", value)
-    totals = x.groupBy(*keys, "_b").agg(F.sum("_v").alias("_bt"))
+    x = df.withColumn("_v", value)
+    if bucket is not None:
+        x = x.withColumn("_b", bucket)
+    else:
+        from ..session import ensure_checkpoint_dir
+        n = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        ensure_checkpoint_dir(df.sparkSession)
+        # The slice id must be the same in both uses below; range bounds are
+        # sampled per exchange, so the sliced rows are written once (reliable
+        # checkpoint) and the slice is the checkpoint's partition index.
+        x = (x.repartitionByRange(n, *[F.col(k) for k in keys], *[F.col(c) for c in order])
+             .checkpoint(eager=True).withColumn("_b", F.spark_partition_id()))
+    totals = x.groupBy("_b", *keys).agg(F.sum("_v").alias("_bt"))
     wb = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*keys, "_b", F.coalesce(F.sum("_bt").over(wb), F.lit(0)).alias("_off"))
+    offsets = totals.select("_b", *keys, F.coalesce(F.sum("_bt").over(wb), F.lit(0)).alias("_off"))
     frame_end = Window.currentRow if inclusive else -1
-    wi = (Window.partitionBy(*keys, "_b").orderBy(*[F.col(c) for c in order])
+    wi = (Window.partitionBy("_b", *keys).orderBy(*[F.col(c) for c in order])
           .rowsBetween(Window.unboundedPreceding, frame_end))
     inner = x.withColumn("_in", F.coalesce(F.sum("_v").over(wi), F.lit(0)))
-    return (inner.join(offsets, [*keys, "_b"])
+    return (inner.join(offsets, ["_b", *keys])
             .withColumn(out, F.col("_off") + F.col("_in"))
             .drop("_b", "_v", "_in", "_off"))
 
