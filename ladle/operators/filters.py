@@ -26,7 +26,7 @@ def _maybe(df: DataFrame, cond: Column | None) -> DataFrame:
 
 
 def restaurants_open(restaurants: DataFrame) -> DataFrame:
-    """Approved and open, best rated first (B1)."""
+    """Approved and open (B1); shown best rated first (``orderBy(desc("rating"))``)."""
     return restaurants.where((F.col("status") == "approved") & (F.col("is_open") == 1))
 
 

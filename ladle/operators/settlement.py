@@ -17,11 +17,13 @@ final and a stable set is exactly the one-by-one answer.  Rounds track the
 longest chain of flips, not the data size; ``max_rounds`` is a guard that
 raises -- an unstable set is never returned.
 
-Each round is three running sums (:func:`windows.running_sum`, split by day
-so a hot code / customer / item never sits in one task), a few equi-joins and
-one aggregate count of changed decisions.  The decision table is
-checkpointed (reliable checkpoint in ``spark.checkpoint.dir``) every round,
-so lineage stays one round deep and a lost executor recomputes one round.
+Each request becomes one row per shared counter it touches; a round is one
+two-level running sum over ``(counter type, key)`` (range slices, so a hot
+code / customer / item never sits in one task), one aggregate back to the
+request, one join and one aggregate count of changed decisions.  The decision
+table is checkpointed (reliable checkpoint in ``spark.checkpoint.dir``) every
+round, so lineage stays one round deep and a lost executor recomputes one
+round.
 """
 
 from __future__ import annotations

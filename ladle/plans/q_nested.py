@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import nested as N
-from ..operators.joins import tier_dim  # noqa: F401  (re-exported for callers)
 from .catalog import query
 
 _JSON_OPTS = {"ignoreNullFields": "false"}

@@ -17,10 +17,6 @@ _PRODUCE_ITEMS = """(select poi.order_id, list(struct_pack(item_id := poi.produc
     order by poi.produce_id, p.name, poi.quantity_kg, poi.unit_price) items
   from produce_order_items poi join produce_items p on poi.produce_id = p.id group by poi.order_id)"""
 
-_BASE = ("id, order_type, customer_id, restaurant_id, rider_id, status, total_amount, delivery_fee, "
-         "platform_fee, rider_tip, payment_method, created_at, restaurant_name")
-
-
 @query("customer_order_history", oracle=f"""
 select o.id, 'food' order_type, o.customer_id, o.restaurant_id, o.rider_id, o.status, o.total_amount,
   o.delivery_fee, o.platform_fee, o.rider_tip, o.payment_method, o.created_at, r.name restaurant_name,
