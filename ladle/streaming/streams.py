@@ -92,9 +92,11 @@ def stream_unread(spark, sf_dir) -> DataFrame:
     return run_available(s, "unread", "complete")
 
 
-def stream_loyalty(spark, sf_dir) -> DataFrame:
-    """Balance and lifetime points per customer from the ledger stream."""
-    e = read_stream(spark, sf_dir, "events").where(F.col("event_type").isin("purchase", "click"))
+def stream_loyalty(spark, sf_dir, source: DataFrame | None = None) -> DataFrame:
+    """Balance and lifetime points per customer from the ledger stream.
+    ``source`` replaces the events file source (e.g. a multi-file replay)."""
+    e = (source if source is not None else read_stream(spark, sf_dir, "events")) \
+        .where(F.col("event_type").isin("purchase", "click"))
     pts = F.when(F.col("event_type") == "purchase", F.col("value").cast("bigint")) \
         .otherwise(-(F.col("value") / 4).cast("bigint"))
     s = e.select(F.col("user_id").alias("customer_id"), pts.alias("points")).groupBy("customer_id").agg(
@@ -115,16 +117,20 @@ def stream_order_status(spark, sf_dir) -> DataFrame:
     return run_available(s, "order_status", "complete")
 
 
-def stream_audit(spark, sf_dir, users: DataFrame) -> DataFrame:
+def stream_audit(spark, sf_dir, users: DataFrame, source: DataFrame | None = None,
+                 late_by: str = "1 hour") -> DataFrame:
     """Audit rows with the user's name ('System' when none), replays dropped
-    by event id within a watermark (X7).  ``withWatermark`` needs a
-    TIMESTAMP column, so the NTZ time is cast (session time zone UTC)."""
-    e = read_stream(spark, sf_dir, "events")
+    by event id within a watermark (X7).  Rows older than the watermark
+    (``late_by`` behind the newest event seen) count as late and are dropped,
+    so ``late_by`` must cover how out of order events arrive; de-duplication
+    state is kept only that long.  ``withWatermark`` needs a TIMESTAMP
+    column, so the NTZ time is cast (session time zone UTC)."""
+    e = source if source is not None else read_stream(spark, sf_dir, "events")
     a = e.select(F.col("event_id").alias("id"),
                  F.when(F.col("event_type") == "error", F.lit(None).cast("bigint")).otherwise(F.col("user_id"))
                  .alias("user_id"),
                  F.upper("event_type").alias("action"), F.col("ts").cast("timestamp").alias("ets"))
-    a = a.withWatermark("ets", "1 hour").dropDuplicatesWithinWatermark(["id"])
+    a = a.withWatermark("ets", late_by).dropDuplicatesWithinWatermark(["id"])
     u = users.select(F.col("id").alias("_uid"), F.col("name").alias("_uname"))
     j = a.join(u, a["user_id"] == u["_uid"], "left").select(
         "id", "user_id", "action", F.coalesce("_uname", F.lit("System")).alias("user_name"))
