@@ -220,6 +220,8 @@ def settle(requests: DataFrame, menu_items: DataFrame, produce_items: DataFrame,
     # The request plan feeds pricing, item validation and the stock lines:
     # materialise it once instead of re-deriving it three times.
     requests = _ckpt(requests)
+    if log:
+        log("requests", None, time.perf_counter() - t0)
     priced = price_requests(requests, ui_adds_fee)
     promos = promo_codes.select(F.col("code").alias("promo_code"), F.col("id").alias("promo_id"),
                                 F.col("max_uses"), F.col("used_count").alias("used0"),
@@ -241,7 +243,11 @@ def settle(requests: DataFrame, menu_items: DataFrame, produce_items: DataFrame,
             .withColumn("bal0", F.coalesce("bal0", F.lit(0)).cast("bigint"))
             .withColumn("delta", F.col("points_earned") - F.col("redeem_points")))
     base = _ckpt(base.repartition(*KEY))
+    if log:
+        log("base", None, time.perf_counter() - t0)
     crow = _ckpt(_counter_rows(base, pl).repartition(*KEY))
+    if log:
+        log("counter rows", None, time.perf_counter() - t0)
     stock_q = crow.where(F.col("ctype") == STOCK).select(
         *KEY, "requested_at", F.col("ckey").alias("produce_id"), "_s0", F.col("v").cast("decimal(18,1)").alias("q"))
 
