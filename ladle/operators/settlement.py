@@ -443,3 +443,37 @@ def validate_loyalty(priced: DataFrame, loyalty_points: DataFrame) -> DataFrame:
     have = (F.coalesce(F.col("bal0"), F.lit(0)) + F.col("moved")).cast("bigint")
     return j.select(*KEY, "customer_id", "loyalty_discount", have.alias("points_before"),
                     loyalty_error(F.col("loyalty_discount"), have).alias("loyalty_error"))
+
+
+def settle_in_batches(requests: DataFrame, menu_items: DataFrame, produce_items: DataFrame,
+                      promo_codes: DataFrame, loyalty_points: DataFrame, cuts: list[str],
+                      ui_adds_fee: bool = True) -> DataFrame:
+    """Micro-batch settlement (X9 without a callback server): the requests
+    arrive in time slices split at ``cuts`` (timestamps, ascending); each
+    slice is settled against the tables the previous slices left behind --
+    promo uses, loyalty balances and stock are carried forward -- so the
+    decisions equal one settlement of the whole stream.  Returns the
+    decisions of every slice with its ``batch`` number."""
+    bounds = [None, *cuts, None]
+    promos, loyalty, produce = promo_codes, loyalty_points, produce_items
+    out = None
+    for b in range(len(bounds) - 1):
+        lo, hi = bounds[b], bounds[b + 1]
+        cond = F.lit(True)
+        if lo is not None:
+            cond = cond & (F.col("requested_at") >= F.lit(lo).cast("timestamp_ntz"))
+        if hi is not None:
+            cond = cond & (F.col("requested_at") < F.lit(hi).cast("timestamp_ntz"))
+        s = settle(requests.where(cond), menu_items, produce, promos, loyalty, ui_adds_fee=ui_adds_fee)
+        dec = s.decisions.withColumn("batch", F.lit(b))
+        out = dec if out is None else out.unionByName(dec)
+        acc = s.accepted
+        uses = acc.where(F.col("promo_code").isNotNull()).select(F.col("promo_code").alias("code"))
+        promos = _ckpt(promo_usage_apply(promos, uses))
+        ledger = loyalty_earn(s).unionByName(loyalty_redeem(s))
+        kept = loyalty_points.columns
+        loyalty = _ckpt(loyalty_balances(loyalty, ledger).select(
+            *[c for c in kept if c in ("customer_id", "total_points", "lifetime_points")]))
+        taken = s.stock_lines.join(s.decisions.where("accepted"), KEY, "left_semi").select("produce_id", "q")
+        produce = _ckpt(stock_deduct(produce, taken))
+    return out

@@ -246,3 +246,17 @@ def _s16(d):
 @query("settlement_audit")
 def _s17(d):
     return S.settlement_audit(batch(d))
+
+
+# Slice boundaries of the replayed order history (ascending timestamps).
+BATCH_CUTS = ["1997-03-01", "1999-05-01"]
+
+
+@query("stream_settlement")
+def _x9(d):
+    """The order history settled in three time slices with promo uses,
+    balances and stock carried between them (equals ``settle_food_orders``
+    and ``settle_produce_orders`` together)."""
+    promos = d.promo_codes.withColumn("used_count", F.lit(0))
+    return S.settle_in_batches(derived_requests(d), d.menu_items, d.produce_items, promos, d.loyalty_points,
+                               BATCH_CUTS)
