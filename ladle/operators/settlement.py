@@ -455,6 +455,8 @@ def settle_in_batches(requests: DataFrame, menu_items: DataFrame, produce_items:
     decisions equal one settlement of the whole stream.  Returns the
     decisions of every slice with its ``batch`` number."""
     bounds = [None, *cuts, None]
+    # Every slice reads the same request stream and menu: derive them once.
+    requests, menu_items = _ckpt(requests), _ckpt(menu_items)
     promos, loyalty, produce = promo_codes, loyalty_points, produce_items
     out = None
     for b in range(len(bounds) - 1):
