@@ -41,7 +41,7 @@ def order_progress(orders: DataFrame, dim: DataFrame) -> DataFrame:
         F.coalesce("label", F.lit("Waiting for restaurant")).alias("label"),
         F.coalesce("progress", F.lit(0)).alias("progress"),
         F.coalesce("eta", F.lit("—")).alias("eta"),
-        (F.array_position(F.array(*[F.lit(s) for s in STATUS_STEPS]), F.col("status")) - 1).alias("step_index"),
+        (F.array_position(F.array(*[F.lit(s) for s in STATUS_STEPS]), F.col("status")) - 1).cast("int").alias("step_index"),
     )
 
 

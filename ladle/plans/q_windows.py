@@ -38,9 +38,9 @@ def _w3(d):
 
 
 @query("loyalty_balance_running", oracle="""
-select *, balance_before + points balance_after from (
-  select *, coalesce(sum(points) over (partition by customer_id order by created_at, id
-                                       rows between unbounded preceding and 1 preceding), 0) balance_before
+select *, cast(balance_before + points as bigint) balance_after from (
+  select *, cast(coalesce(sum(points) over (partition by customer_id order by created_at, id
+                                       rows between unbounded preceding and 1 preceding), 0) as bigint) balance_before
   from loyalty_transactions) x""")
 def _w4(d):
     return W.loyalty_balance_running(d.loyalty_transactions).withColumn(
