@@ -1,9 +1,9 @@
 """Side-by-side check of a registered query against its DuckDB oracle.
 
 Used by the tests and by ``python -m ladle.plans.compare [keys...]``.
-Columns are sorted by name, rows compared as a multiset after light value
-normalisation (doubles to 6 decimals, timestamps to ISO text, nested values
-to tuples).
+Columns are sorted by name and must have the same types; rows are compared
+as a multiset after light value normalisation (doubles to 6 decimals,
+timestamps to ISO text, nested values to tuples).
 """
 
 from __future__ import annotations
@@ -19,6 +19,11 @@ DRIVER_VIEWS = ("region nation customer supplier part orders lineitem events doc
                 "pages benchmark labels conversations").split()
 
 
+# Spark type -> DuckDB type name, for the column-type comparison.
+_TYPE_NAMES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+               "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP", "date": "DATE"}
+
+
 def _norm(v):
     if v is None:
         return None
@@ -77,9 +82,17 @@ def compare(spark, sf_dir: str, key: str, con=None) -> dict:
     out["oracle_rows"] = len(o_rows)
     sc, sv = canon(s_names, s_rows)
     oc, ov = canon(o_names, o_rows)
+    s_types = {f.name: _TYPE_NAMES.get(f.dataType.simpleString(), f.dataType.simpleString())
+               for f in df.schema.fields}
+    rel = con.sql(sql)
+    o_types = dict(zip(rel.columns, (str(t) for t in rel.types)))
+    type_diff = {c: (s_types[c], o_types.get(c)) for c in s_types if s_types[c] != o_types.get(c)}
     if sc != oc:
         out["status"] = "schema"
         out["detail"] = f"spark={sc} oracle={oc}"
+    elif type_diff:
+        out["status"] = "types"
+        out["detail"] = str(type_diff)
     elif sv != ov:
         out["status"] = "values"
         only_s = list((sv - ov).elements())[:3]
