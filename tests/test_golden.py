@@ -155,3 +155,18 @@ def test_status_map_defaults(spark):
     o = spark.createDataFrame([(1, "Delivered"), (2, "Cancelled")], "id bigint, status string")
     got = {r.id: (r.step, r.progress, r.eta, r.step_index) for r in order_progress(o, status_dim(spark)).collect()}
     assert got == {1: (4, 100, "Delivered! ✅", 4), 2: (0, 0, "—", -1)}
+
+
+def test_round_guard_raises_instead_of_returning_unstable(spark, world):
+    """Requests competing for one promo use need more than one round; with
+    max_rounds=1 the settlement must refuse rather than return a guess."""
+    menu, produce, _, loyalty = world
+    promos = spark.createDataFrame([(1, "ONE", "percent", 10.0, 0.0, 1, 0, 1)],
+                                   "id bigint, code string, discount_type string, discount_value double, "
+                                   "min_order double, max_uses int, used_count int, is_active int")
+    reqs = [_req(i, "food", 7, [(3, 1.0)], code="ONE") for i in range(1, 4)]
+    rdf = spark.createDataFrame(reqs, REQUEST_SCHEMA)
+    with pytest.raises(RuntimeError):
+        S.settle(rdf, menu, produce, promos, loyalty, max_rounds=1)
+    got = {r.request_id: r.accepted for r in S.settle(rdf, menu, produce, promos, loyalty).decisions.collect()}
+    assert got == {1: True, 2: False, 3: False}
