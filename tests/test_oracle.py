@@ -8,8 +8,6 @@ from ladle.plans.catalog import as_callables, oracle_sql
 from ladle.plans.compare import compare, duck_connect
 
 KEYS = sorted(as_callables())
-SLOW = {"settle_food_orders", "settle_produce_orders", "loyalty_earn", "loyalty_redeem", "promo_usage_apply",
-        "stock_deduct", "settlement_audit", "loyalty_manual_redeem"}
 
 
 @pytest.fixture(scope="module")
