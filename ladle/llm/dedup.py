@@ -129,11 +129,11 @@ def _signed(docs: DataFrame, id_col: str, text_col: str, k: int, size: int) -> D
                 node.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 count.append(len(s))
                 sig.append(signature(s, size).tobytes() if len(s) else None)
-            yield pd.DataFrame({"id": pdf["id"], "node": node, "n": count, "sig": sig})
+            yield pd.DataFrame({"id": pdf["id"], "h": pdf["h"], "node": node, "n": count, "sig": sig})
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInPandas(
-        run, f"id {kind}, node binary, n long, sig binary")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), F.xxhash64(text_col).alias("h")).mapInPandas(
+        run, f"id {kind}, h long, node binary, n long, sig binary")
 
 
 def _fits(a: str, b: str, pct: int) -> Column:
@@ -289,7 +289,7 @@ def _across(members: DataFrame, table: np.ndarray, batch: int, pct: int, block:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, k: int = 5,
                     threshold_pct: int = 80, bands: int = 24, rows: int = 5, leaders: int = 4,
                     miss: float = 1e-6, batch: int = 20, block: int = 1500) -> DataFrame:
-    """One row per input row: id, n_shingles, component_id, kept.
+    """One row per input row: id, n_shingles, component_id, kept, text_hash (Spark's xxhash64 of the text).
 
     Documents whose shingle sets have ``100 * intersection >= threshold_pct *
     union`` are linked; ``component_id`` is the smallest id reachable over
@@ -342,7 +342,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = nodes.select("node", "id").join(final, "node", "left").withColumn("label", F.coalesce("label", "node"))
     lowest = named.groupBy("label").agg(F.min("id").alias("component_id"))
     of = named.join(lowest, "label").select("node", "component_id")
-    out = signed.select("id", "n", "node").join(of, "node", "left")
+    out = signed.select("id", "n", "node", "h").join(of, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"),
-                      F.col("id").eqNullSafe(component).alias("kept"))
+                      F.col("id").eqNullSafe(component).alias("kept"), F.col("h").alias("text_hash"))
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
+    """The rows and columns of ``docs`` with one document of each group of near-duplicates.
+
+    The document with the smallest id stays; of rows that repeat an id and its
+    text one stays.  Only the keys of what goes are joined to the texts.
+    """
+    found = stage(near_duplicates(docs, id_col, text_col, **settings).select(
+        F.col(id_col).alias("id"), F.col("text_hash").alias("h"), "kept"), "near")
+    gone = stage(found.filter(~F.col("kept")).select("id", "h").distinct(), "gone")
+    again = stage(found.filter("kept").groupBy("id", "h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("id", "h"),
+                  "again")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("at"), F.xxhash64(text_col).alias("key"))
+
+    def matched(df: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+        keys = F.broadcast(keys) if fits_broadcast(keys, 32) else keys
+        return df.join(keys, F.col("at").eqNullSafe(F.col("id")) & (F.col("key") == F.col("h")), how)
+
+    rows = matched(rows, gone, "left_anti")
+    if not again.isEmpty():
+        rows = matched(rows, again, "left_anti").union(matched(rows, again, "left_semi").dropDuplicates(["at", "key"]))
+    return rows.select("row.*")

@@ -244,10 +244,9 @@ def redacted(text: Column, spans: Column) -> Column:
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
     """``docs`` with the personal data in ``text_col`` replaced; all columns and rows stay, null texts too."""
     spans = find_pii(docs, id_col, text_col, **settings).filter(F.size("spans") > 0).select(
-        F.col("id").alias("_pii_id"), F.col("h").alias("_pii_h"), F.col("spans").alias("_pii_spans")).dropDuplicates(
-        ["_pii_id", "_pii_h"])
-    joined = docs.join(spans, F.col(id_col).eqNullSafe(F.col("_pii_id"))
-                       & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("_pii_h")), "left")
-    clean = F.when(F.col("_pii_spans").isNull(), F.col(text_col)).otherwise(
-        redacted(F.col(text_col), F.col("_pii_spans")))
-    return joined.withColumn(text_col, clean).select(*docs.columns)
+        "id", "h", "spans").dropDuplicates(["id", "h"])
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("at"), F.col(text_col).alias("t"))
+    joined = rows.join(spans, F.col("at").eqNullSafe(F.col("id"))
+                       & (F.xxhash64(F.coalesce(F.col("t"), F.lit(""))) == F.col("h")), "left")
+    clean = F.when(F.col("spans").isNull(), F.col("t")).otherwise(redacted(F.col("t"), F.col("spans")))
+    return joined.select(F.col("row").withField(text_col, clean).alias("row")).select("row.*")

@@ -25,6 +25,8 @@ from .common import WS_CHARS, WS_CLASS, stage, words
 
 SYMBOLS = "#*$%&|<>"
 ABSTAIN = -1
+STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_caps", "n_closed", "n_bangs",
+              "n_bare", "n_distinct", "n_repeat_words")
 
 
 def word_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -158,15 +160,25 @@ def judge_quality(docs: DataFrame, text_col: str = "text", *, min_words: int = 5
     """
     failed = ((F.col("n_words") < min_words)
               | (100 * F.col("n_repeat_words") > max_repeat_pct * F.col("n_words")))
-    stats = word_statistics(docs, text_col).withColumn("base_failed", failed)
-    if carry is not None:
-        stats = stats.drop(*[c for c in docs.columns if c not in carry])
-    stats = stage(stats, "quality")
+    out = [*STATISTICS, "base_failed", "quality_posterior", "kept"]
+    rest = [c for c in (docs.columns if carry is None else carry) if c.lower() not in out]
+    # the row travels as one struct, so that no column name of the input can clash
+    packed = docs.select(F.struct(F.lit(1).alias("_"), *[F.col(c) for c in rest]).alias("row"),
+                         F.col(text_col).alias("text"))
+    stats = stage(word_statistics(packed).withColumn("base_failed", failed).drop("text"), "quality")
     votes = rule_votes()
     names = list(votes)
     counted = (stats.filter(~F.col("base_failed")).select(*[v.alias(k) for k, v in votes.items()])
                .groupBy(*names).agg(F.count(F.lit(1)).alias("n")).collect())  # at most 3 ** len(names) rows
     model = fit_rules([(tuple(int(r[k]) for k in names), int(r["n"])) for r in counted], len(names))
     odds = log_odds(model, list(votes.values()))
-    return (stats.withColumn("quality_posterior", 1 / (1 + F.exp(-odds)))
-            .withColumn("kept", ~F.col("base_failed") & (odds >= math.log(threshold / (1 - threshold)))))
+    judged = (stats.withColumn("quality_posterior", 1 / (1 + F.exp(-odds)))
+              .withColumn("kept", ~F.col("base_failed") & (odds >= math.log(threshold / (1 - threshold)))))
+    return judged.select(*[F.col("row").getField(c).alias(c) for c in rest], *out)
+
+
+def keep_good(docs: DataFrame, text_col: str = "text", **settings) -> DataFrame:
+    """The rows and columns of ``docs`` that the rules keep."""
+    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).alias("text"))
+    judged = judge_quality(packed, "text", carry=["row"], **settings)
+    return judged.filter("kept").select("row.*")
