@@ -8,12 +8,12 @@ than the stage that was running.
 
 from __future__ import annotations
 
+import os
+import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
-
+import zipfile
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..session import ensure_checkpoint_dir
 
@@ -22,10 +22,26 @@ WS_CLASS = r"[ \t-\r]"
 WORD = r"[^ \t-\r]+"
 WS_CHARS = " \t\n\x0b\x0c\r"
 
-DOC_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application (they may not have it on their path)."""
+    sc = spark.sparkContext
+    if getattr(sc, "_ladle_shipped", False):
+        return
+    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    archive = os.path.join(tempfile.mkdtemp(prefix="ladle-"), "ladle_llm.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for folder in (top, os.path.join(top, "llm")):
+            for name in sorted(os.listdir(folder)):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.join("ladle", os.path.relpath(path, top)))
+    sc.addPyFile(archive)
+    sc._ladle_shipped = True
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    ship(spark)
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*columns) if columns else df
 
@@ -36,6 +52,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     The folder is removed when the session's file system closes.
     """
     spark = df.sparkSession
+    ship(spark)
     path = f"{ensure_checkpoint_dir(spark)}/llm-{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -67,15 +84,6 @@ def words(text: Column) -> Column:
     return F.array_remove(F.when(rare, F.split(text, WS_CLASS + "+")).otherwise(plain), "")
 
 
-def free_name(df: DataFrame, base: str) -> str:
-    """A column name that ``df`` does not have (names clash case-insensitively)."""
-    taken = {c.lower() for c in df.columns}
-    name = base
-    while name.lower() in taken:
-        name = "_" + name
-    return name
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -83,20 +91,3 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def fits_broadcast(small: DataFrame, row_bytes: int, limit_bytes: int = 8 << 20) -> bool:
     """Whether a staged table is proven small enough to broadcast: its rows are counted."""
     return small.count() * row_bytes <= limit_bytes
-
-
-def field(name: str, kind: T.DataType) -> T.StructField:
-    return T.StructField(name, kind, True)
-
-
-def runs_of(keys: Iterable) -> Iterator[tuple[int, int]]:
-    """Start and end of every run of equal neighbouring keys."""
-    start, last = 0, None
-    n = 0
-    for n, k in enumerate(keys):
-        if n and k != last:
-            yield start, n
-            start = n
-        last = k
-    if last is not None or n:
-        yield start, n + 1

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, dedup, fingerprint, mixing, pieces, pii, quality, tokenbin
+from . import chat, dedup, fingerprint, mixing, pieces, pii, quality, tokenbin, urlfilter, wrappers
 from .common import table
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -61,6 +61,18 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.near_duplicates(docs, k=3, threshold_pct=85).drop("text_hash")
 
 
+URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"),
+             ("block", "net/fr/")]
+
+
+@query()
+def op2_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page counts as bad if the label of its id says low quality or toxic."""
+    labels = table(spark, sf_dir, "labels").select(
+        F.col("doc_id").alias("id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int").alias("bad"))
+    return urlfilter.judge_urls(table(spark, sf_dir, "pages", "page_id", "url"), labels, URL_RULES)
+
+
 @query()
 def op3_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
@@ -131,3 +143,9 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge_quality(table(spark, sf_dir, "documents", "doc_id", "text"), carry=["doc_id"])
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
                          "kept")
+
+
+@query()
+def op10_html_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = wrappers.main_text(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
