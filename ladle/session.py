@@ -8,6 +8,7 @@ entry point.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -20,6 +21,7 @@ SQL_DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -44,14 +46,18 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the cluster.
 
-    A cluster names it in ``spark.checkpoint.dir``; only when that is unset
-    (local tests) do we pick a fresh scratch folder.
+    A cluster names it in ``spark.checkpoint.dir``.  Only a local master, whose
+    tasks share the driver's disk, gets a fresh scratch folder when that is
+    unset; anywhere else each executor would write to its own disk, so it fails.
     """
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise RuntimeError(f"set spark.checkpoint.dir to a shared folder (master is {master})")
         configured = tempfile.mkdtemp(prefix="ladle-ckpt-", dir="/tmp")
     spark.sparkContext.setCheckpointDir(configured)
     return spark.sparkContext.getCheckpointDir() or configured
