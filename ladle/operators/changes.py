@@ -11,6 +11,7 @@ directory, see ``sources.sinks``).
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -165,21 +166,24 @@ def loyalty_manual_earn(requests: DataFrame) -> DataFrame:
                            .alias("description"), "order_id")
 
 
-def loyalty_manual_redeem(requests: DataFrame, balances: DataFrame, max_rounds: int = 60) -> DataFrame:
+def loyalty_manual_redeem(requests: DataFrame, balances: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """Stand-alone redemptions (S13), one customer's requests in order:
     accepted when the balance covers the points, and an accepted redemption
     lowers the balance for the next.  Same fixpoint as the settlement with
-    one counter.  ``requests``: request_id, customer_id, points, requested_at."""
+    one counter; a customer without a balance row is rejected.  ``requests``: request_id, customer_id, points, requested_at."""
     from .settlement import _ckpt
     order = ["requested_at", "request_id"]
     base = _ckpt(requests.join(balances.select("customer_id", F.col("total_points").alias("bal0")),
-                               "customer_id", "left").withColumn("bal0", F.coalesce("bal0", F.lit(0))))
+                               "customer_id", "left").withColumn("known", F.col("bal0").isNotNull())
+                 .withColumn("bal0", F.coalesce("bal0", F.lit(0))))
     state = _ckpt(base.select("request_id", F.lit(True).alias("accepted")))
-    for _ in range(max_rounds):
+    for rnd in itertools.count(1):
+        if max_rounds is not None and rnd > max_rounds:
+            raise RuntimeError("redemptions did not reach a stable set")
         s = base.join(state, "request_id")
         r = running_sum(s, ["customer_id"], order, F.when(F.col("accepted"), F.col("points")).otherwise(0), "spent")
         have = F.col("bal0") - F.col("spent")
-        new = _ckpt(r.select("request_id", (have >= F.col("points")).alias("accepted"), have.alias("balance_before")))
+        new = _ckpt(r.select("request_id", (F.col("known") & (have >= F.col("points"))).alias("accepted"), have.alias("balance_before")))
         changed = new.join(state.withColumnRenamed("accepted", "_p"), "request_id") \
             .where(F.col("accepted") != F.col("_p")).count()
         state = new
@@ -187,7 +191,6 @@ def loyalty_manual_redeem(requests: DataFrame, balances: DataFrame, max_rounds:
             return base.join(state, "request_id").select(
                 "request_id", "customer_id", "points", "requested_at", "accepted", "balance_before",
                 F.when(~F.col("accepted"), F.lit("Insufficient points")).alias("error"))
-    raise RuntimeError("redemptions did not reach a stable set")
 
 
 def loyalty_reconcile(loyalty_points: DataFrame, ledger: DataFrame) -> DataFrame:

@@ -28,6 +28,7 @@ round.
 
 from __future__ import annotations
 
+import itertools
 import time
 
 from pyspark.sql import Column, DataFrame
@@ -56,10 +57,11 @@ def price_food_orders(requests: DataFrame) -> DataFrame:
                            to_double(total).alias("total_amount"))
 
 
-def price_produce_orders(requests: DataFrame, ui_adds_fee: bool = True) -> DataFrame:
+def price_produce_orders(requests: DataFrame, ui_adds_fee: bool = False) -> DataFrame:
     """total = round(max(0, amount + fee - promo - loyalty), 2), no platform
-    fee or tip (S2).  The produce page sends ``amount = subtotal + 50`` and
-    the server adds the fee again; ``ui_adds_fee`` reproduces that."""
+    fee or tip (S2): the server adds the fee once to the amount it is sent.
+    The produce page sends ``subtotal + 50``; ``ui_adds_fee`` is for requests
+    that carry the bare subtotal and shall be priced as if the page sent them."""
     fee = money(F.coalesce("delivery_fee", F.lit(50.0)))
     amount = money("subtotal") + (fee if ui_adds_fee else F.lit(0).cast(MONEY))
     total = F.round(F.greatest(F.lit(0).cast(MONEY), amount + fee
@@ -69,7 +71,7 @@ def price_produce_orders(requests: DataFrame, ui_adds_fee: bool = True) -> DataF
                            F.lit(None).cast("double").alias("rider_tip"), to_double(total).alias("total_amount"))
 
 
-def price_requests(requests: DataFrame, ui_adds_fee: bool = True) -> DataFrame:
+def price_requests(requests: DataFrame, ui_adds_fee: bool = False) -> DataFrame:
     food = price_food_orders(requests.where(F.col("order_type") == "food"))
     prod = price_produce_orders(requests.where(F.col("order_type") == "produce"), ui_adds_fee)
     out = food.unionByName(prod)
@@ -166,7 +168,7 @@ def _ckpt(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager=eager)
 
 
-COUNTER = "decimal(20,1)"
+COUNTER = "decimal(24,6)"   # grams and finer: the app compares exact quantities
 PROMO, LOYALTY, STOCK = 0, 1, 2
 
 
@@ -194,7 +196,7 @@ def _counter_rows(base: DataFrame, pl: DataFrame) -> DataFrame:
                     loyalty_discount=F.col("loyalty_discount"), bal0=F.col("bal0"))
     per_item = (pl.where(F.col("produce_id").isNotNull())
                 .groupBy(*KEY, "requested_at", "produce_id", "_s0", "_pavail", "_pname")
-                .agg(F.sum(F.col("quantity_kg").cast("decimal(18,1)")).alias("q"),
+                .agg(F.sum(F.col("quantity_kg").cast("decimal(18,6)")).alias("q"),
                      F.array_sort(F.collect_list(F.struct(F.col("pos").cast("int").alias("pos"),
                                                           F.col("quantity_kg").alias("qty")))).alias("lines")))
     stock = typed(per_item, STOCK, F.col("produce_id"), F.col("q"), _s0=F.col("_s0"),
@@ -203,13 +205,14 @@ def _counter_rows(base: DataFrame, pl: DataFrame) -> DataFrame:
 
 
 def settle(requests: DataFrame, menu_items: DataFrame, produce_items: DataFrame, promo_codes: DataFrame,
-           loyalty_points: DataFrame, max_rounds: int = 60, ui_adds_fee: bool = True,
+           loyalty_points: DataFrame, max_rounds: int | None = None, ui_adds_fee: bool = False,
            log=None) -> Settlement:
     """Settle food and produce requests together (S8, S9) -- they share promo
     counters and loyalty balances.  Start-of-batch state comes from the given
     tables (``promo_codes.used_count``, ``loyalty_points.total_points``,
     ``produce_items.stock_kg``).  ``log(stage, changed, seconds)`` is called
-    after the preparation and after every round.
+    after the preparation and after every round.  Every round makes at least one
+    more decision final, so it ends; ``max_rounds`` is an optional guard.
 
     Per round: the counter rows take the current decisions (one join on the
     request key), ONE two-level running sum over ``(counter type, key)``
@@ -249,7 +252,7 @@ def settle(requests: DataFrame, menu_items: DataFrame, produce_items: DataFrame,
     if log:
         log("counter rows", None, time.perf_counter() - t0)
     stock_q = crow.where(F.col("ctype") == STOCK).select(
-        *KEY, "requested_at", F.col("ckey").alias("produce_id"), "_s0", F.col("v").cast("decimal(18,1)").alias("q"))
+        *KEY, "requested_at", F.col("ckey").alias("produce_id"), "_s0", F.col("v").cast("decimal(18,6)").alias("q"))
 
     static_ok = F.col("item_error").isNull() & F.col("nf_error").isNull() & ~(
         F.col("promo_code").isNotNull() & (F.col("promo_code") != "") & F.col("promo_id").isNull())
@@ -257,7 +260,9 @@ def settle(requests: DataFrame, menu_items: DataFrame, produce_items: DataFrame,
     if log:
         log("prepare", None, time.perf_counter() - t0)
 
-    for rnd in range(1, max_rounds + 1):
+    for rnd in itertools.count(1):
+        if max_rounds is not None and rnd > max_rounds:
+            raise RuntimeError(f"settlement did not reach a stable set in {max_rounds} rounds")
         t0 = time.perf_counter()
         rows = crow.join(state, KEY)
         acc = F.col("accepted")
@@ -265,8 +270,8 @@ def settle(requests: DataFrame, menu_items: DataFrame, produce_items: DataFrame,
                          F.when(acc, F.col("v")).otherwise(F.lit(0).cast(COUNTER)), "before")
         ctype = F.col("ctype")
         # stock: the first line (list order) that fails against the pre-order stock
-        sb = F.greatest(F.lit(0).cast("decimal(18,1)"),
-                        F.col("_s0").cast("decimal(18,1)") - F.col("before")).cast("double")
+        sb = F.greatest(F.lit(0).cast("decimal(18,6)"),
+                        F.col("_s0").cast("decimal(18,6)") - F.col("before")).cast("double")
         over = F.try_element_at(F.filter("lines", lambda ln: ln["qty"] > sb), F.lit(1))
         out = (F.coalesce(F.col("_pavail"), F.lit(0)) == 0) | (sb <= 0)
         s_pos = F.when(out, F.try_element_at("lines", F.lit(1))["pos"]).otherwise(over["pos"])
@@ -301,7 +306,6 @@ def settle(requests: DataFrame, menu_items: DataFrame, produce_items: DataFrame,
             log(f"round {rnd}", changed, time.perf_counter() - t0)
         if changed == 0:
             return Settlement(priced, new.drop("_prev"), stock_q, rnd)
-    raise RuntimeError(f"settlement did not reach a stable set in {max_rounds} rounds")
 
 
 # ------------------------------------------------------------------ effects
@@ -349,9 +353,9 @@ def promo_usage_apply(promo_codes: DataFrame, uses: DataFrame) -> DataFrame:
 def stock_deduct(produce_items: DataFrame, deductions: DataFrame) -> DataFrame:
     """stock = max(0, stock - taken); an item whose stock reaches 0 through a
     deduction becomes unavailable (S16).  ``deductions``: produce_id, q."""
-    t = deductions.groupBy("produce_id").agg(F.sum(F.col("q").cast("decimal(18,1)")).alias("_t"))
+    t = deductions.groupBy("produce_id").agg(F.sum(F.col("q").cast("decimal(18,6)")).alias("_t"))
     j = produce_items.join(t, produce_items["id"] == t["produce_id"], "left")
-    new_stock = F.greatest(F.lit(0).cast("decimal(18,1)"), F.col("stock_kg").cast("decimal(18,1)") - F.col("_t"))
+    new_stock = F.greatest(F.lit(0).cast("decimal(18,6)"), F.col("stock_kg").cast("decimal(18,6)") - F.col("_t"))
     return j.select(
         *[c for c in produce_items.columns if c not in ("stock_kg", "is_available")],
         F.when(F.col("_t").isNull(), F.col("is_available"))
@@ -447,7 +451,7 @@ def validate_loyalty(priced: DataFrame, loyalty_points: DataFrame) -> DataFrame:
 
 def settle_in_batches(requests: DataFrame, menu_items: DataFrame, produce_items: DataFrame,
                       promo_codes: DataFrame, loyalty_points: DataFrame, cuts: list[str],
-                      ui_adds_fee: bool = True) -> DataFrame:
+                      ui_adds_fee: bool = False) -> DataFrame:
     """Micro-batch settlement (X9 without a callback server): the requests
     arrive in time slices split at ``cuts`` (timestamps, ascending); each
     slice is settled against the tables the previous slices left behind --

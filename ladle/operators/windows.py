@@ -27,17 +27,14 @@ def top_n_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n
     return df.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= n)
 
 
-def time_bucket(ts: Column | str, unit: str = "day") -> Column:
-    ts = F.col(ts) if isinstance(ts, str) else ts
-    return F.date_trunc(unit, ts)
-
-
-def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column | str,
-                out: str, inclusive: bool = False, bucket: Column | None = None,
+def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column | str | Sequence[Column | str],
+                out: str | Sequence[str], inclusive: bool = False, bucket: Column | None = None,
                 slices: int | None = None) -> DataFrame:
     """Per-key running sum of ``value`` ordered by ``order`` (ascending; the
     order columns must make rows unique within a key).  ``inclusive=False``
-    sums strictly earlier rows.  Exact two-level prefix sum.
+    sums strictly earlier rows.  Exact two-level prefix sum.  ``value`` and
+    ``out`` may be lists of equal length: several sums in one pass.  Rows with
+    a NULL key form a key of their own.
 
     Buckets are contiguous slices of the ``(keys, order)`` total order:
     by default ``repartitionByRange`` cuts the data into ``slices`` ranges
@@ -48,9 +45,11 @@ def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value:
     rows) and the ordered window runs inside (slice, key).  The sliced rows
     are checkpointed once so the slice id is stable.  A caller may pass its
     own monotone ``bucket`` expression instead (e.g. a day; no checkpoint)."""
-    value = F.col(value) if isinstance(value, str) else value
+    outs = [out] if isinstance(out, str) else list(out)
+    values = [value] if isinstance(out, str) else list(value)
     keys = list(keys)
-    x = df.withColumn("_v", value)
+    vs = [f"_v{i}" for i in range(len(outs))]
+    x = df.withColumns({v: F.col(c) if isinstance(c, str) else c for v, c in zip(vs, values)})
     if bucket is not None:
         x = x.withColumn("_b", bucket)
     else:
@@ -62,16 +61,20 @@ def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value:
         # checkpoint) and the slice is the checkpoint's partition index.
         x = (x.repartitionByRange(n, *[F.col(k) for k in keys], *[F.col(c) for c in order])
              .checkpoint(eager=True).withColumn("_b", F.spark_partition_id()))
-    totals = x.groupBy("_b", *keys).agg(F.sum("_v").alias("_bt"))
+    totals = x.groupBy("_b", *keys).agg(*[F.sum(v).alias(f"{v}t") for v in vs])
     wb = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_b", *keys, F.coalesce(F.sum("_bt").over(wb), F.lit(0)).alias("_off"))
+    offsets = totals.select(F.col("_b").alias("_ob"), *[F.col(k).alias(f"_ok{i}") for i, k in enumerate(keys)],
+                            *[F.coalesce(F.sum(f"{v}t").over(wb), F.lit(0)).alias(f"{v}o") for v in vs])
     frame_end = Window.currentRow if inclusive else -1
     wi = (Window.partitionBy("_b", *keys).orderBy(*[F.col(c) for c in order])
           .rowsBetween(Window.unboundedPreceding, frame_end))
-    inner = x.withColumn("_in", F.coalesce(F.sum("_v").over(wi), F.lit(0)))
-    return (inner.join(offsets, ["_b", *keys])
-            .withColumn(out, F.col("_off") + F.col("_in"))
-            .drop("_b", "_v", "_in", "_off"))
+    inner = x.withColumns({f"{v}i": F.coalesce(F.sum(v).over(wi), F.lit(0)) for v in vs})
+    same = F.col("_b") == F.col("_ob")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_ok{i}"))
+    joined = inner.join(offsets, same)
+    return joined.select(*keys, *[c for c in df.columns if c not in keys and c not in outs],
+                         *[(F.col(f"{v}o") + F.col(f"{v}i")).alias(o) for v, o in zip(vs, outs)])
 
 
 def last_message_per_contact(messages: DataFrame) -> DataFrame:
@@ -108,11 +111,11 @@ def stock_running(lines: DataFrame, produce_items: DataFrame) -> DataFrame:
     ``lines``: ``order_id``, ``created_at``, ``produce_id``, ``quantity_kg``.
     """
     per_order = (lines.groupBy("produce_id", "order_id", "created_at")
-                 .agg(F.sum(F.col("quantity_kg").cast("decimal(18,1)")).alias("q")))
+                 .agg(F.sum(F.col("quantity_kg").cast("decimal(18,6)")).alias("q")))
     run = running_sum(per_order, ["produce_id"], ["created_at", "order_id"], "q", "used_before")
-    stock = produce_items.select(F.col("id").alias("produce_id"), F.col("stock_kg").cast("decimal(18,1)").alias("s"))
+    stock = produce_items.select(F.col("id").alias("produce_id"), F.col("stock_kg").cast("decimal(18,6)").alias("s"))
     j = run.join(stock, "produce_id")
-    left = F.greatest(F.lit(0).cast("decimal(18,1)"), F.col("s") - F.col("used_before"))
+    left = F.greatest(F.lit(0).cast("decimal(18,6)"), F.col("s") - F.col("used_before"))
     return (lines.join(j.select("produce_id", "order_id", left.cast("double").alias("stock_before")),
                        ["produce_id", "order_id"]))
 
@@ -139,7 +142,7 @@ def review_rating_running(reviews: DataFrame) -> DataFrame:
     """Rating stored after each review: avg of the restaurant's reviews so
     far (this one included), half-up to 1 dp (W7)."""
     keys, order = ["restaurant_id"], ["created_at", "id"]
-    s = running_sum(reviews, keys, order, F.col("rating").cast("bigint"), "_s", inclusive=True)
-    s = running_sum(s, keys, order, F.lit(1).cast("bigint"), "_n", inclusive=True)
+    s = running_sum(reviews, keys, order, [F.col("rating").cast("bigint"), F.lit(1).cast("bigint")], ["_s", "_n"],
+                    inclusive=True)
     avg1 = (F.floor((F.col("_s") * 20 + F.col("_n")) / (F.col("_n") * 2)) / 10).cast("double")
     return s.withColumn("rating_after", avg1).drop("_s", "_n")

@@ -35,9 +35,9 @@ def _by_manager(d):
     return B.restaurants_by_manager(d.restaurants)
 
 
-@query("restaurants_by_cuisine", oracle="select * from restaurants where cuisine = 'GERMANY'")
+@query("restaurants_by_cuisine", oracle="select * from restaurants where cuisine = 'NATION_1'")
 def _by_cuisine(d):
-    return B.restaurants_by_cuisine(d.restaurants, "GERMANY")
+    return B.restaurants_by_cuisine(d.restaurants, "NATION_1")
 
 
 @query("menu_available", oracle="select * from menu_items where is_available = 1")

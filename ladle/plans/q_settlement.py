@@ -14,14 +14,22 @@ from ..operators import settlement as S
 from ..sources.requests import derived_requests
 from .catalog import query
 
-_CACHE: dict[tuple[int, str], S.Settlement] = {}
+_CACHE: dict[tuple, S.Settlement] = {}
+
+
+def _stamp(d) -> tuple:
+    """Path, size and time of the input tables: a changed input is settled anew."""
+    path = d.spark._jvm.org.apache.hadoop.fs.Path(d.sf_dir)
+    files = path.getFileSystem(d.spark._jsc.hadoopConfiguration()).listStatus(path)
+    return tuple(sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in files))
 
 
 def batch(d) -> S.Settlement:
-    key = (id(d.spark), d.sf_dir)
+    key = (d.spark.sparkContext.applicationId, *_stamp(d))
     if key not in _CACHE:
         promos = d.promo_codes.withColumn("used_count", F.lit(0))
-        _CACHE[key] = S.settle(derived_requests(d), d.menu_items, d.produce_items, promos, d.loyalty_points)
+        _CACHE[key] = S.settle(derived_requests(d), d.menu_items, d.produce_items, promos, d.loyalty_points,
+                               ui_adds_fee=True)  # derived requests carry the bare subtotal; the page adds the fee
     return _CACHE[key]
 
 
@@ -68,7 +76,7 @@ select request_id, customer_id, cast(sub as double) subtotal, promo_code, cast(p
 from req where order_type = 'produce'""")
 def _s2(d):
     r = derived_requests(d).where(F.col("order_type") == "produce")
-    return S.price_produce_orders(r).select("request_id", "customer_id", "subtotal", "promo_code", "promo_discount",
+    return S.price_produce_orders(r, ui_adds_fee=True).select("request_id", "customer_id", "subtotal", "promo_code", "promo_discount",
                                             "loyalty_discount", "total_amount")
 
 
@@ -152,7 +160,7 @@ select p.order_type, p.request_id, p.promo_code,
 from priced p left join (select * from promo_codes where is_active = 1) c on p.promo_code = c.code
 where p.promo_code is not null and p.promo_code <> ''""")
 def _s5(d):
-    r = S.price_requests(derived_requests(d))
+    r = S.price_requests(derived_requests(d), ui_adds_fee=True)
     return S.validate_promo_use(r, d.promo_codes.withColumn("used_count", F.lit(0)))
 
 
@@ -169,7 +177,7 @@ select r.order_type, r.request_id, r.customer_id, cast(r.loyalty_discount as dou
          || cast(trunc(r.loyalty_discount) as bigint) || ')' end loyalty_error
 from run r left join loyalty_points l on r.customer_id = l.customer_id where r.loyalty_discount > 0""")
 def _s6(d):
-    return S.validate_loyalty(S.price_requests(derived_requests(d)), d.loyalty_points)
+    return S.validate_loyalty(S.price_requests(derived_requests(d), ui_adds_fee=True), d.loyalty_points)
 
 
 def _orders(d):
@@ -259,4 +267,4 @@ def _x9(d):
     and ``settle_produce_orders`` together)."""
     promos = d.promo_codes.withColumn("used_count", F.lit(0))
     return S.settle_in_batches(derived_requests(d), d.menu_items, d.produce_items, promos, d.loyalty_points,
-                               BATCH_CUTS)
+                               BATCH_CUTS, ui_adds_fee=True)

@@ -51,12 +51,12 @@ def _w4(d):
 @query("stock_running", oracle="""
 with lines as (select poi.order_id, poi.produce_id, poi.quantity_kg, poi.unit_price, po.created_at
   from produce_order_items poi join produce_orders po on poi.order_id = po.id),
-per as (select produce_id, order_id, created_at, sum(cast(quantity_kg as decimal(18,1))) q
+per as (select produce_id, order_id, created_at, sum(cast(quantity_kg as decimal(18,6))) q
   from lines group by produce_id, order_id, created_at),
 run as (select *, coalesce(sum(q) over (partition by produce_id order by created_at, order_id
                                       rows between unbounded preceding and 1 preceding), 0) used_before from per)
 select l.produce_id, l.order_id, l.quantity_kg, l.unit_price, l.created_at,
-  cast(greatest(0, cast(p.stock_kg as decimal(18,1)) - r.used_before) as double) stock_before
+  cast(greatest(0, cast(p.stock_kg as decimal(18,6)) - r.used_before) as double) stock_before
 from lines l join run r on l.produce_id = r.produce_id and l.order_id = r.order_id
 join produce_items p on p.id = l.produce_id""")
 def _w5(d):

@@ -50,7 +50,7 @@ def test_rollback_and_commit_scenarios(spark, world):
         _req(5, "produce", 6, [(10, 1.0)]),                               # 2A unavailable produce
         _req(6, "food", 7, [(3, 2.0), (4, 1.0)], sub=800.0, code="WELCOME10", promo=32.5, loyalty=10.0),  # 3
     ]
-    s = S.settle(spark.createDataFrame(reqs, REQUEST_SCHEMA), menu, produce, promos, loyalty)
+    s = S.settle(spark.createDataFrame(reqs, REQUEST_SCHEMA), menu, produce, promos, loyalty, ui_adds_fee=True)
     got = {r.request_id: (r.accepted, r.error) for r in s.decisions.collect()}
     assert got[1] == (False, "Menu item Pizza Margherita is currently unavailable")
     assert got[2] == (False, "Menu item Zinger Burger does not belong to selected restaurant")
@@ -78,7 +78,7 @@ def test_two_lines_of_one_item_share_pre_order_stock(spark, world):
     menu, _, promos, loyalty = world
     produce = spark.createDataFrame([(11, "Apple", 1, 10.0)], "id bigint, name string, is_available int, stock_kg double")
     reqs = [_req(1, "produce", 1, [(11, 6.0), (11, 6.0)]), _req(2, "produce", 2, [(11, 1.0)])]
-    s = S.settle(spark.createDataFrame(reqs, REQUEST_SCHEMA), menu, produce, promos, loyalty)
+    s = S.settle(spark.createDataFrame(reqs, REQUEST_SCHEMA), menu, produce, promos, loyalty, ui_adds_fee=True)
     got = {r.request_id: r.error for r in s.decisions.collect()}
     assert got == {1: None, 2: "Produce item 'Apple' is currently out of stock"}
     taken = s.stock_lines.join(s.decisions.where("accepted"), S.KEY, "left_semi").select("produce_id", "q")
@@ -90,7 +90,7 @@ def test_not_enough_stock_message(spark, world):
     menu, _, promos, loyalty = world
     produce = spark.createDataFrame([(11, "Apple", 1, 10.0)], "id bigint, name string, is_available int, stock_kg double")
     reqs = [_req(1, "produce", 1, [(11, 7.5)]), _req(2, "produce", 2, [(11, 3.0)])]
-    s = S.settle(spark.createDataFrame(reqs, REQUEST_SCHEMA), menu, produce, promos, loyalty)
+    s = S.settle(spark.createDataFrame(reqs, REQUEST_SCHEMA), menu, produce, promos, loyalty, ui_adds_fee=True)
     got = {r.request_id: r.error for r in s.decisions.collect()}
     assert got[2] == "Not enough stock for 'Apple' — requested 3.0kg, only 2.5kg available"
 
@@ -114,7 +114,7 @@ def test_quotes(spark):
 
 def test_swagger_pricing(spark):
     r = [_req(1, "food", 1, [], sub=1100.0, promo=110.0)]
-    p = S.price_requests(spark.createDataFrame(r, REQUEST_SCHEMA)).collect()[0]
+    p = S.price_requests(spark.createDataFrame(r, REQUEST_SCHEMA), ui_adds_fee=True).collect()[0]
     assert (p.platform_fee, p.total_amount, p.points_earned) == (55.0, 1095.0, 10)
 
 
@@ -168,5 +168,5 @@ def test_round_guard_raises_instead_of_returning_unstable(spark, world):
     rdf = spark.createDataFrame(reqs, REQUEST_SCHEMA)
     with pytest.raises(RuntimeError):
         S.settle(rdf, menu, produce, promos, loyalty, max_rounds=1)
-    got = {r.request_id: r.accepted for r in S.settle(rdf, menu, produce, promos, loyalty).decisions.collect()}
+    got = {r.request_id: r.accepted for r in S.settle(rdf, menu, produce, promos, loyalty, ui_adds_fee=True).decisions.collect()}
     assert got == {1: True, 2: False, 3: False}

@@ -37,3 +37,30 @@ def test_running_sum_inclusive_with_day_buckets(spark):
     df = spark.createDataFrame(rows, "k string, ts timestamp_ntz, id bigint, v bigint")
     out = running_sum(df, ["k"], ["ts", "id"], "v", "upto", inclusive=True, bucket=F.date_trunc("day", "ts"))
     assert {r.id: r.upto for r in out.collect()} == {h: h + 1 for h in range(50)}
+
+
+def test_running_sum_keeps_null_keys_and_sums_several_values(spark):
+    df = spark.createDataFrame([(None, 1, 5), (None, 2, 6), ("a", 3, 7)], "k string, id bigint, v bigint")
+    out = running_sum(df, ["k"], ["id"], ["v", F.lit(1)], ["s", "n"], inclusive=True, slices=2)
+    assert sorted((r.id, r.s, r.n) for r in out.collect()) == [(1, 5, 1), (2, 11, 2), (3, 7, 1)]
+
+
+def test_only_a_local_master_gets_a_scratch_folder():
+    import pytest
+
+    from ladle.session import ensure_checkpoint_dir
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            get = staticmethod(lambda key, default=None: default)
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        ensure_checkpoint_dir(Session())
