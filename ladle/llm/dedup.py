@@ -157,17 +157,14 @@ def _pruned(pairs: DataFrame, nodes: DataFrame, table: np.ndarray, batch: int) -
     return both.select("a", "b", "sa", "sb").mapInPandas(run, "a binary, b binary")
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int,
-              pct: int) -> DataFrame:
-    """The pairs whose full shingle sets reach the threshold (``pairs`` is staged)."""
-    needed = (pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-              .join(nodes.select("node", "id"), "node"))
-    needed = stage(needed, "needed")
-    wanted = F.broadcast(needed) if fits_broadcast(needed, 64) else needed
+def _sets(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
+    """(node, s): the shingle set of each wanted node, from the text of its smallest id (staged)."""
+    needed = stage(wanted.distinct().join(nodes.select("node", "id"), "node"), "needed")
+    keys = F.broadcast(needed) if fits_broadcast(needed, 64) else needed
     texts = docs.select(F.col(id_col).alias("at"), F.col(text_col).alias("t")).join(
-        wanted, F.col("at").eqNullSafe(F.col("id"))).select("node", "t")
+        keys, F.col("at").eqNullSafe(F.col("id"))).select("node", "t")
 
-    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             node, kept = [], []
             for h, text in zip(pdf["node"], pdf["t"]):
@@ -177,22 +174,35 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str,
                     kept.append(s)
             yield pd.DataFrame({"node": node, "s": kept}, dtype=object)
 
-    found = stage(texts.mapInPandas(sets, "node binary, s binary").dropDuplicates(["node"]), "sets")
+    found = stage(texts.mapInPandas(run, "node binary, s binary").dropDuplicates(["node"]), "sets")
+    unstage(needed)
+    return found
+
+
+def _reaches(x: np.ndarray, y: np.ndarray, pct: int) -> bool:
+    """Whether two sorted sets reach the threshold."""
+    if len(x) > len(y):
+        x, y = y, x
+    both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return 100 * both >= pct * (len(x) + len(y) - both)
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int,
+              pct: int) -> DataFrame:
+    """The pairs whose full shingle sets reach the threshold (``pairs`` is staged)."""
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node")))
+    found = _sets(wanted, nodes, docs, id_col, text_col, k)
     both = (pairs.join(found.select(F.col("node").alias("a"), F.col("s").alias("x")), "a")
             .join(found.select(F.col("node").alias("b"), F.col("s").alias("y")), "b"))
 
     def exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            ok = []
-            for x, y in zip(pdf["x"], pdf["y"]):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                both_in = int((y[at] == x).sum())
-                ok.append(100 * both_in >= pct * (len(x) + len(y) - both_in))
+            ok = [_reaches(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), pct)
+                  for x, y in zip(pdf["x"], pdf["y"])]
             yield pdf.loc[np.array(ok, bool), ["a", "b"]]
 
     links = stage(both.select("a", "b", "x", "y").mapInPandas(exact, "a binary, b binary"), "links")
-    unstage(needed, found)
+    unstage(found)
     return links
 
 
@@ -226,64 +236,105 @@ def components(links: DataFrame) -> DataFrame:
     return out.union(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
 
 
-def _across(members: DataFrame, table: np.ndarray, batch: int, pct: int, block: int, parts: int) -> DataFrame:
-    """Surviving pairs between different components of a bucket.
+GROUP = ["bucket", "p", "q"]
+
+
+def _groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Whole groups of rows sorted by ``GROUP``, one at a time."""
+    held: list[pd.DataFrame] = []
+    last = None
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        keys = pdf[GROUP].to_numpy()
+        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(pdf)]
+        for x, y in zip(cuts, cuts[1:]):
+            if held and tuple(keys[x]) != last:
+                yield pd.concat(held, ignore_index=True)
+                held = []
+            held.append(pdf.iloc[x:y])
+            last = tuple(keys[x])
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
+def _open_pairs(g: pd.DataFrame, table: np.ndarray, batch: int, pct: int, rows: int,
+                label: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """For each member, the members of other components that sequential testing leaves to it.
 
-    ``members``: bucket, size, node, label, n, sig.  A bucket of more than
-    ``block`` members is cut by hash into chunks, and every pair of chunks is
-    one group; a task streams through its sorted groups and holds one at a
-    time.
+    A pair that shares several bands is tested in the first of them only.
+    ``label`` is read anew for each member, so it may be merged meanwhile.
     """
-    chunks = F.ceil(F.col("size") / F.lit(block)).cast("int")
-    rows = members.withColumn("chunks", chunks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    rows = rows.select("bucket", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"),
-                       "own", "node", "label", "n", "sig")
-    rows = rows.repartition(parts, "bucket", "p", "q").sortWithinPartitions("bucket", "p", "q")
-
-    def pairs(g: pd.DataFrame) -> pd.DataFrame | None:
-        if g["label"].nunique() < 2:
-            return None
-        label = pd.factorize(g["label"])[0]
-        n = g["n"].to_numpy()
-        sig = np.frombuffer(b"".join(g["sig"]), np.uint32).reshape(len(g), -1)
-        p, q, own = int(g["p"].iloc[0]), int(g["q"].iloc[0]), g["own"].to_numpy()
-        left = np.flatnonzero(own == p)
-        right = np.flatnonzero(own == q)
-        node = g["node"].to_numpy()
-        got: list[tuple[bytes, bytes]] = []
-        for i in left:
-            j = right[right > i] if p == q else right
-            j = j[label[j] != label[i]]
-            j = j[100 * np.minimum(n[j], n[i]) >= pct * np.maximum(n[j], n[i])]
-            if len(j):
-                ok = j[surviving(np.broadcast_to(sig[i], (len(j), sig.shape[1])), sig[j], table, batch)]
-                got += [(node[i], node[x]) if node[i] < node[x] else (node[x], node[i]) for x in ok]
-        return pd.DataFrame(got, columns=["a", "b"], dtype=object) if got else None
+    n = g["n"].to_numpy()
+    sig = np.frombuffer(b"".join(g["sig"]), np.uint32).reshape(len(g), -1)
+    band, p, q = int(g["band"].iloc[0]), int(g["p"].iloc[0]), int(g["q"].iloc[0])
+    left, right = np.flatnonzero(g["own"] == p), np.flatnonzero(g["own"] == q)
+    for i in left:
+        j = right[right > i] if p == q else right
+        j = j[(label[j] != label[i]) & (100 * np.minimum(n[j], n[i]) >= pct * np.maximum(n[j], n[i]))]
+        if len(j):
+            j = j[surviving(np.broadcast_to(sig[i], (len(j), sig.shape[1])), sig[j], table, batch)]
+        if len(j) and band:
+            same = (sig[j, :band * rows] == sig[i, :band * rows]).reshape(len(j), band, rows).all(axis=2).any(axis=1)
+            j = j[~same]
+        if len(j):
+            yield i, j
+
+
+def _across(members: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int,
+            table: np.ndarray, batch: int, pct: int, rows: int, block: int, parts: int) -> DataFrame:
+    """Links between different components of a bucket.
+
+    ``members``: bucket, band, size, mass (shingles of the bucket), node,
+    label, n.  A bucket of more than ``block`` members or a million shingles is
+    cut by hash into chunks, and every pair of chunks is one group; a task
+    streams through its sorted groups and holds one at a time.  The first pass
+    reads signatures and keeps the members that have a pair left to verify;
+    the second verifies these pairs on the full sets.  Neither writes pairs
+    that are no links.
+    """
+    chunks = F.greatest(F.ceil(F.col("size") / F.lit(block)), F.ceil(F.col("mass") / F.lit(1 << 20))).cast("int")
+    cut = members.withColumn("chunks", chunks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    cut = cut.select("bucket", "band", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"),
+                     "own", "node", "label", "n")
+    sig = nodes.select("node", "sig")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            change = np.flatnonzero((pdf["bucket"].to_numpy()[1:] != pdf["bucket"].to_numpy()[:-1])
-                                    | (pdf["p"].to_numpy()[1:] != pdf["p"].to_numpy()[:-1])
-                                    | (pdf["q"].to_numpy()[1:] != pdf["q"].to_numpy()[:-1])) + 1
-            cuts = [0, *change.tolist(), len(pdf)]
-            for x, y in zip(cuts, cuts[1:]):
-                part = pdf.iloc[x:y]
-                if held and (part[["bucket", "p", "q"]].iloc[0].tolist() != held[0][["bucket", "p", "q"]].iloc[0].tolist()):
-                    out = pairs(pd.concat(held, ignore_index=True))
-                    if out is not None:
-                        yield out
-                    held = []
-                held.append(part)
-        if held:
-            out = pairs(pd.concat(held, ignore_index=True))
-            if out is not None:
-                yield out
-
-    return rows.mapInPandas(run, "a binary, b binary").distinct()
+    def grouped(df: DataFrame) -> DataFrame:
+        return df.repartition(parts, *GROUP).sortWithinPartitions(*GROUP)
+
+    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for g in _groups(batches):
+            label = pd.factorize(g["label"])[0]
+            used = np.zeros(len(g), bool)
+            if label.max() > 0:
+                for i, j in _open_pairs(g, table, batch, pct, rows, label):
+                    used[i] = True
+                    used[j] = True
+            if used.any():
+                yield g.loc[used, [*GROUP, "band", "own", "node", "label", "n"]]
+
+    kinds = "bucket long, p int, q int, band int, own int, node binary, label binary, n long"
+    left = stage(grouped(cut.join(sig, "node")).mapInPandas(first, kinds), "open")
+    found = _sets(left.select("node"), nodes, docs, id_col, text_col, k)
+
+    def second(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for g in _groups(batches):
+            label = pd.factorize(g["label"])[0]
+            sets = [np.frombuffer(x, np.uint64) for x in g["s"]]
+            node = g["node"].to_numpy()
+            got = []
+            for i, js in _open_pairs(g, table, batch, pct, rows, label):
+                for j in js:
+                    if label[j] != label[i] and _reaches(sets[i], sets[j], pct):
+                        got.append((node[i], node[j]))
+                        label[label == label[j]] = label[i]
+            if got:
+                yield pd.DataFrame(got, columns=["a", "b"], dtype=object)
+
+    links = stage(grouped(left.join(sig, "node").join(found, "node")).mapInPandas(second, "a binary, b binary"), "links")
+    unstage(left, found)
+    return links
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, k: int = 5,
@@ -308,11 +359,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = stage(signed.filter("node is not null").groupBy("node").agg(
         F.min("id").alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig")), "nodes")
 
+    # the bucket's number holds its band, so buckets of different bands are different
     keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)),
                        lambda i: F.xxhash64(i, F.substring(F.col("sig"), i * (4 * rows) + 1, F.lit(4 * rows))))
-    banded = nodes.select("node", "n", F.explode(keys).alias("bucket"))
+    banded = nodes.select("node", "n", F.posexplode(keys).alias("band", "bucket"))
     heads = banded.groupBy("bucket").agg(
-        F.count(F.lit(1)).alias("size"),
+        F.count(F.lit(1)).alias("size"), F.sum("n").alias("mass"),
         F.array_distinct(F.array(*[F.min(F.struct(F.xxhash64("node", F.lit(j)).alias("h"), "node", "n"))
                                    for j in range(leaders)])).alias("lead")).filter("size > 1")
     shared = stage(banded.join(heads, "bucket"), "shared")
@@ -326,18 +378,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labels = stage(components(links), "labels")
 
     # completion: whatever still lies in one bucket and two components
-    placed = (shared.filter("size > 2").select("bucket", "node", "n", "size").join(labels, "node", "left")
+    placed = (shared.filter("size > 2").select("bucket", "band", "node", "n", "size", "mass").join(labels, "node", "left")
               .withColumn("label", F.coalesce("label", "node")))
     mixed = placed.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x != y")
-    members = placed.join(mixed.select("bucket"), "bucket").join(nodes.select("node", "sig"), "node")
-    rest = _across(members, table, batch, threshold_pct, block, shuffle_partitions(spark))
-    second = stage(rest.join(first, ["a", "b"], "left_anti"), "pairs")
-    if second.isEmpty():
-        final = labels
-    else:
-        more = _verified(second, nodes, docs, id_col, text_col, k, threshold_pct)
-        final = stage(components(links.union(more)), "labels")
-    unstage(shared, first, second)
+    members = placed.join(mixed.select("bucket"), "bucket")
+    more = _across(members, nodes, docs, id_col, text_col, k, table, batch, threshold_pct, rows, block,
+                   shuffle_partitions(spark))
+    final = labels if more.isEmpty() else stage(components(links.union(more)), "labels")
+    unstage(shared, first)
 
     named = nodes.select("node", "id").join(final, "node", "left").withColumn("label", F.coalesce("label", "node"))
     lowest = named.groupBy("label").agg(F.min("id").alias("component_id"))
