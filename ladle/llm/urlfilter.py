@@ -64,9 +64,9 @@ def path_templates(rows: DataFrame, *, depth: int, support: int, z: float, overa
             F.sum("n").alias("all"), F.sum("seen").alias("all_seen"), F.sum("worse").alias("all_bad"))
         share = (F.col("all_bad") + 2 * overall) / (F.col("all_seen") + 2)
         error = F.sqrt(share * (1 - share) / F.col("seen"))
-        literal = children.filter((F.col("n") >= support) & (F.col("seen") >= support)).join(nodes, ["host", "template"]).filter(
+        literal = stage(children.filter((F.col("n") >= support) & (F.col("seen") >= support)).join(nodes, ["host", "template"]).filter(
             F.abs(F.col("worse") / F.col("seen") - share) > z * error).select(
-            F.col("host").alias("_h"), F.col("template").alias("_t"), F.col("_seg").alias("_s"), F.lit(1).alias("_own"))
+            F.col("host").alias("_h"), F.col("template").alias("_t"), F.col("_seg").alias("_s"), F.lit(1).alias("_own")), "branches")
         df = df.join(literal, (F.col("host") == F.col("_h")) & (F.col("template") == F.col("_t"))
                      & (F.col("_seg") == F.col("_s")), "left")
         token = F.when(F.col("_seg").isNull(), F.lit("")).when(F.col("_own") == 1, F.concat(F.lit("/"), F.col("_seg"))).otherwise(
