@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
-CACHE = 400_000
+CACHE = 200_000
 
 
 class PieceTable:
@@ -236,6 +236,19 @@ def _plain(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
+def _portions(texts: list) -> Iterator[list]:
+    """Parts of a batch of about a million characters, so that few segments are held at once."""
+    held, size = [], 0
+    for t in texts:
+        held.append(t)
+        size += len(t or "")
+        if size >= 1 << 20:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def encode(docs: DataFrame, model: PieceTable, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """``docs`` with ``ids_col`` (array of int) in place of ``text_col``.
 
@@ -255,14 +268,14 @@ def encode(docs: DataFrame, model: PieceTable, text_col: str = "text", ids_col:
         model = held.value
         cache: dict[str, bytes] = {}
         for batch in batches:
-            split = [model.segments(t) if t else [] for t in _plain(batch, "t").to_pylist()]
-            if len(cache) > CACHE:
-                cache.clear()
-            new = list({s for segs in split for s in segs if s not in cache})
-            for i in range(0, len(new), CACHE):
-                part = new[i:i + CACHE]
-                cache.update(zip(part, [x.tobytes() for x in model.solve(part)]))
-            raw = [b"".join([cache[s] for s in segs]) for segs in split]
+            raw: list[bytes] = []
+            for texts in _portions(_plain(batch, "t").to_pylist()):
+                split = [model.segments(t) if t else [] for t in texts]
+                if len(cache) > CACHE:
+                    cache.clear()
+                new = list({s for segs in split for s in segs if s not in cache})
+                cache.update(zip(new, [x.tobytes() for x in model.solve(new)]))
+                raw += [b"".join([cache[s] for s in segs]) for segs in split]
             offsets = np.zeros(len(raw) + 1, np.int32)
             np.cumsum([len(x) // 4 for x in raw], out=offsets[1:])
             ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(raw), np.int32)))
