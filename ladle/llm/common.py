@@ -8,15 +8,22 @@ than the stage that was running.
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
 
+# Rows of an Arrow batch where the session names none: texts are long, and a batch is held whole on both sides.
+BATCH_ROWS = 1000
+
 # White space as the contracts define it: space and U+0009 to U+000D.
 WS_CLASS = r"[ \t-\r]"
 WORD = r"[^ \t-\r]+"
@@ -24,7 +31,13 @@ WS_CHARS = " \t\n\x0b\x0c\r"
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers, once per application (they may not have it on their path)."""
+    """Send this package to the Python workers, once per application (they may not have it on their path).
+
+    Arrow batches get ``BATCH_ROWS`` rows unless the session sets their size.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(BATCH_ROWS))
     sc = spark.sparkContext
     if getattr(sc, "_ladle_shipped", False):
         return
@@ -40,6 +53,18 @@ def ship(spark: SparkSession) -> None:
     sc._ladle_shipped = True
 
 
+def trimmed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` over a task's batches; at its end the worker, which stays alive, hands back free memory."""
+    def task(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return task
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     ship(spark)
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fits_broadcast, shuffle_partitions, stage, unstage
+from .common import fits_broadcast, shuffle_partitions, stage, trimmed, unstage
 
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
@@ -133,7 +133,7 @@ def _signed(docs: DataFrame, id_col: str, text_col: str, k: int, size: int) -> D
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), F.xxhash64(text_col).alias("h")).mapInPandas(
-        run, f"id {kind}, h long, node binary, n long, sig binary")
+        trimmed(run), f"id {kind}, h long, node binary, n long, sig binary")
 
 
 def _fits(a: str, b: str, pct: int) -> Column:
@@ -154,7 +154,7 @@ def _pruned(pairs: DataFrame, nodes: DataFrame, table: np.ndarray, batch: int) -
                 y = np.frombuffer(b"".join(pdf["sb"]), np.uint32).reshape(len(pdf), -1)
                 yield pdf.iloc[surviving(x, y, table, batch)][["a", "b"]]
 
-    return both.select("a", "b", "sa", "sb").mapInPandas(run, "a binary, b binary")
+    return both.select("a", "b", "sa", "sb").mapInPandas(trimmed(run), "a binary, b binary")
 
 
 def _sets(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
@@ -174,7 +174,7 @@ def _sets(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, tex
                     kept.append(s)
             yield pd.DataFrame({"node": node, "s": kept}, dtype=object)
 
-    found = stage(texts.mapInPandas(run, "node binary, s binary").dropDuplicates(["node"]), "sets")
+    found = stage(texts.mapInPandas(trimmed(run), "node binary, s binary").dropDuplicates(["node"]), "sets")
     unstage(needed)
     return found
 
@@ -201,7 +201,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str,
                   for x, y in zip(pdf["x"], pdf["y"])]
             yield pdf.loc[np.array(ok, bool), ["a", "b"]]
 
-    links = stage(both.select("a", "b", "x", "y").mapInPandas(exact, "a binary, b binary"), "links")
+    links = stage(both.select("a", "b", "x", "y").mapInPandas(trimmed(exact), "a binary, b binary"), "links")
     unstage(found)
     return links
 
@@ -315,7 +315,7 @@ def _across(members: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str,
                 yield g.loc[used, [*GROUP, "band", "own", "node", "label", "n"]]
 
     kinds = "bucket long, p int, q int, band int, own int, node binary, label binary, n long"
-    left = stage(grouped(cut.join(sig, "node")).mapInPandas(first, kinds), "open")
+    left = stage(grouped(cut.join(sig, "node")).mapInPandas(trimmed(first), kinds), "open")
     found = _sets(left.select("node"), nodes, docs, id_col, text_col, k)
 
     def second(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -332,7 +332,7 @@ def _across(members: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str,
             if got:
                 yield pd.DataFrame(got, columns=["a", "b"], dtype=object)
 
-    links = stage(grouped(left.join(sig, "node").join(found, "node")).mapInPandas(second, "a binary, b binary"), "links")
+    links = stage(grouped(left.join(sig, "node").join(found, "node")).mapInPandas(trimmed(second), "a binary, b binary"), "links")
     unstage(left, found)
     return links
 

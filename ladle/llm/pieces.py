@@ -22,10 +22,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import trimmed
+
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 CACHE = 200_000
@@ -282,7 +285,7 @@ def encode(docs: DataFrame, model: PieceTable, text_col: str = "text", ids_col:
             yield pa.RecordBatch.from_arrays([ids, *batch.columns[1:]], names=[
                 "ids", *batch.schema.names[1:]])
 
-    out = inner.mapInArrow(run, schema)
+    out = inner.mapInArrow(trimmed(run), schema)
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(rest)], F.col("ids").alias(ids_col))
 
 
@@ -291,7 +294,8 @@ def decode(encoded: DataFrame, model: PieceTable, ids_col: str = "ids", text_col
 
     Markers become spaces and the one that encoding put in front is dropped;
     byte pieces are read as UTF-8 (broken sequences become U+FFFD), an id
-    outside the vocabulary like the unknown piece.  Null ids give a null text.
+    outside the vocabulary and a null id like the unknown piece.  A null
+    array gives a null text.
     """
     held = encoded.sparkSession.sparkContext.broadcast(model)
     rest = [c for c in encoded.columns if c.lower() != text_col.lower()]
@@ -301,9 +305,12 @@ def decode(encoded: DataFrame, model: PieceTable, ids_col: str = "ids", text_col
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
         for batch in batches:
-            texts = [None if x is None else model.decode(x) for x in _plain(batch, "ids").to_pylist()]
+            lists = _plain(batch, "ids")
+            cuts, ids = lists.offsets.to_numpy(), pc.fill_null(lists.values, -1).to_numpy()
+            texts = [model.decode(ids[x:y].tolist()) if ok else None
+                     for x, y, ok in zip(cuts, cuts[1:], lists.is_valid().to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), *batch.columns[1:]],
                                              names=["t", *batch.schema.names[1:]])
 
-    out = inner.mapInArrow(run, schema)
+    out = inner.mapInArrow(trimmed(run), schema)
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(rest)], F.col("t").alias(text_col))
