@@ -29,10 +29,15 @@ def latest_per_key(changes: DataFrame, key: str, order: Sequence[str], cols: Seq
 
 
 def last_write_wins(base: DataFrame, changes: DataFrame, key: str, order: Sequence[str], cols: Sequence[str],
-                    base_key: str = "id", keep_old_if_null: Sequence[str] = ()) -> DataFrame:
+                    base_key: str = "id", keep_old_if_null: Sequence[str] = (),
+                    stamp: str | None = None) -> DataFrame:
     """Apply the latest change per key to ``base`` (S18 and the other status
     / attribute updates).  Columns in ``keep_old_if_null`` keep the old value
-    when the change has none (e.g. a rider given only sometimes)."""
+    when the change has none (e.g. a rider given only sometimes); the column
+    ``stamp`` moves to the time (first of ``order``) of the latest change."""
+    if stamp is not None:
+        changes = changes.withColumn(stamp, F.col(order[0]))
+        cols = [*cols, stamp]
     last = latest_per_key(changes, key, order, cols)
     j = base.join(last, base[base_key] == last[key], "left")
     out = []
@@ -70,7 +75,7 @@ def produce_status_apply(produce_orders: DataFrame, changes: DataFrame) -> DataF
         "order_id", "ts", "seq", F.col("new_status").alias("status"),
         F.when(F.coalesce(F.col("rider_id"), F.lit(0)) != 0, F.col("rider_id")).alias("rider_id"))
     return last_write_wins(produce_orders, c, "order_id", ["ts", "seq"], ["status", "rider_id"],
-                           keep_old_if_null=["rider_id"])
+                           keep_old_if_null=["rider_id"], stamp="updated_at")
 
 
 def restaurant_approval_apply(restaurants: DataFrame, decisions: DataFrame) -> DataFrame:

@@ -26,19 +26,19 @@ def _maybe(df: DataFrame, cond: Column | None) -> DataFrame:
 
 
 def restaurants_open(restaurants: DataFrame) -> DataFrame:
-    """Approved and open (B1); shown best rated first (``orderBy(desc("rating"))``)."""
-    return restaurants.where((F.col("status") == "approved") & (F.col("is_open") == 1))
+    """Approved and open, best rated first (B1)."""
+    return restaurants.where((F.col("status") == "approved") & (F.col("is_open") == 1)).orderBy(F.desc("rating"), "id")
 
 
 def restaurants_all(restaurants: DataFrame) -> DataFrame:
-    """Every restaurant (B2); callers sort by ``rating`` desc."""
-    return restaurants
+    """Every restaurant, best rated first (B2)."""
+    return restaurants.orderBy(F.desc("rating"), "id")
 
 
 def restaurants_by_manager(restaurants: DataFrame, manager_id=None) -> DataFrame:
-    """Restaurants of a manager, any status."""
+    """Restaurants of a manager, any status, newest first."""
     return _maybe(restaurants.where(F.col("manager_id").isNotNull()),
-                  None if manager_id is None else F.col("manager_id") == manager_id)
+                  None if manager_id is None else F.col("manager_id") == manager_id).orderBy(F.desc("created_at"), "id")
 
 
 def restaurants_by_cuisine(restaurants: DataFrame, cuisine: str = "all") -> DataFrame:

@@ -52,6 +52,7 @@ REQUIRED = {
     "produce_orders": ("customer_id", "total_amount"),
     "produce_order_items": ("order_id", "produce_id", "quantity_kg", "unit_price"),
     "promo_codes": ("code", "discount_type", "discount_value"),
+    "loyalty_points": ("customer_id",),
     "loyalty_transactions": ("customer_id", "points", "type"),
 }
 
@@ -79,6 +80,7 @@ FOREIGN_KEYS = [
     ("produce_orders", "rider_id", "riders", "id"),
     ("produce_order_items", "order_id", "produce_orders", "id"),
     ("produce_order_items", "produce_id", "produce_items", "id"),
+    ("loyalty_points", "customer_id", "users", "id"),
     ("loyalty_transactions", "customer_id", "users", "id"),
 ]
 ZERO_MEANS_NONE = {("menu_items", "category_id"), ("produce_orders", "rider_id")}

@@ -30,13 +30,14 @@ def _food_status_changes(d):
 
 
 @query("food_status_apply", oracle=f"""
-select o.* replace (coalesce(c.status, o.status) as status) from food_orders o left join (
-  select order_id, status from (select *, row_number() over (partition by order_id
+select o.* replace (coalesce(c.status, o.status) as status, coalesce(c.ts, o.updated_at) as updated_at)
+from food_orders o left join (
+  select order_id, status, ts from (select *, row_number() over (partition by order_id
     order by ts desc, seq desc, part desc, status desc) rn from {_FOOD_STATUS_CHANGES} x) y where rn = 1) c
 on o.id = c.order_id""")
 def _s18(d):
     return X.last_write_wins(d.food_orders, _food_status_changes(d), "order_id", ["ts", "seq", "part", "status"],
-                             ["status"])
+                             ["status"], stamp="updated_at")
 
 
 def _produce_status_changes(d):
@@ -55,7 +56,7 @@ with ch as (select l_orderkey order_id, l_shipdate ts, cast(l_linenumber as bigi
   from lineitem where l_orderkey % 4 = 0 and l_returnflag in ('A', 'N')),
 last as (select * from (select *, row_number() over (partition by order_id order by ts desc, seq desc) rn from ch) x
   where rn = 1)
-select p.* replace (coalesce(l.status, p.status) as status,
+select p.* replace (coalesce(l.status, p.status) as status, coalesce(l.ts, p.updated_at) as updated_at,
   case when l.order_id is not null and l.rider_id is not null then l.rider_id else p.rider_id end as rider_id)
 from produce_orders p left join last l on p.id = l.order_id""")
 def _s19(d):
@@ -65,7 +66,7 @@ def _s19(d):
 @query("assign_riders", oracle="""
 with ch as (select id order_id, created_at + interval 1 day ts, customer_id // 20 + 1 rider_id from food_orders
   where status = 'Confirmed' and rider_id is null)
-select o.* replace (coalesce(ch.rider_id, o.rider_id) as rider_id,
+select o.* replace (coalesce(ch.rider_id, o.rider_id) as rider_id, coalesce(ch.ts, o.updated_at) as updated_at,
   case when ch.order_id is not null then 'Out for Delivery' else o.status end as status)
 from food_orders o left join ch on o.id = ch.order_id""")
 def _s20(d):
@@ -74,7 +75,7 @@ def _s20(d):
         F.col("id").alias("order_id"), F.timestamp_add("DAY", F.lit(1), F.col("created_at")).alias("ts"),
         F.lit(0).alias("seq"), (idiv("customer_id", 20) + 1).alias("rider_id"),
         F.lit("Out for Delivery").alias("status"))
-    return X.last_write_wins(d.food_orders, ch, "order_id", ["ts", "seq"], ["rider_id", "status"])
+    return X.last_write_wins(d.food_orders, ch, "order_id", ["ts", "seq"], ["rider_id", "status"], stamp="updated_at")
 
 
 @query("rider_approval_apply", oracle="""
@@ -237,10 +238,18 @@ def _s33(d):
 
 @query("orders_ingest")
 def _a3(d):
-    """Requests serialised as JSON lines and decoded back with the explicit
-    schema and the app's defaults."""
+    """Requests serialised as JSON lines, produce orders with the field names
+    of their own body, and decoded back with the explicit schema and the
+    app's defaults."""
     r = derived_requests(d).drop("payment_method", "estimated_time")
-    return ingest_json(r.select(F.to_json(F.struct("*")).alias("value")))
+    produce = F.col("order_type") == "produce"
+    body = [F.when(~produce, F.col(c)).alias(c) if c in ("order_type", "subtotal", "items") else F.col(c)
+            for c in r.columns]
+    lines = F.transform("items", lambda i: F.struct(i["item_id"].alias("produce_id"), i["quantity"].alias("quantity_kg"),
+                                                    i["unit_price"].alias("unit_price")))
+    own = F.to_json(F.struct(*[F.col(c) for c in r.columns if c not in ("order_type", "subtotal", "items")],
+                             F.col("subtotal").alias("total_amount"), lines.alias("items")))
+    return ingest_json(r.select(F.when(produce, own).otherwise(F.to_json(F.struct(*body))).alias("value")))
 
 
 @query("json_export", oracle="""

@@ -39,6 +39,12 @@ REQUEST_SCHEMA = T.StructType([
     T.StructField("items", T.ArrayType(ITEM)),
 ])
 
+# The names that a produce body uses for its own fields.
+WIRE_ITEM = T.StructType([*ITEM.fields, T.StructField("produce_id", T.LongType()),
+                          T.StructField("quantity_kg", T.DoubleType())])
+WIRE_SCHEMA = T.StructType([*[f if f.name != "items" else T.StructField("items", T.ArrayType(WIRE_ITEM))
+                              for f in REQUEST_SCHEMA.fields], T.StructField("total_amount", T.DoubleType())])
+
 # Defaults the app fills in for absent request fields.
 DEFAULTS = {"delivery_fee": 50.0, "payment_method": "Cash on Delivery", "estimated_time": 35,
             "promo_discount": 0.0, "loyalty_discount": 0.0, "delivery_address": "", "special_instructions": ""}
@@ -48,8 +54,20 @@ LOYALTY_REDEEM = 5.0   # derived requests: PKR redeemed
 
 def ingest_json(lines: DataFrame, col: str = "value") -> DataFrame:
     """Decode JSON-lines requests with the explicit schema and apply the
-    defaults of absent fields (A3).  No schema inference pass."""
-    r = lines.select(F.from_json(F.col(col), REQUEST_SCHEMA).alias("r")).select("r.*")
+    defaults of absent fields (A3).  No schema inference pass.
+
+    A produce body names its amount ``total_amount`` and its lines
+    ``produce_id`` / ``quantity_kg``; both kinds decode to the columns of
+    ``REQUEST_SCHEMA``.  Without ``order_type``, a body with an amount or a
+    line of that kind is produce, any other food."""
+    r = lines.select(F.from_json(F.col(col), WIRE_SCHEMA).alias("r")).select("r.*")
+    produce = F.col("total_amount").isNotNull() | F.exists("items", lambda i: i["produce_id"].isNotNull())
+    r = (r.withColumn("order_type", F.coalesce("order_type", F.when(produce, "produce").otherwise("food")))
+         .withColumn("subtotal", F.coalesce("subtotal", "total_amount"))
+         .withColumn("items", F.transform("items", lambda i: F.struct(
+             F.coalesce(i["item_id"], i["produce_id"]).alias("item_id"),
+             F.coalesce(i["quantity"], i["quantity_kg"]).alias("quantity"), i["unit_price"].alias("unit_price"))))
+         .select(*REQUEST_SCHEMA.names))
     for c, v in DEFAULTS.items():
         r = r.withColumn(c, F.coalesce(F.col(c), F.lit(v)))
     return r

@@ -2,9 +2,9 @@
 audit log, JSON export (A4, A5, H3).
 
 No table format is available, so an update never overwrites the path it
-reads: each version of a table is a new directory ``<root>/v=<n>`` and a
-small ``_CURRENT`` pointer file names the live one.  Readers resolve the
-pointer once; a failed write leaves the previous version live.
+reads: each version of a table is a new directory ``<root>/v=<n>``, live
+once an empty file ``<root>/_committed/<n>`` exists; the newest committed
+version counts.  A failed write leaves the previous version live.
 """
 
 from __future__ import annotations
@@ -12,25 +12,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-POINTER = "_CURRENT"
+MARKERS = "_committed"
 
 
 def _fs(spark: SparkSession, path: str):
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
-def current_version(spark: SparkSession, root: str) -> int | None:
-    fs, p = _fs(spark, f"{root.rstrip('/')}/{POINTER}")
+def _numbers(spark: SparkSession, path: str, prefix: str = "") -> list[int]:
+    fs, p = _fs(spark, path)
     if not fs.exists(p):
-        return None
-    stream = fs.open(p)
-    try:
-        reader = spark._jvm.java.io.BufferedReader(spark._jvm.java.io.InputStreamReader(stream))
-        return int(reader.readLine().strip())
-    finally:
-        stream.close()
+        return []
+    names = [f.getPath().getName() for f in fs.listStatus(p)]
+    return [int(n[len(prefix):]) for n in names if n.startswith(prefix) and n[len(prefix):].isdigit()]
+
+
+def current_version(spark: SparkSession, root: str) -> int | None:
+    return max(_numbers(spark, f"{root.rstrip('/')}/{MARKERS}"), default=None)
 
 
 def read_snapshot(spark: SparkSession, root: str) -> DataFrame:
@@ -41,19 +40,17 @@ def read_snapshot(spark: SparkSession, root: str) -> DataFrame:
 
 
 def write_snapshot(df: DataFrame, root: str) -> int:
-    """Write ``df`` as the next version and switch the pointer to it."""
-    spark = df.sparkSession
-    v = (current_version(spark, root) or 0) + 1
-    df.write.mode("errorifexists").parquet(f"{root.rstrip('/')}/v={v}")
-    fs, p = _fs(spark, f"{root.rstrip('/')}/{POINTER}")
-    tmp = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{POINTER}.tmp")
-    out = fs.create(tmp, True)
-    try:
-        out.write(bytearray(f"{v}\n".encode()))
-    finally:
-        out.close()
-    fs.delete(p, False)
-    fs.rename(tmp, p)
+    """Write ``df`` as the next version and commit it.
+
+    The number is above every version ever begun, so a write that died before
+    its commit is passed over; of two writers that pick the same number, the
+    second fails.
+    """
+    spark, root = df.sparkSession, root.rstrip("/")
+    v = max(_numbers(spark, root, "v="), default=0) + 1
+    df.write.mode("errorifexists").parquet(f"{root}/v={v}")
+    fs, p = _fs(spark, f"{root}/{MARKERS}/{v}")
+    fs.create(p, False).close()
     return v
 
 

@@ -1,5 +1,5 @@
 """Sources and sinks: JSON request ingest with defaults, versioned
-snapshots behind a pointer file, partitioned audit append."""
+committed snapshots, partitioned audit append."""
 
 import datetime as dt
 import json
@@ -23,7 +23,15 @@ def test_ingest_fills_defaults(spark):
     assert (r[2].delivery_fee, r[2].payment_method) == (70.0, "Card")
 
 
-def test_snapshots_switch_pointer(spark):
+def test_ingest_produce_body(spark):
+    line = json.dumps({"request_id": 3, "customer_id": 4, "total_amount": 150.0,
+                       "items": [{"produce_id": 7, "quantity_kg": 1.25, "unit_price": 120.0}]})
+    r = ingest_json(spark.createDataFrame([(line,)], "value string")).first()
+    assert (r.order_type, r.subtotal, r.delivery_fee) == ("produce", 150.0, 50.0)
+    assert tuple(r.items[0]) == (7, 1.25, 120.0)
+
+
+def test_snapshots_switch_versions(spark):
     root = tempfile.mkdtemp(prefix="run-", dir="/tmp") + "/promo_codes"
     v1 = sinks.write_snapshot(spark.createDataFrame([("A", 1)], "code string, used int"), root)
     v2 = sinks.write_snapshot(spark.createDataFrame([("A", 2), ("B", 0)], "code string, used int"), root)
@@ -33,6 +41,16 @@ def test_snapshots_switch_pointer(spark):
     assert spark.read.parquet(f"{root}/v=1").count() == 1
 
 
+def test_snapshot_survives_a_crash_before_its_commit(spark):
+    root = tempfile.mkdtemp(prefix="run-", dir="/tmp") + "/promo_codes"
+    one, two = (spark.createDataFrame([("A", n)], "code string, used int") for n in (1, 2))
+    sinks.write_snapshot(one, root)
+    two.write.parquet(f"{root}/v=2")  # a writer that died before the commit
+    assert [tuple(r) for r in sinks.read_snapshot(spark, root).collect()] == [("A", 1)]
+    assert sinks.write_snapshot(two, root) == 3
+    assert [tuple(r) for r in sinks.read_snapshot(spark, root).collect()] == [("A", 2)]
+
+
 def test_audit_append_partitions_by_day(spark):
     path = tempfile.mkdtemp(prefix="run-", dir="/tmp") + "/audit"
     t = dt.datetime(2024, 5, 1, 23, 30)
