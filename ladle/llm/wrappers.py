@@ -9,14 +9,21 @@ turn.  Equal streams are counted once before anything is aligned, hosts with
 many different ones are folded in salted parts first, so a host with a third
 of all pages costs no more than its number of different page structures.
 
-The wrapper tells which region of the host's pages holds the article; a
-page's text is what its slots in that region hold, without the parts that are
-marked as menus, headers, footers, sidebars, notices, adverts, forms or
-comments.
+Every text of a page belongs to a slot of its host's wrapper, and Spark counts
+on how many of the host's pages a slot holds the same text.  What at least
+``least`` pages and half of those with the slot share is template; the rest
+varies and is content.  The regions (article, main, content) that the wrapper
+chooses are those that hold ``region_share`` or more of the varying text of
+the pages that have them.  A page's text is the varying text of the first such
+region that it has, or all its varying text.  Word lists of tags and classes
+only take out beforehand what is marked as menu, header, footer, sidebar,
+notice, advert, form or comment, as that may vary from page to page too.
+Pages whose unmarked texts are all equal count as one page.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as html_lib
 import json
 import re
@@ -26,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import stage, unstage
 from .urlfilter import host_of
 
 # Element names and the words in class, id or role that mark parts of a page.
@@ -87,9 +94,15 @@ def _label(tag: str, attrs: str) -> str:
 
 def parse(page: str) -> tuple[list, list[tuple[tuple[str, ...], str]]]:
     """(tree, blocks): the tree is [label, children], a slot the string ``#``; a block is (path of labels, text)."""
+    return _parsed(page)[:2]
+
+
+def _parsed(page: str) -> tuple[list, list[tuple[tuple[str, ...], str]], list[tuple[int, int]]]:
+    """``parse``, and for each block the identity of its element and its slot's position there."""
     root: list = ["", []]
     stack = [("", root)]
     blocks: list[tuple[tuple[str, ...], str]] = []
+    places: list[tuple[int, int]] = []
     held: list[str] = []
 
     def flush() -> None:
@@ -101,6 +114,7 @@ def parse(page: str) -> tuple[list, list[tuple[tuple[str, ...], str]]]:
                 if not kids or kids[-1] != SLOT:
                     kids.append(SLOT)
                 blocks.append((tuple(n[0] for _, n in stack[1:]), text))
+                places.append((id(stack[-1][1]), len(kids) - 1))
 
     def text(s: str) -> None:
         if s:
@@ -165,7 +179,7 @@ def parse(page: str) -> tuple[list, list[tuple[tuple[str, ...], str]]]:
             continue
         stack.append((tag, node))
     flush()
-    return root, blocks
+    return root, blocks, places
 
 
 def skeleton(node) -> list:
@@ -233,9 +247,55 @@ def regions_of(w: list, dropped: bool = False) -> set[str]:
     return found
 
 
-def extract(blocks: list[tuple[tuple[str, ...], str]], regions: list[str]) -> str:
-    """The texts of the first of the wrapper's regions that the page has, else of all that is not dropped."""
-    free = [(path, text) for path, text in blocks if not any(x.endswith("!") for x in path)]
+def slots_only(w: list) -> list:
+    """[label, children] of a wrapper's elements that are not dropped."""
+    return [w[0], [] if w[0].endswith("!") else [slots_only(k) for k in w[3]]]
+
+
+def located(tree: list, places: list[tuple[int, int]], wrapper: list) -> list[str]:
+    """The wrapper slot of each block of a page, as positions in the wrapper from the root.
+
+    A page's neighbours of one label are one group of the wrapper; the next
+    label is looked for behind the last one's position.  What the wrapper has
+    only further ahead is taken there, what it lacks is named by its labels.
+    """
+    at: dict[tuple[int, int], str] = {}
+    todo: list[tuple[list, list | None, str]] = [(tree, wrapper, "")]
+    while todo:
+        node, w, address = todo.pop()
+        inner = [k[0] for k in w[1]] if w is not None else []
+        last, j = None, -1
+        for i, kid in enumerate(node[1]):
+            label = kid if kid == SLOT else kid[0]
+            if label != last:
+                last = label
+                try:
+                    j = inner.index(label, j + 1)
+                    found = j
+                except ValueError:
+                    found = inner.index(label) if label in inner else -1
+                here = f"{address}/{found if found >= 0 else label}"
+            if kid == SLOT:
+                at[id(node), i] = here
+            elif not label.endswith("!"):
+                todo.append((kid, w[1][found] if found >= 0 else None, here))
+    return [at.get(p, "") for p in places]
+
+
+def _hash(*parts: str) -> int:
+    return int.from_bytes(hashlib.blake2b("\0".join(parts).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
+
+def _free(path: tuple[str, ...]) -> bool:
+    return not any(x.endswith("!") for x in path)
+
+
+def extract(blocks: list[tuple[tuple[str, ...], str]], regions: list[str], varies: list[bool] | None = None) -> str:
+    """The texts of the first of the wrapper's regions that the page has, else of all that is not dropped.
+
+    ``varies`` tells the blocks that are content from those that are template.
+    """
+    free = [(path, text) for i, (path, text) in enumerate(blocks) if _free(path) and (varies is None or varies[i])]
     for kind in regions:
         inside = [text for path, text in free if any(x.partition("@")[2] == kind for x in path)]
         if inside:
@@ -244,7 +304,10 @@ def extract(blocks: list[tuple[tuple[str, ...], str]], regions: list[str]) -> st
 
 
 def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html", *, salts: int = 16) -> DataFrame:
-    """(host, wrapper, regions, pages): one wrapper per host, over all its pages (staged)."""
+    """(host, wrapper, regions, pages, tree): one wrapper per host, over all its pages (staged).
+
+    ``regions`` are the kinds that the host's pages have, ``tree`` the wrapper's slots for ``located``.
+    """
     rows = pages.select(host_of(F.col(url_col)).alias("host"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -271,31 +334,96 @@ def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html
             trees = [json.loads(s) for s in pdf["s"]]
             found = [regions_of(t) for t in trees]
             yield pd.DataFrame({"host": pdf["host"], "wrapper": [expression(t) for t in trees],
-                                "regions": [[k for k in REGIONS if k in f] for f in found], "pages": pdf["n"]})
+                                "regions": [[k for k in REGIONS if k in f] for f in found], "pages": pdf["n"],
+                                "tree": [json.dumps(slots_only(t), ensure_ascii=False, separators=(",", ":")) for t in trees]})
+
+    return stage(whole.mapInPandas(told, "host string, wrapper string, regions array<string>, pages long, tree string"), "wrappers")
+
+
+class _Trees(dict):
+    """Wrappers by their text, so that a task reads the wrapper of a host once."""
 
-    return stage(whole.mapInPandas(told, "host string, wrapper string, regions array<string>, pages long"), "wrappers")
+    def __missing__(self, text: str) -> list:
+        if len(self) >= 256:
+            self.clear()
+        self[text] = json.loads(text)
+        return self[text]
+
+
+def infer_plans(pages: DataFrame, url_col: str = "url", html_col: str = "html", *, least: int = 5,
+                region_share: float = 0.25) -> DataFrame:
+    """(host, tree, fixed, regions): the wrapper, the (slot, text) hashes that are template, the regions chosen (staged).
+
+    A host's template texts are at most twice as many as the slots' texts of
+    its average page, as each stands on half of the pages or more.
+    """
+    wrappers = infer_wrappers(pages, url_col, html_col)
+    rows = pages.select(host_of(F.col(url_col)).alias("host"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
+    rows = rows.join(wrappers.select("host", "tree"), "host")
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        trees = _Trees()
+        for pdf in batches:
+            out = []
+            for host, page, tree in zip(pdf["host"], pdf["html"], pdf["tree"]):
+                root, blocks, places = _parsed(page)
+                free = [(path, text, slot) for (path, text), slot in zip(blocks, located(root, places, trees[tree])) if _free(path)]
+                same = _hash(*[x for path, text, _ in free for x in ("/".join(path), text)])
+                seen = {}
+                for path, text, slot in free:
+                    seen[_hash(slot, text)] = (_hash(slot), len(text), sum(
+                        1 << j for j, kind in enumerate(REGIONS) if any(x.partition("@")[2] == kind for x in path)))
+                out += [(host, same, slot, text, chars, kinds) for text, (slot, chars, kinds) in seen.items()]
+            yield pd.DataFrame(out, columns=["host", "page", "slot", "text", "chars", "kinds"])
+
+    texts = stage(rows.mapInPandas(read, "host string, page long, slot long, text long, chars long, kinds int")
+                  .dropDuplicates(["host", "page", "text"]), "wrapper-texts")
+    slots = texts.groupBy("host", "slot", "page").agg(F.lit(1).alias("one")).groupBy("host", "slot").agg(
+        F.count(F.lit(1)).alias("have"))
+    fixed = stage(texts.groupBy("host", "slot", "text").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
+                  .join(slots, ["host", "slot"]).filter(2 * F.col("n") >= F.col("have")).select("host", "text"), "wrapper-fixed")
+    has = lambda j: F.col("kinds").bitwiseAND(1 << j) > 0
+    varying = texts.join(fixed, ["host", "text"], "left_anti").groupBy("host", "page").agg(
+        F.sum("chars").alias("chars"), *[F.sum(F.when(has(j), F.col("chars"))).alias(k) for j, k in enumerate(REGIONS)])
+    shares = varying.groupBy("host").agg(F.count(F.lit(1)).alias("n"), *[x for k in REGIONS for x in (
+        F.sum(k).alias(k), F.sum(F.when(F.col(k) > 0, F.col("chars"))).alias(f"{k}_of"))])
+    chosen = shares.select("host", F.filter(F.array(*[
+        F.when((F.col("n") < least) | (F.col(k) >= region_share * F.col(f"{k}_of")), F.lit(k)) for k in REGIONS]),
+        lambda x: x.isNotNull()).alias("regions"))
+    out = (wrappers.select("host", "tree").join(fixed.groupBy("host").agg(F.collect_list("text").alias("fixed")), "host", "left")
+           .join(chosen, "host", "left"))
+    plans = stage(out, "wrapper-plans")
+    unstage(wrappers, texts, fixed)
+    return plans
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per page: id, url, text.
 
     Character references are decoded, white space inside a block is one
-    space, blocks are joined in page order by an empty line; nothing else is
-    dropped or cut.  Defined results: a null or empty page, or one without
+    space, blocks are joined in page order by an empty line; marked parts and
+    template texts are dropped, nothing is cut.  A host with fewer than five
+    different pages has no template texts and all regions.  Defined results: a null or empty page, or one without
     article text, has the empty text; a null url belongs to the host without
     a name; repeated rows give equal rows; an empty table gives an empty
     result; other columns are not read.
     """
-    wrappers = infer_wrappers(pages, url_col, html_col)
-    plans = wrappers.select(F.col("host").alias("h"), "regions")
+    plans = infer_plans(pages, url_col, html_col).withColumnRenamed("host", "h")
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"),
                         host_of(F.col(url_col)).alias("host"))
-    rows = rows.join(plans, F.col("host") == F.col("h"), "left").select("id", "url", "html", "regions")
+    rows = rows.join(plans, F.col("host") == F.col("h"), "left").select("id", "url", "html", "tree", "fixed", "regions")
     kind = pages.schema[id_col].dataType.simpleString()
 
+    def text_of(page: str, tree: list, fixed: set, regions: list[str]) -> str:
+        root, blocks, places = _parsed(page)
+        varies = [_hash(slot, text) not in fixed for (_, text), slot in zip(blocks, located(root, places, tree))] if fixed else None
+        return extract(blocks, regions, varies)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        trees = _Trees()
         for pdf in batches:
-            texts = [extract(parse(x)[1], list(r) if r is not None else []) for x, r in zip(pdf["html"], pdf["regions"])]
+            texts = [text_of(x, trees[t], set(f) if f is not None else set(), list(r) if r is not None else [])
+                     for x, t, f, r in zip(pdf["html"], pdf["tree"], pdf["fixed"], pdf["regions"])]
             yield pd.DataFrame({"id": pdf["id"], "url": pdf["url"], "text": texts})
 
     out = rows.mapInPandas(run, f"id {kind}, url string, text string")

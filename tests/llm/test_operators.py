@@ -481,3 +481,21 @@ def test_wrappers_merge_repeats_and_options(spark):
     assert {r.text for r in text if r.page_id in (10, 11)} == {""}
     assert sorted(len(r.text) for r in text if r.page_id == 12) == [1, 20000 + 2 * 19999]
     assert wrappers.main_text(pages.limit(0)).count() == 0
+
+
+def test_the_wrapper_tells_template_from_content(spark):
+    """Texts that a host's pages share at a slot are dropped, and the region is the one that varies."""
+    words = vocabulary(300, 12)
+    story = lambda i: " ".join(words[(7 * i + 3 * j) % 300] for j in range(30))
+    top = "<article><p>card {0}</p></article>"
+    shown = {i: f"{top.format(i)}<div class=content><h1>{story(i)}</h1>" + f"<p>{story(i + 50)}</p>" * (1 + i % 3)
+             + "<div><p>read our terms</p></div></div>" for i in range(12)}
+    rows = [(i, f"http://h.org/{i}", PAGE.format(x)) for i, x in shown.items()]
+    rows += [(100 + i, f"http://two.org/{i}", PAGE.format(shown[0])) for i in range(9)]    # equal pages tell nothing
+    rows += [(200 + i, f"http://bare.org/{i}", PAGE.format(f"<div><p>welcome</p></div><div><p>{story(i)}</p></div>")) for i in range(8)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in wrappers.main_text(pages).collect()}
+    for i in range(12):
+        assert got[i] == "\n\n".join([story(i)] + [story(i + 50)] * (1 + i % 3))
+    assert all(got[100 + i] == "card 0" for i in range(9))
+    assert all(got[200 + i] == story(i) for i in range(8))
