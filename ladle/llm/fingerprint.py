@@ -10,11 +10,13 @@ symbols' names, and the names are the next level's symbols, up to a single
 name for the text.  Equal substrings are thus parsed alike except near their
 ends, at whatever offset they stand.
 
-The fingerprint is a bottom-k sketch of the set of phrase names from a lowest
-level upward (lower for short texts, so that they have enough phrases): the
-``SKETCH`` smallest 32-bit names in hexadecimal.  The likeness of two
-fingerprints is the share of the smallest names of their union that both have,
-an estimate of the resemblance of the two phrase sets.
+The fingerprint holds bottom-k sketches of the sets of phrase names from a
+lowest level upward (lower for short texts, so that they have enough phrases)
+and from each level above it up to ``TOP``: the ``SKETCH`` smallest 32-bit
+names each, every name once, in hexadecimal.  Two fingerprints are compared
+from the higher of their lowest levels upward, so that both stand for phrases
+of the same levels; their likeness is the share of the smallest names of their
+union that both have, an estimate of the resemblance of the two phrase sets.
 """
 
 from __future__ import annotations
@@ -30,6 +32,7 @@ from pyspark.sql import functions as F
 from .common import shuffle_partitions, stage
 
 SKETCH = 64
+TOP = 3  # no text's lowest level is higher
 PIECE_CHARS = 1 << 20
 _K = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)]
 
@@ -91,42 +94,69 @@ def _lowest_level(n: np.ndarray) -> np.ndarray:
 
 
 def sketches(texts: list[str]) -> list[np.ndarray]:
-    """The sorted smallest phrase names (uint32) of each text; none for an empty text."""
+    """The fingerprint of each text as words (uint32); none for an empty text.
+
+    The first word holds the lowest level and the numbers of names of levels
+    1 and 2 (a byte each); the smallest names of each level, sorted, follow,
+    those of ``TOP`` and all levels above together.
+    """
     lengths = np.array([len(t) for t in texts], np.int64)
     code = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
     out = [np.empty(0, np.uint32)] * len(texts)
     if not len(code):
         return out
+    lowest = _lowest_level(lengths)
     with np.errstate(over="ignore"):
         x = _mixed(code.astype(np.uint64) * _K[2] + _K[0])
         seg = np.repeat(np.arange(len(texts)), lengths)
-        lowest = _lowest_level(lengths)
-        names, owners = [], []
+        names, owners, levels = [], [], []
         level = 0
         while len(x):
             first = np.ones(len(x), bool)
             first[1:] = seg[1:] != seg[:-1]
             alone = first.copy()
-            alone[:-1] &= first[1:]     # a sequence of one symbol is done: that is the text's own name
+            alone[:-1] &= first[1:]     # a sequence of one symbol is done: that is the text's own name, at every level
             keep = alone | ((level > 0) & (level >= lowest[seg]))
             names.append((_mixed(x[keep] + np.uint64(level)) >> np.uint64(32)).astype(np.uint32))
             owners.append(seg[keep])
+            levels.append(np.where(alone[keep], TOP, min(level, TOP)).astype(np.uint8))
             x, seg = x[~alone], seg[~alone]
             if len(x):
                 x, seg = parse_level(x, seg)
             level += 1
-    name, owner = np.concatenate(names), np.concatenate(owners)
+    name, owner, at = np.concatenate(names), np.concatenate(owners), np.concatenate(levels)
     order = np.argsort((owner.astype(np.uint64) << np.uint64(32)) | name, kind="stable")
-    name, owner = name[order], owner[order]
+    name, owner, at = name[order], owner[order], at[order]
     fresh = np.ones(len(name), bool)
     fresh[1:] = (name[1:] != name[:-1]) | (owner[1:] != owner[:-1])
+    at = np.maximum.reduceat(at, np.flatnonzero(fresh))
     name, owner = name[fresh], owner[fresh]
+    held = np.zeros(len(name), bool)
+    for k in range(1, TOP + 1):  # a level's names among the smallest from it upward
+        rank = np.cumsum(at >= k)
+        before = np.searchsorted(owner, owner)
+        held |= (at == k) & (rank - np.where(before > 0, rank[before - 1], 0) <= SKETCH)
+    name, owner, at = name[held], owner[held], at[held]
+    order = np.argsort(owner * (TOP + 1) + at, kind="stable")
+    name, owner, at = name[order], owner[order], at[order]
     cuts = np.searchsorted(owner, np.arange(len(texts) + 1))
     for i in range(len(texts)):
-        out[i] = name[cuts[i]:min(cuts[i + 1], cuts[i] + SKETCH)]
+        if cuts[i] < cuts[i + 1]:
+            own = slice(cuts[i], cuts[i + 1])
+            n = np.bincount(at[own], minlength=TOP + 1)
+            head = np.array([int(lowest[i]) | int(n[1]) << 8 | int(n[2]) << 16], np.uint32)
+            out[i] = np.concatenate([head, name[own]])
     return out
 
 
+def _from_level(sketch: np.ndarray, level: int) -> np.ndarray:
+    """The sorted smallest names of a level upward, from the text's lowest level on."""
+    head = int(sketch[0])
+    skip = [0, head >> 8 & 255, head >> 16 & 255]
+    names = sketch[1 + sum(skip[:level]):]
+    return names if level == TOP else np.sort(names)[:SKETCH]
+
+
 def hexed(sketch: np.ndarray) -> str:
     return sketch.astype(">u4").tobytes().hex()
 
@@ -139,6 +169,8 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     """Estimated resemblance, 0 to 1; two empty sketches are alike."""
     if not len(a) or not len(b):
         return float(len(a) == len(b))
+    level = max(int(a[0]) & 255, int(b[0]) & 255)
+    a, b = _from_level(a, level), _from_level(b, level)
     union = np.union1d(a, b)[:SKETCH]
     return float((np.isin(union, a, assume_unique=True) & np.isin(union, b, assume_unique=True)).sum() / len(union))
 
