@@ -2,12 +2,14 @@
 
 Base patterns find e-mail addresses, IP addresses, payment cards and phone
 numbers.  These are the seeds: the words around them are lexical patterns, and
-the words around other identifier-shaped tokens (runs with four digits or
-more) are collected too.  Spark then scores the bipartite graph of patterns
+the words around other identifier-shaped phrases (tokens with four digits or
+more, two to five digit groups with white space between, e-mail forms with or
+without digits, IPv6 addresses) are collected too.  Spark then scores the bipartite graph of patterns
 and instances, kind by kind:
 
 *   a pattern's confidence is the share of accepted among the different
-    identifier-shaped strings it surrounds, with ``prior`` pseudo-rejections;
+    identifier-shaped strings it surrounds, with ``prior`` pseudo-rejections
+    (a part of a longer phrase counts only if it is accepted);
 *   an instance that is still unknown is accepted when a pattern with at least
     ``support`` different accepted strings has a confidence of ``confidence``
     or more for a kind that the string's shape allows.
@@ -15,7 +17,8 @@ and instances, kind by kind:
 Accepted instances raise further patterns, so the step repeats until nothing
 new is accepted (the accepted set only grows, so it ends).  Strings are counted
 once per pattern, so copies of a document have no extra say.  Accepted
-occurrences are added to the base spans, which always stay.
+occurrences are added to the base spans, which always stay; those inside a
+longer accepted one are left out.
 
 Offsets come from the text between matches: Spark has no function that gives a
 match's position, but ``split`` and ``regexp_extract_all`` by one pattern give
@@ -24,7 +27,7 @@ the pieces and the matches in turn, whose lengths add up to offsets.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stage, unstage
@@ -41,11 +44,23 @@ PATTERNS = {
 }
 # An identifier-shaped token: no white space, four digits or more.
 TOKEN = r"(?<![^ \t-\r])(?:[^ \t-\r0-9]*+[0-9]){4}[^ \t-\r]*+"
+# A group of digits at the start of a token; phrases are made of neighbouring ones.
+PIECE = r"(?<![^ \t-\r])[(]?[0-9][0-9().-]*+(?![^ \t-\r,;:!?'\"\]])"
+PHRASE_PIECES = 5
+# E-mail forms: any host, the sign written out in brackets or as a word.
+_L = r"[^ \t-\r@<>()\[\]{},;:\"'|]"
+MAIL = (rf"(?<!{_L}){_L}++(?:@{_L}++| ?[\[({{](?i:at)[\])}}] ?{_L}++(?: ?[\[({{](?i:dot)[\])}}] ?{_L}++)*+"
+        rf"| (?i:at) {_L}++(?: (?i:dot) {_L}++)++)")
+IPV6 = r"(?<![0-9A-Za-z:.])[0-9A-Fa-f]{0,4}+(?::[0-9A-Fa-f]{0,4}+){2,7}+(?![0-9A-Za-z:])"
+FORMS = {"token": TOKEN, "piece": PIECE, "mail": MAIL, "v6": IPV6}
 PRESENT = {
     "email": lambda t: F.contains(t, F.lit("@")),
     "ip": lambda t: t.rlike(r"[0-9]\.[0-9]++\.[0-9]"),
     "card": lambda t: t.rlike(r"[0-9](?:[ -]?[0-9]){11}"),
     "phone": lambda t: t.rlike(r"\+[0-9]"),
+    "piece": lambda t: t.rlike(r"[0-9][().-]*+[ \t-\r][(]?[0-9]"),
+    "mail": lambda t: F.contains(t, F.lit("@")) | t.rlike(r"(?i)[\[({]at[\])}]| at [^ \t-\r]++ dot "),
+    "v6": lambda t: F.contains(t, F.lit("::")) | t.rlike(r":[0-9A-Fa-f]{1,4}:[0-9A-Fa-f]{1,4}:"),
     "token": lambda t: t.rlike(r"[0-9][^ \t-\r0-9]*+[0-9][^ \t-\r0-9]*+[0-9]"),
 }
 
@@ -94,15 +109,15 @@ def _located(df: DataFrame, text: Column, name: str, pattern: str) -> DataFrame:
         lambda c: add(F.slice(lens, c * k + 1, k)))))
     before = lambda i: (add(F.slice(F.col("_c"), F.lit(1), F.floor(i / k).cast("int")))
                         + add(F.slice(lens, F.floor(i / k).cast("int") * k + 1, i % k)))
-    last_word, first_word = r"([^ \t-\r]+)[ \t-\r]*$", r"^[ \t-\r]*([^ \t-\r]+)"
+    last_word, first_word, blank = r"([^ \t-\r]+)$", r"^([^ \t-\r]+)", F.lit(" \t\n\x0b\x0c\r")
 
     def one(m: Column, i: Column) -> Column:
         piece, after = F.get(F.col("_p"), i), F.get(F.col("_p"), i + 1)
         end = before(i) + F.get(lens, i)
         return F.struct(
             (end - F.length(m)).alias("start"), end.alias("end"), m.alias("s"),
-            F.lower(F.regexp_extract(F.right(piece, F.lit(48)), last_word, 1)).alias("left"),
-            F.lower(F.regexp_extract(F.left(after, F.lit(48)), first_word, 1)).alias("right"))
+            F.lower(F.regexp_extract(F.right(F.rtrim(piece, blank), F.lit(48)), last_word, 1)).alias("left"),
+            F.lower(F.regexp_extract(F.left(F.ltrim(after, blank), F.lit(48)), first_word, 1)).alias("right"))
 
     empty = F.array().cast("array<struct<start:int,end:int,s:string,left:string,right:string>>")
     return df.withColumn(name, F.coalesce(F.transform(F.col("_m"), one), empty)).drop("_m", "_p", "_l", "_k", "_c")
@@ -116,22 +131,62 @@ def _checked(number: int, kind: str) -> Column:
 
 
 def locate(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, hash of the text, base (array of kind number, start, end, s, left, right) and cand (tokens outside base spans)."""
+    """id, hash of the text, base (array of kind number, start, end, s, left, right) and cand (phrases outside base spans)."""
     df = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     df = df.withColumn("h", F.xxhash64("t"))
-    for name, pattern in [*PATTERNS.items(), ("token", TOKEN)]:
+    for name, pattern in [*PATTERNS.items(), *FORMS.items()]:
         df = _located(df, F.col("t"), name, pattern)
     kinds = [_checked(j, k) for j, k in enumerate(KINDS)]
     df = df.withColumn("base", F.sort_array(F.concat(*kinds)))
-    free = F.filter("token", lambda x: ~F.exists(F.col("base"), lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
+    df = df.withColumn("groups", _groups(F.col("piece")))
+    df = df.withColumn("phrase", _phrases(F.col("groups")))
     core = r"^[^\p{L}\p{N}+(]*"
     # without the marks around it
-    trimmed = F.transform(free, lambda x: F.struct(
+    trimmed = F.transform(F.concat("token", "mail"), lambda x: F.struct(
         (x["start"] + F.length(F.regexp_extract(x["s"], core, 0))).alias("start"),
         (x["end"] - F.length(F.regexp_extract(x["s"], r"[^\p{L}\p{N}]*$", 0))).alias("end"),
         F.regexp_replace(F.regexp_replace(x["s"], core, ""), r"[^\p{L}\p{N}]*$", "").alias("s"),
-        x["left"].alias("left"), x["right"].alias("right")))
-    return df.withColumn("cand", F.filter(trimmed, lambda x: _shapes(x["s"]) > 0)).select("id", "h", "base", "cand")
+        x["left"].alias("left"), x["right"].alias("right"), F.lit(False).alias("part")))
+    v6 = F.transform("v6", lambda x: x.withField("part", F.lit(False)))
+    shaped = F.filter(F.concat(trimmed, F.col("phrase"), v6), lambda x: _shapes(x["s"]) > 0)
+    free = F.filter(shaped, lambda x: ~F.exists(F.col("base"), lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
+    return df.withColumn("cand", F.array_distinct(free)).select("id", "h", "base", "cand")
+
+
+def _groups(pieces: Column) -> Column:
+    """Digit groups with their number of digits, the length of the marks at the end, and their brackets."""
+    tail = lambda x: F.length(F.regexp_extract(x["s"], r"[^0-9]*$", 0))
+    return F.transform(pieces, lambda x: F.struct(
+        x["start"].alias("start"), x["end"].alias("end"), x["s"].alias("s"), x["left"].alias("left"), x["right"].alias("right"),
+        F.length(_digits(x["s"])).alias("d"), tail(x).alias("tail"), x["s"].startswith("(").alias("open"),
+        F.contains(x["s"], F.lit(")")).alias("close")))
+
+
+def _phrases(pieces: Column) -> Column:
+    """Phrases of two to ``PHRASE_PIECES`` digit groups with one white space between; ``part``: in a longer one."""
+    def near(a: Column, b: Column) -> Column:
+        return F.coalesce(a["end"] + 1 == b["start"], F.lit(False))
+
+    def of(rows: Column, i: Column, k: int) -> Column:
+        own = [F.get(rows, i + j) for j in range(k)]
+        joined, digits = F.lit(True), own[0]["d"]
+        for a, b in zip(own, own[1:]):
+            joined, digits = joined & near(a, b), digits + b["d"]
+        before, after = F.get(rows, i - 1), F.get(rows, i + k)
+        part = F.lit(False) if k == PHRASE_PIECES else ((near(before, own[0]) & (digits + before["d"] <= 19))
+                                                        | (near(own[-1], after) & (digits + after["d"] <= 19)))
+        s, end, closed = F.concat_ws(" ", *[x["s"] for x in own]), own[-1]["tail"], own[0]["close"]
+        for x in own[1:-1]:
+            closed = closed | x["close"]
+        lead = F.when(own[0]["open"] & ~closed, 1).otherwise(0)
+        return F.when(joined & digits.between(7, 19), F.struct(
+            (own[0]["start"] + lead).alias("start"), (own[-1]["end"] - end).alias("end"),
+            F.substring(s, lead + 1, own[-1]["end"] - own[0]["start"] - end - lead).alias("s"), own[0]["left"].alias("left"),
+            own[-1]["right"].alias("right"), F.coalesce(part, F.lit(False)).alias("part")))
+
+    every = F.flatten(F.transform(pieces, lambda x, i: F.array(*[of(pieces, i, k) for k in range(2, PHRASE_PIECES + 1)])))
+    return F.when(F.size(pieces) > 1, F.filter(every, lambda x: x.isNotNull())).otherwise(
+        F.array().cast("array<struct<start:int,end:int,s:string,left:string,right:string,part:boolean>>"))
 
 
 def _bit(kind: Column) -> Column:
@@ -139,11 +194,13 @@ def _bit(kind: Column) -> Column:
 
 
 def _shapes(s: Column) -> Column:
-    """Bits of the kinds that a token's shape allows."""
+    """Bits of the kinds that a phrase's shape allows."""
     n = F.length(_digits(s))
     numeric = s.rlike(r"^[+(]?[0-9][0-9 ().-]*$")
-    return (F.when(s.rlike(r"(?i)[a-z0-9](?:@|[(\[]at[)\]])[a-z0-9]"), 1).otherwise(0)
-            + F.when(s.rlike(r"^[0-9]{1,3}(?:[.,:_-][0-9]{1,3}){3}$"), 2).otherwise(0)
+    return (F.when(s.rlike(
+        r"(?i)[\p{L}\p{N}](?:@| ?[(\[{]at[)\]}] ?)[\p{L}\p{N}]|^[^ ]+ at [^ ]+ dot [\p{L}\p{N}]"), 1).otherwise(0)
+            + F.when(s.rlike(r"^[0-9]{1,3}(?:[.,:_-][0-9]{1,3}){3}$") | s.rlike(
+                r"(?i)^(?:(?:[0-9a-f]{1,4}:){7}[0-9a-f]{1,4}|(?=[:0-9a-f]*::)(?=[^0-9a-f]*[0-9a-f])[:0-9a-f]+)$"), 2).otherwise(0)
             + F.when(numeric & n.between(12, 19), 4).otherwise(0)
             + F.when(numeric & n.between(7, 15), 8).otherwise(0))
 
@@ -158,11 +215,13 @@ def discover(found: DataFrame, *, confidence: float, support: int, prior: float)
     """(s, kind) of the unknown strings that the pattern graph accepts."""
     seeds = found.select(F.explode("base").alias("x")).select(
         F.explode(_patterns(F.col("x"))).alias("pattern"), F.col("x.s").alias("s"),
-        _bit(F.col("x.kind")).alias("kinds"), F.lit(True).alias("seed"))
+        _bit(F.col("x.kind")).alias("kinds"), F.lit(True).alias("seed"), F.lit(False).alias("part"))
+    # a part of a longer phrase has a number beside it: one neighbour alone says nothing of the part
     others = found.select(F.explode("cand").alias("x")).select(
-        F.explode(_patterns(F.col("x"))).alias("pattern"), F.col("x.s").alias("s"),
-        _shapes(F.col("x.s")).alias("kinds"), F.lit(False).alias("seed"))
-    edges = stage(seeds.union(others).groupBy("pattern", "s").agg(F.max("kinds").alias("kinds"), F.max("seed").alias("seed")),
+        F.explode(F.slice(_patterns(F.col("x")), F.lit(1), F.when(F.col("x.part"), 1).otherwise(3))).alias("pattern"), F.col("x.s").alias("s"),
+        _shapes(F.col("x.s")).alias("kinds"), F.lit(False).alias("seed"), F.col("x.part").alias("part"))
+    edges = stage(seeds.union(others).groupBy("pattern", "s").agg(F.max("kinds").alias("kinds"), F.max("seed").alias("seed"),
+                                                                         F.min("part").alias("part")),
                   "pii-edges")
     spark = found.sparkSession
     accepted, n = spark.createDataFrame([], "s string, kind int"), 0
@@ -171,7 +230,7 @@ def discover(found: DataFrame, *, confidence: float, support: int, prior: float)
             "as", F.when(F.col("seed"), F.col("kinds")).otherwise(
                 F.coalesce(_bit(F.col("kind")), F.lit(0))))
         counts = known.groupBy("pattern").agg(
-            F.count(F.lit(1)).alias("n"),
+            F.count(F.when(~F.col("part") | (F.col("as") > 0), 1)).alias("n"),
             *[F.count(F.when(F.col("as").bitwiseAND(1 << j) > 0, 1)).alias(f"n{j}") for j in range(len(KINDS))])
         share = F.array(*[F.struct((F.col(f"n{j}") / (F.col("n") + F.lit(prior))).alias("c"), F.col(f"n{j}").alias("n"),
                                    F.lit(j).alias("kind")) for j in range(len(KINDS))])
@@ -207,9 +266,12 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     found = stage(locate(docs, id_col, text_col), "pii")
     accepted = discover(found, confidence=confidence, support=support, prior=prior)
     added = (found.select("id", "h", F.explode("cand").alias("x"))
-             .join(accepted, F.col("x.s") == F.col("s")).groupBy("id", "h")
-             .agg(F.collect_set(F.struct(F.col("x.start").alias("start"), F.col("kind"), F.col("x.end").alias("end")))
-                  .alias("more")))
+             .join(accepted, F.col("x.s") == F.col("s"))
+             .select("id", "h", F.col("x.start").alias("start"), "kind", F.col("x.end").alias("end")).distinct())
+    ahead = Window.partitionBy("id", "h").orderBy("start", F.desc("end"), "kind").rowsBetween(Window.unboundedPreceding, -1)
+    added = (added.withColumn("reached", F.max("end").over(ahead))
+             .filter(F.col("reached").isNull() | (F.col("reached") < F.col("end")))
+             .groupBy("id", "h").agg(F.collect_list(F.struct("start", "kind", "end")).alias("more")))
     base = F.transform("base", lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
     a, b = found.alias("a"), added.alias("b")
     out = a.join(b, F.col("a.id").eqNullSafe(F.col("b.id")) & (F.col("a.h") == F.col("b.h")), "left")

@@ -353,6 +353,38 @@ def test_pii_discovers_identifiers_by_context(spark):
     assert text[0] == "Please call desk <PHONE> today, thanks"
 
 
+def test_pii_discovers_phrases_by_context(spark):
+    """Digit groups with spaces, e-mail forms without digits, IPv6: found where the base patterns' contexts stand."""
+    seed = {"email": "write to {} for details", "ip": "logged from {} at night", "card": "paid with card {} in full",
+            "phone": "call desk {} today please"}
+    shown = {"email": lambda i: f"user{i}@mail.example.org", "ip": lambda i: f"10.0.{i}.7", "card": lambda i: card(i),
+             "phone": lambda i: f"+1 (555) 010-{1000 + i}"}
+
+    def card(i):
+        d = f"411111{i:09d}"
+        return d + next(str(c) for c in range(10) if luhn(d + str(c)))
+
+    rows, at = [], 0
+    for kind, text in seed.items():
+        for i in range(80):
+            rows.append((at, text.format(shown[kind](i))))
+            at += 1
+    planted = [("email", x) for x in ("anna[at]example.org", "bob@localhost", "eva (at) example.org", "jo at example dot org")]
+    planted += [("ip", "2001:db8::7"), ("ip", "fe80:0:0:0:1:2:3:4"), ("card", "4111 1111 1111 1112")]
+    planted += [("phone", x) for x in ("030 123 4567", "(555) 010-9999", "01 23 45 67 89", "555 123 4567")]
+    rows += [(1000 + j, seed[kind].format(x)) for j, (kind, x) in enumerate(planted)]
+    rows += [(2000, "build 040 123 4567 was fine"), (2001, "the std::vector of eve@localhost ran"), (2002, "1 2 3 4 " * 3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.id: r for r in pii.find_pii(df).collect()}
+    for j, (kind, x) in enumerate(planted):
+        start = rows[320 + j][1].index(x)
+        assert [tuple(y) for y in found[1000 + j].spans] == [(start, pii.KINDS.index(kind), start + len(x))], x
+        assert not found[1000 + j].base
+    assert not any(found[i].spans for i in (2000, 2001, 2002))
+    text = {r.doc_id: r.text for r in pii.redact(df).collect()}
+    assert text[1001] == "write to <EMAIL> for details" and text[2002] == rows[-1][1]
+
+
 def test_redact_keeps_rows_and_columns(docs, texts):
     got = pii.redact(docs)
     assert got.columns == docs.columns
