@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, dedup, fingerprint, mixing, pieces, pii, quality, tokenbin, urlfilter, wrappers
+from . import chat, dedup, exact, fingerprint, mixing, pieces, pii, quality, tokenbin, urlfilter, wrappers
 from .common import table
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -149,3 +149,14 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_html_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = wrappers.main_text(table(spark, sf_dir, "pages", "page_id", "url", "html"))
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query(f"""
+WITH t AS (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS norm FROM documents)
+SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept,
+       sha256(norm) AS text_sha256
+FROM t WINDOW g AS (PARTITION BY norm)
+""")
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return exact.exact_duplicates(docs.withColumn("text_sha256", F.sha2(exact.normalised(F.col("text")), 256)))
