@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, dedup, exact, fingerprint, mixing, pieces, pii, quality, tokenbin, urlfilter, wrappers
+from . import chat, dedup, exact, fingerprint, mixing, pieces, pii, quality, tokenbin, urlfilter, whitening, wrappers
 from .common import table
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -151,6 +151,16 @@ def op10_html_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+@query()
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    white = whitening.whiten(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), components=8)
+    return white.select("vec_id", "n", F.expr("try_cast(deviation as bigint)").alias("deviation"), "identity_error", "explained",
+                        F.posexplode("whitened").alias("pos", "whitened")).select(
+        "vec_id", (F.col("pos") + 1).alias("component"), "n", "deviation", "whitened",
+        F.get("explained", F.col("pos")).alias("explained"), "identity_error")
+
+
+
 @query(f"""
 WITH t AS (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS norm FROM documents)
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept,
