@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, dedup, exact, fingerprint, mixing, pieces, pii, quality, tokenbin, urlfilter, whitening, wrappers
+from . import chat, dedup, exact, fingerprint, mixing, pieces, pii, quality, tokenbin, trie, urlfilter, whitening, wrappers
 from .common import table
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -161,6 +161,45 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+@query(r"""
+WITH own AS (
+  SELECT conv_id, list({'r': coalesce(role, ''), 't': coalesce(text, '')} ORDER BY turn NULLS FIRST,
+           sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS turns
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+bytes AS (
+  SELECT *, list_reduce([4294967295::UBIGINT] || list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::UBIGINT),
+    lambda acc, x: list_reduce([xor(acc, x), 0, 0, 0, 0, 0, 0, 0, 0],
+      lambda c, z: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384::UBIGINT ELSE 0::UBIGINT END))) AS crc FROM own),
+heads AS (SELECT *, (xor(crc, 4294967295::UBIGINT) % 4)::BIGINT AS h FROM bytes),
+conv AS (
+  SELECT a.conv_id, coalesce(b.turns[1:a.h], []) || coalesce(a.turns[a.h + 1:], []) AS turns
+  FROM heads a LEFT JOIN own b ON b.conv_id = a.conv_id - a.conv_id % 20),
+prefix AS (
+  SELECT conv_id, len(turns) AS n, unnest(range(0, len(turns) + 1)) AS depth, turns FROM conv),
+keyed AS (SELECT conv_id, n, depth, turns[1:depth] AS key, turns[1:depth - 1] AS above, turns[depth].t AS last FROM prefix),
+node AS (
+  SELECT depth, key, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(above) AS above, any_value(last) AS last,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n = depth), '')) AS ends_sha256
+  FROM keyed GROUP BY depth, key),
+children AS (SELECT depth - 1 AS depth, above AS key, count(*) AS n_children FROM node WHERE depth > 0 GROUP BY ALL),
+valued AS (
+  SELECT node.*, coalesce(n_children, 0) AS n_children,
+    CASE WHEN depth = 0 THEN 0 ELSE (n_convs - 1) * len(regexp_extract_all(last, '[^\x20\x09-\x0D]+')) END AS saved
+  FROM node LEFT JOIN children USING (depth, key)),
+below AS (
+  SELECT k.depth, k.key, sum((v.n_children = 0)::INT) AS n_leaves, sum(v.saved) AS saved_tokens
+  FROM valued v JOIN keyed k ON k.conv_id = v.conv_id AND k.depth <= v.depth GROUP BY k.depth, k.key)
+SELECT v.conv_id, v.depth, p.conv_id AS parent_conv_id, v.n_convs, v.n_children, CAST(b.n_leaves AS BIGINT) AS n_leaves,
+       CAST(b.saved_tokens AS BIGINT) AS saved_tokens, v.ends_sha256
+FROM valued v JOIN below b ON b.depth = v.depth AND b.key = v.key
+LEFT JOIN node p ON p.depth = v.depth - 1 AND p.key = v.above AND v.depth > 0
+""")
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = trie.prefix_trie(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
+    return nodes.withColumnsRenamed({"conv": "conv_id", "parent": "parent_conv_id"})
+
+
+
 @query(f"""
 WITH t AS (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS norm FROM documents)
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept,
