@@ -44,11 +44,9 @@ def ship(spark: SparkSession) -> None:
     top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     archive = os.path.join(tempfile.mkdtemp(prefix="ladle-"), "ladle_llm.zip")
     with zipfile.ZipFile(archive, "w") as z:
-        for folder in (top, os.path.join(top, "llm")):
-            for name in sorted(os.listdir(folder)):
-                if name.endswith(".py"):
-                    path = os.path.join(folder, name)
-                    z.write(path, os.path.join("ladle", os.path.relpath(path, top)))
+        for folder, _, names in sorted(os.walk(top)):
+            for path in (os.path.join(folder, n) for n in sorted(names) if n.endswith(".py")):
+                z.write(path, os.path.join("ladle", os.path.relpath(path, top)))
     sc.addPyFile(archive)
     sc._ladle_shipped = True
 
