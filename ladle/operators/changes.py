@@ -11,14 +11,14 @@ directory, see ``sources.sinks``).
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.money import money, to_double
-from .windows import running_sum
+from ..sources.staging import staged
+from .conflicts import resolve
 
 
 def latest_per_key(changes: DataFrame, key: str, order: Sequence[str], cols: Sequence[str]) -> DataFrame:
@@ -174,28 +174,20 @@ def loyalty_manual_earn(requests: DataFrame) -> DataFrame:
 def loyalty_manual_redeem(requests: DataFrame, balances: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """Stand-alone redemptions (S13), one customer's requests in order:
     accepted when the balance covers the points, and an accepted redemption
-    lowers the balance for the next.  Same fixpoint as the settlement with
-    one counter; a customer without a balance row is rejected.  ``requests``: request_id, customer_id, points, requested_at."""
-    from .settlement import _ckpt
-    order = ["requested_at", "request_id"]
-    base = _ckpt(requests.join(balances.select("customer_id", F.col("total_points").alias("bal0")),
-                               "customer_id", "left").withColumn("known", F.col("bal0").isNotNull())
-                 .withColumn("bal0", F.coalesce("bal0", F.lit(0))))
-    state = _ckpt(base.select("request_id", F.lit(True).alias("accepted")))
-    for rnd in itertools.count(1):
-        if max_rounds is not None and rnd > max_rounds:
-            raise RuntimeError("redemptions did not reach a stable set")
-        s = base.join(state, "request_id")
-        r = running_sum(s, ["customer_id"], order, F.when(F.col("accepted"), F.col("points")).otherwise(0), "spent")
-        have = F.col("bal0") - F.col("spent")
-        new = _ckpt(r.select("request_id", (F.col("known") & (have >= F.col("points"))).alias("accepted"), have.alias("balance_before")))
-        changed = new.join(state.withColumnRenamed("accepted", "_p"), "request_id") \
-            .where(F.col("accepted") != F.col("_p")).count()
-        state = new
-        if changed == 0:
-            return base.join(state, "request_id").select(
-                "request_id", "customer_id", "points", "requested_at", "accepted", "balance_before",
-                F.when(~F.col("accepted"), F.lit("Insufficient points")).alias("error"))
+    lowers the balance for the next.  One counter per request; a customer
+    without a balance row is rejected.  ``requests``: request_id, customer_id, points, requested_at."""
+    base = staged(requests.join(balances.select("customer_id", F.col("total_points").alias("bal0")), "customer_id", "left")
+                  .withColumn("known", F.col("bal0").isNotNull()).withColumn("bal0", F.coalesce("bal0", F.lit(0))), "redemptions")
+    rows = base.select(F.lit("redeem").alias("order_type"), "request_id", "requested_at", F.lit(0).alias("ctype"),
+                       F.col("customer_id").cast("bigint").alias("ckey"), (-F.col("points")).alias("v"),
+                       (F.col("points") - F.col("bal0")).alias("lo"), F.lit(None).cast("bigint").alias("hi"),
+                       F.col("known").alias("fixed"))
+    done = resolve(rows, max_rounds=max_rounds).rows.select("request_id", "before", "passes")
+    accepted = F.col("known") & F.col("passes")
+    return base.join(done, "request_id").select(
+        "request_id", "customer_id", "points", "requested_at", accepted.alias("accepted"),
+        (F.col("bal0") + F.col("before")).alias("balance_before"),
+        F.when(~accepted, F.lit("Insufficient points")).alias("error"))
 
 
 def loyalty_reconcile(loyalty_points: DataFrame, ledger: DataFrame) -> DataFrame:

@@ -151,11 +151,11 @@ def check_orphans(tables) -> DataFrame:
 
     Every table is derived ONCE: its own keys (when it is a parent) and its
     references (when it is a child) are exploded from one projection into
-    ``(kind, parent, ref)`` rows, which are checkpointed (reliably, into
+    ``(kind, parent, ref)`` rows, which are written once (below
     ``spark.checkpoint.dir``).  One anti-join of the references against the
     keys then covers all foreign keys; AQE splits a hot parent key (one
     restaurant referenced by a third of all orders) across tasks."""
-    from ..session import ensure_checkpoint_dir
+    from ..sources.staging import staged
     children: dict[str, list[tuple[str, str, str]]] = {}
     for ct, cc, pt, pc in FOREIGN_KEYS:
         children.setdefault(ct, []).append((cc, pt, pc))
@@ -178,8 +178,7 @@ def check_orphans(tables) -> DataFrame:
         parts.append(df.select(F.lit(t).alias("table_name"), _key(df).cast("string").alias("row_key"),
                                F.explode(F.array(*items)).alias("r"))
                      .select("table_name", "row_key", "r.*").where(F.col("ref").isNotNull()))
-    ensure_checkpoint_dir(parts[0].sparkSession)
-    rows = _union(parts).checkpoint(eager=True)
+    rows = staged(_union(parts), "references")
     refs = rows.where(F.col("kind") == "ref")
     keys = rows.where(F.col("kind") == "key").select(F.col("parent").alias("_parent"), F.col("ref").alias("_id"))
     j = refs.join(keys, (F.col("parent") == F.col("_parent")) & (F.col("ref") == F.col("_id")), "left_anti")

@@ -9,33 +9,24 @@ through three shared counters: promo uses (per code, both order families),
 loyalty balance (per customer) and produce stock (per item).  Acceptance is
 all-or-nothing across those keys, so no single-key window is exact.
 
-The fixpoint: start from "every statically valid request is accepted"; each
-round recomputes the three running sums over the currently accepted,
-strictly earlier requests and re-decides every request.  A decision depends
-only on earlier requests, so after round *k* the first *k* decisions are
-final and a stable set is exactly the one-by-one answer.  Rounds track the
-longest chain of flips, not the data size; ``max_rounds`` is a guard that
-raises -- an unstable set is never returned.
-
-Each request becomes one row per shared counter it touches; a round is one
-two-level running sum over ``(counter type, key)`` (range slices, so a hot
-code / customer / item never sits in one task), one aggregate back to the
-request, one join and one aggregate count of changed decisions.  The decision
-table is checkpointed (reliable checkpoint in ``spark.checkpoint.dir``) every
-round, so lineage stays one round deep and a lost executor recomputes one
-round.
+Each request becomes one row per shared counter it touches, with the bounds
+between which the counter's running sum lets it pass.  ``conflicts.resolve``
+decides them by changes: after the first pass over all rows it reads only
+slices in which a verdict can turn.  Error texts are derived once, at the end,
+from the sums before each row.  Requests that touch no counter are decided
+statically.
 """
 
 from __future__ import annotations
 
-import itertools
 import time
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.money import MONEY, money, rate, to_double
-from ..session import ensure_checkpoint_dir
+from ..sources.staging import staged
+from .conflicts import resolve
 from .windows import running_sum
 
 KEY = ["order_type", "request_id"]
@@ -146,13 +137,18 @@ def loyalty_error(discount: Column, available: Column) -> Column:
 
 # ---------------------------------------------------------------- the batch
 class Settlement:
-    """Result of :func:`settle`: the decision per request and its effects."""
+    """Result of :func:`settle`: the decision per request and its effects.  ``handled`` has, per round, the counter
+    rows that were read and the verdicts that turned."""
 
-    def __init__(self, priced: DataFrame, decisions: DataFrame, stock_lines: DataFrame, rounds: int):
+    def __init__(self, priced: DataFrame, decisions: DataFrame, stock_lines: DataFrame, handled: list[tuple[int, int]]):
         self.priced = priced
         self.decisions = decisions
         self.stock_lines = stock_lines
-        self.rounds = rounds
+        self.handled = handled
+
+    @property
+    def rounds(self) -> int:
+        return len(self.handled)
 
     @property
     def orders(self) -> DataFrame:
@@ -162,10 +158,15 @@ class Settlement:
     def accepted(self) -> DataFrame:
         return self.orders.where(F.col("accepted"))
 
-
-def _ckpt(df: DataFrame, eager: bool = True) -> DataFrame:
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
+    @property
+    def accepted_lines(self) -> DataFrame:
+        """The order lines written with the accepted orders, in list order (``line`` from 1): item_id is a menu item
+        of a food order, a produce item (quantity in kg) of a produce order."""
+        yes = self.decisions.where("accepted").select(*KEY)
+        return (self.priced.select(*KEY, F.posexplode("items").alias("pos", "it")).join(yes, KEY, "left_semi")
+                .select("order_type", F.col("request_id").alias("order_id"), (F.col("pos") + 1).alias("line"),
+                        F.col("it.item_id").alias("item_id"), F.col("it.quantity").alias("quantity"),
+                        F.col("it.unit_price").alias("unit_price")))
 
 
 COUNTER = "decimal(24,6)"   # grams and finer: the app compares exact quantities
@@ -204,6 +205,26 @@ def _counter_rows(base: DataFrame, pl: DataFrame) -> DataFrame:
     return promo.unionByName(loyalty).unionByName(stock)
 
 
+def _bounds(crow: DataFrame, base: DataFrame) -> DataFrame:
+    """Counter rows as ``conflicts.resolve`` takes them: stock in millionths, uses and points as they are.
+
+    promo: used0 + sum < max_uses; loyalty: bal0 + sum >= int(discount); stock: s0 - sum > 0 and no line above it."""
+    kind, micro = F.col("ctype"), F.lit(1_000_000)
+    exact = "decimal(18,6)"
+    most = F.array_max(F.transform("lines", lambda ln: ln["qty"]))
+    rounded = most.cast(exact)
+    most = F.when(rounded.cast("double") < most, rounded + F.lit("0.000001").cast(exact)).otherwise(rounded)
+    room = (F.col("_s0").cast(exact) - F.greatest(most, F.lit("0.000001").cast(exact))) * micro
+    hi = (F.when(kind == PROMO, F.col("max_uses") - F.col("used0") - 1)
+          .when((kind == STOCK) & (F.coalesce(F.col("_pavail"), F.lit(0)) == 0), F.lit(-(1 << 62)))
+          .when(kind == STOCK, room.cast("bigint")))
+    lo = F.when((kind == LOYALTY) & (F.col("loyalty_discount") > 0), F.col("loyalty_discount").cast("bigint") - F.col("bal0"))
+    v = F.when(kind == STOCK, F.col("v") * micro).otherwise(F.col("v")).cast("bigint")
+    return crow.join(base.select(*KEY, "static_ok"), KEY).select(
+        *KEY, "requested_at", "ctype", "ckey", v.alias("v"), lo.cast("bigint").alias("lo"), hi.cast("bigint").alias("hi"),
+        F.col("static_ok").alias("fixed"))
+
+
 def settle(requests: DataFrame, menu_items: DataFrame, produce_items: DataFrame, promo_codes: DataFrame,
            loyalty_points: DataFrame, max_rounds: int | None = None, ui_adds_fee: bool = False,
            log=None) -> Settlement:
@@ -211,18 +232,12 @@ def settle(requests: DataFrame, menu_items: DataFrame, produce_items: DataFrame,
     counters and loyalty balances.  Start-of-batch state comes from the given
     tables (``promo_codes.used_count``, ``loyalty_points.total_points``,
     ``produce_items.stock_kg``).  ``log(stage, changed, seconds)`` is called
-    after the preparation and after every round.  Every round makes at least one
-    more decision final, so it ends; ``max_rounds`` is an optional guard.
-
-    Per round: the counter rows take the current decisions (one join on the
-    request key), ONE two-level running sum over ``(counter type, key)``
-    gives every row its "before" value, and one aggregate per request turns
-    them into the first error.  Requests touching no shared counter are
-    decided statically."""
+    after the preparation and after every round.  ``max_rounds`` is an optional
+    guard that raises; an unstable set is never returned."""
     t0 = time.perf_counter()
     # The request plan feeds pricing, item validation and the stock lines:
-    # materialise it once instead of re-deriving it three times.
-    requests = _ckpt(requests)
+    # write it once instead of deriving it three times.
+    requests = staged(requests, "requests")
     if log:
         log("requests", None, time.perf_counter() - t0)
     priced = price_requests(requests, ui_adds_fee)
@@ -237,6 +252,8 @@ def settle(requests: DataFrame, menu_items: DataFrame, produce_items: DataFrame,
         F.min_by(F.format_string("Produce item %d not found", F.col("item_id")), F.col("pos")).alias("nf_error"),
         F.min("pos").alias("nf_pos")))
 
+    static_ok = F.col("item_error").isNull() & F.col("nf_error").isNull() & ~(
+        F.col("promo_code").isNotNull() & (F.col("promo_code") != "") & F.col("promo_id").isNull())
     base = (priced.select(*KEY, "requested_at", "customer_id", "promo_code", "loyalty_discount",
                           "points_earned", "redeem_points")
             .join(promos, "promo_code", "left")
@@ -244,68 +261,65 @@ def settle(requests: DataFrame, menu_items: DataFrame, produce_items: DataFrame,
             .join(food_err, KEY, "left")
             .join(not_found, KEY, "left")
             .withColumn("bal0", F.coalesce("bal0", F.lit(0)).cast("bigint"))
-            .withColumn("delta", F.col("points_earned") - F.col("redeem_points")))
-    base = _ckpt(base.repartition(*KEY))
+            .withColumn("delta", F.col("points_earned") - F.col("redeem_points"))
+            .withColumn("static_ok", F.coalesce(static_ok, F.lit(True))))
+    base = staged(base, "request-base")
     if log:
         log("base", None, time.perf_counter() - t0)
-    crow = _ckpt(_counter_rows(base, pl).repartition(*KEY))
+    crow = staged(_counter_rows(base, pl), "counter-payload")
     if log:
         log("counter rows", None, time.perf_counter() - t0)
     stock_q = crow.where(F.col("ctype") == STOCK).select(
         *KEY, "requested_at", F.col("ckey").alias("produce_id"), "_s0", F.col("v").cast("decimal(18,6)").alias("q"))
 
-    static_ok = F.col("item_error").isNull() & F.col("nf_error").isNull() & ~(
-        F.col("promo_code").isNotNull() & (F.col("promo_code") != "") & F.col("promo_id").isNull())
-    state = _ckpt(base.select(*KEY, static_ok.alias("accepted")))
+    def tell(rnd, read, turned, seconds):
+        log(f"round {rnd} ({read} rows)", turned, seconds)
+
+    done = resolve(_bounds(crow, base), max_rounds=max_rounds, log=tell if log else None)
+    decisions = staged(_decisions(base, crow, done.rows), "decisions")
     if log:
-        log("prepare", None, time.perf_counter() - t0)
-
-    for rnd in itertools.count(1):
-        if max_rounds is not None and rnd > max_rounds:
-            raise RuntimeError(f"settlement did not reach a stable set in {max_rounds} rounds")
-        t0 = time.perf_counter()
-        rows = crow.join(state, KEY)
-        acc = F.col("accepted")
-        rs = running_sum(rows, ["ctype", "ckey"], ORDER,
-                         F.when(acc, F.col("v")).otherwise(F.lit(0).cast(COUNTER)), "before")
-        ctype = F.col("ctype")
-        # stock: the first line (list order) that fails against the pre-order stock
-        sb = F.greatest(F.lit(0).cast("decimal(18,6)"),
-                        F.col("_s0").cast("decimal(18,6)") - F.col("before")).cast("double")
-        over = F.try_element_at(F.filter("lines", lambda ln: ln["qty"] > sb), F.lit(1))
-        out = (F.coalesce(F.col("_pavail"), F.lit(0)) == 0) | (sb <= 0)
-        s_pos = F.when(out, F.try_element_at("lines", F.lit(1))["pos"]).otherwise(over["pos"])
-        s_err = (F.when(out, F.format_string("Produce item '%s' is currently out of stock", F.col("_pname")))
-                 .when(over.isNotNull(),
-                       F.concat(F.lit("Not enough stock for '"), F.col("_pname"), F.lit("' — requested "),
-                                over["qty"].cast("string"), F.lit("kg, only "), sb.cast("string"),
-                                F.lit("kg available"))))
-        uses = (F.col("used0") + F.col("before")).cast("bigint")
-        avail_pts = (F.col("bal0") + F.col("before")).cast("bigint")
-        per = rs.select(
-            *KEY, acc,
-            F.when(ctype == STOCK, s_err).alias("s_err"),
-            F.when((ctype == STOCK) & s_err.isNotNull(), s_pos).alias("s_pos"),
-            F.when(ctype == PROMO, promo_error(F.col("promo_code"), F.lit(True), uses, F.col("max_uses")))
-            .alias("p_err"),
-            F.when(ctype == LOYALTY, loyalty_error(F.col("loyalty_discount"), avail_pts)).alias("l_err"),
-            F.when((ctype == LOYALTY) & (F.col("loyalty_discount") > 0), avail_pts).alias("pts"))
-        agg = per.groupBy(*KEY).agg(
-            F.min_by("s_err", "s_pos").alias("line_err"), F.min("s_pos").alias("line_pos"),
-            F.max("p_err").alias("promo_err"), F.max("l_err").alias("loy_err"),
-            F.max("pts").alias("points_before"), F.max(acc.cast("int")).alias("_prev"))
-        d = base.join(agg, KEY, "left")
-        nf_first = F.col("nf_pos").isNotNull() & (F.col("line_pos").isNull() | (F.col("nf_pos") < F.col("line_pos")))
-        line_error = F.when(nf_first, F.col("nf_error")).otherwise(F.col("line_err"))
-        static_promo = promo_error(F.col("promo_code"), F.col("promo_id").isNotNull(), F.lit(0), F.lit(1))
-        error = F.coalesce(F.col("item_error"), line_error, F.col("promo_err"), static_promo, F.col("loy_err"))
-        new = _ckpt(d.select(*KEY, error.isNull().alias("accepted"), error.alias("error"), "points_before", "_prev"))
-        changed = new.where(F.col("_prev").isNotNull() & (F.col("accepted").cast("int") != F.col("_prev"))).count()
-        state = new.select(*KEY, "accepted")
-        if log:
-            log(f"round {rnd}", changed, time.perf_counter() - t0)
-        if changed == 0:
-            return Settlement(priced, new.drop("_prev"), stock_q, rnd)
+        log("decisions", None, time.perf_counter() - t0)
+    return Settlement(priced, decisions, stock_q, done.handled)
+
+
+def _decisions(base: DataFrame, crow: DataFrame, sums: DataFrame) -> DataFrame:
+    """accepted, the first error in the app's order of checks, and the points before the request."""
+    same = F.col("ctype") == F.col("_ctype")
+    for c in KEY:
+        same = same & (F.col(c) == F.col(f"_{c}"))
+    s = sums.select(*[F.col(c).alias(f"_{c}") for c in [*KEY, "ctype", "ckey"]], "before")
+    rs = crow.join(s, same & F.col("ckey").eqNullSafe(F.col("_ckey")))
+    ctype = F.col("ctype")
+    # stock: the first line (list order) that fails against the pre-order stock
+    used = F.col("before").cast("decimal(24,6)") * F.lit("0.000001").cast("decimal(7,6)")
+    sb = F.greatest(F.lit(0).cast("decimal(18,6)"), (F.col("_s0").cast("decimal(18,6)") - used).cast("decimal(18,6)")).cast("double")
+    over = F.try_element_at(F.filter("lines", lambda ln: ln["qty"] > sb), F.lit(1))
+    out = (F.coalesce(F.col("_pavail"), F.lit(0)) == 0) | (sb <= 0)
+    s_pos = F.when(out, F.try_element_at("lines", F.lit(1))["pos"]).otherwise(over["pos"])
+    s_err = (F.when(out, F.format_string("Produce item '%s' is currently out of stock", F.col("_pname")))
+             .when(over.isNotNull(),
+                   F.concat(F.lit("Not enough stock for '"), F.col("_pname"), F.lit("' — requested "),
+                            over["qty"].cast("string"), F.lit("kg, only "), sb.cast("string"),
+                            F.lit("kg available"))))
+    uses = (F.col("used0") + F.col("before")).cast("bigint")
+    avail_pts = (F.col("bal0") + F.col("before")).cast("bigint")
+    per = rs.select(
+        *KEY,
+        F.when(ctype == STOCK, s_err).alias("s_err"),
+        F.when((ctype == STOCK) & s_err.isNotNull(), s_pos).alias("s_pos"),
+        F.when(ctype == PROMO, promo_error(F.col("promo_code"), F.lit(True), uses, F.col("max_uses")))
+        .alias("p_err"),
+        F.when(ctype == LOYALTY, loyalty_error(F.col("loyalty_discount"), avail_pts)).alias("l_err"),
+        F.when((ctype == LOYALTY) & (F.col("loyalty_discount") > 0), avail_pts).alias("pts"))
+    agg = per.groupBy(*KEY).agg(
+        F.min_by("s_err", "s_pos").alias("line_err"), F.min("s_pos").alias("line_pos"),
+        F.max("p_err").alias("promo_err"), F.max("l_err").alias("loy_err"), F.max("pts").alias("points_before"))
+    d = base.join(agg, KEY, "left")
+    nf_first = F.col("nf_pos").isNotNull() & (F.col("line_pos").isNull() | (F.col("nf_pos") < F.col("line_pos")))
+    line_error = F.when(nf_first, F.col("nf_error")).otherwise(F.col("line_err"))
+    static_promo = promo_error(F.col("promo_code"), F.col("promo_id").isNotNull(), F.lit(0), F.lit(1))
+    error = F.coalesce(F.col("item_error"), line_error, F.col("promo_err"), static_promo, F.col("loy_err"))
+    return d.select(*KEY, error.isNull().alias("accepted"), error.alias("error"), "points_before")
 
 
 # ------------------------------------------------------------------ effects
@@ -449,37 +463,11 @@ def validate_loyalty(priced: DataFrame, loyalty_points: DataFrame) -> DataFrame:
                     loyalty_error(F.col("loyalty_discount"), have).alias("loyalty_error"))
 
 
-def settle_in_batches(requests: DataFrame, menu_items: DataFrame, produce_items: DataFrame,
-                      promo_codes: DataFrame, loyalty_points: DataFrame, cuts: list[str],
-                      ui_adds_fee: bool = False) -> DataFrame:
-    """Micro-batch settlement (X9 without a callback server): the requests
-    arrive in time slices split at ``cuts`` (timestamps, ascending); each
-    slice is settled against the tables the previous slices left behind --
-    promo uses, loyalty balances and stock are carried forward -- so the
-    decisions equal one settlement of the whole stream.  Returns the
-    decisions of every slice with its ``batch`` number."""
-    bounds = [None, *cuts, None]
-    # Every slice reads the same request stream and menu: derive them once.
-    requests, menu_items = _ckpt(requests), _ckpt(menu_items)
-    promos, loyalty, produce = promo_codes, loyalty_points, produce_items
-    out = None
-    for b in range(len(bounds) - 1):
-        lo, hi = bounds[b], bounds[b + 1]
-        cond = F.lit(True)
-        if lo is not None:
-            cond = cond & (F.col("requested_at") >= F.lit(lo).cast("timestamp_ntz"))
-        if hi is not None:
-            cond = cond & (F.col("requested_at") < F.lit(hi).cast("timestamp_ntz"))
-        s = settle(requests.where(cond), menu_items, produce, promos, loyalty, ui_adds_fee=ui_adds_fee)
-        dec = s.decisions.withColumn("batch", F.lit(b))
-        out = dec if out is None else out.unionByName(dec)
-        acc = s.accepted
-        uses = acc.where(F.col("promo_code").isNotNull()).select(F.col("promo_code").alias("code"))
-        promos = _ckpt(promo_usage_apply(promos, uses))
-        ledger = loyalty_earn(s).unionByName(loyalty_redeem(s))
-        kept = loyalty_points.columns
-        loyalty = _ckpt(loyalty_balances(loyalty, ledger).select(
-            *[c for c in kept if c in ("customer_id", "total_points", "lifetime_points")]))
-        taken = s.stock_lines.join(s.decisions.where("accepted"), KEY, "left_semi").select("produce_id", "q")
-        produce = _ckpt(stock_deduct(produce, taken))
-    return out
+def carried(s: Settlement, promo_codes: DataFrame, loyalty_points: DataFrame,
+            produce_items: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Promo uses, balances and stock after a settlement: the start of the next one."""
+    uses = s.accepted.where(F.col("promo_code").isNotNull()).select(F.col("promo_code").alias("code"))
+    ledger = loyalty_earn(s).unionByName(loyalty_redeem(s))
+    taken = s.stock_lines.join(s.decisions.where("accepted"), KEY, "left_semi").select("produce_id", "q")
+    return (promo_usage_apply(promo_codes, uses), loyalty_balances(loyalty_points, ledger),
+            stock_deduct(produce_items, taken))

@@ -21,6 +21,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.staging import staged
+
 
 def top_n_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(*order)
@@ -43,8 +45,8 @@ def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value:
     data, however its timestamps are distributed.  Each slice gets the sum of
     the key's earlier slices as an offset (a table of at most keys + slices
     rows) and the ordered window runs inside (slice, key).  The sliced rows
-    are checkpointed once so the slice id is stable.  A caller may pass its
-    own monotone ``bucket`` expression instead (e.g. a day; no checkpoint)."""
+    are written once, with their slice id.  A caller may pass its own
+    monotone ``bucket`` expression instead (e.g. a day; nothing is written)."""
     outs = [out] if isinstance(out, str) else list(out)
     values = [value] if isinstance(out, str) else list(value)
     keys = list(keys)
@@ -53,14 +55,11 @@ def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value:
     if bucket is not None:
         x = x.withColumn("_b", bucket)
     else:
-        from ..session import ensure_checkpoint_dir
         n = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        ensure_checkpoint_dir(df.sparkSession)
         # The slice id must be the same in both uses below; range bounds are
-        # sampled per exchange, so the sliced rows are written once (reliable
-        # checkpoint) and the slice is the checkpoint's partition index.
-        x = (x.repartitionByRange(n, *[F.col(k) for k in keys], *[F.col(c) for c in order])
-             .checkpoint(eager=True).withColumn("_b", F.spark_partition_id()))
+        # sampled per exchange, so the sliced rows are written once with it.
+        x = staged(x.repartitionByRange(n, *[F.col(k) for k in keys], *[F.col(c) for c in order])
+                   .withColumn("_b", F.spark_partition_id()), "running-sum")
     totals = x.groupBy("_b", *keys).agg(*[F.sum(v).alias(f"{v}t") for v in vs])
     wb = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(F.col("_b").alias("_ob"), *[F.col(k).alias(f"_ok{i}") for i, k in enumerate(keys)],

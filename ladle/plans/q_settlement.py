@@ -1,9 +1,9 @@
 """Registered settlement queries.
 
 The batch replays every historic order as a placement request against the
-start-of-run tables (promo uses reset to 0).  The fixpoint's result is
-reliably checkpointed, so it is computed once per session and scale and
-shared by the views derived from it (S8-S11, S15-S17).
+start-of-run tables (promo uses reset to 0).  Its decisions are written once
+per session and scale and shared by the views derived from them (S8-S11,
+S15-S17).
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from ..operators import settlement as S
 from ..sources.requests import derived_requests
+from ..sources.staging import scratch, staged
+from ..streaming.ledger import Start, settle_arrivals
 from .catalog import query
 
 _CACHE: dict[tuple, S.Settlement] = {}
@@ -256,15 +258,37 @@ def _s17(d):
     return S.settlement_audit(batch(d))
 
 
-# Slice boundaries of the replayed order history (ascending timestamps).
-BATCH_CUTS = ["1997-03-01", "1999-05-01"]
+@query("settled_food_items")
+def _s8_lines(d):
+    """Order lines written with the accepted food orders."""
+    return batch(d).accepted_lines.where(F.col("order_type") == "food").drop("order_type")
+
+
+@query("settled_produce_items")
+def _s9_lines(d):
+    """Order lines written with the accepted produce orders; ``quantity`` is in kg."""
+    return batch(d).accepted_lines.where(F.col("order_type") == "produce").drop("order_type")
+
+
+@query("settled_balances")
+def _s10_balances(d):
+    """Balances after the ledger rows of all accepted orders."""
+    s = batch(d)
+    return S.loyalty_balances(d.loyalty_points, S.loyalty_earn(s).unionByName(S.loyalty_redeem(s)))
+
+
+# Requests per arriving file of the replayed order history.
+ROWS_PER_FILE = 25_000
 
 
 @query("stream_settlement")
 def _x9(d):
-    """The order history settled in three time slices with promo uses,
-    balances and stock carried between them (equals ``settle_food_orders``
-    and ``settle_produce_orders`` together)."""
+    """The order history arrives as files of requests in time order, as many as its size needs; every file is
+    settled once, against the state the files before it left."""
+    requests = staged(derived_requests(d), "arriving")
+    inbox, root = scratch(d.spark, "inbox"), scratch(d.spark, "ledger")
+    files = -(-requests.count() // ROWS_PER_FILE)
+    requests.repartitionByRange(max(1, files), *S.ORDER).write.parquet(inbox)
     promos = d.promo_codes.withColumn("used_count", F.lit(0))
-    return S.settle_in_batches(derived_requests(d), d.menu_items, d.produce_items, promos, d.loyalty_points,
-                               BATCH_CUTS, ui_adds_fee=True)
+    return settle_arrivals(d.spark, inbox, root, d.menu_items, Start(promos, d.loyalty_points, d.produce_items),
+                           ui_adds_fee=True)

@@ -9,6 +9,8 @@ version counts.  A failed write leaves the previous version live.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,6 +56,49 @@ def write_snapshot(df: DataFrame, root: str) -> int:
     return v
 
 
+class Commit(NamedTuple):
+    """One line of a ledger: the k-th commit, the folder it made live, and what it stands for."""
+
+    number: int
+    version: int
+    note: str
+
+
+def write_version(tables: dict[str, DataFrame], spark: SparkSession, root: str) -> int:
+    """Write several tables that belong together as ``<root>/v=<n>/<name>``; nothing reads them before :func:`commit`."""
+    v = max(_numbers(spark, root, "v="), default=0) + 1
+    for name, df in tables.items():
+        df.write.mode("errorifexists").parquet(f"{root}/v={v}/{name}")
+    return v
+
+
+def commit(spark: SparkSession, root: str, number: int, version: int, note: str) -> Commit:
+    """Make ``version`` the ``number``-th commit.  The marker is created once; a second writer of it fails."""
+    fs, p = _fs(spark, f"{root}/{MARKERS}/{number}")
+    out = fs.create(p, False)
+    out.write(bytearray(f"{number} {version} {note}".encode()))
+    out.close()
+    return Commit(number, version, note)
+
+
+def commits(spark: SparkSession, root: str) -> list[Commit]:
+    """All commits in order (one small file each)."""
+    if not _numbers(spark, f"{root}/{MARKERS}"):
+        return []
+    lines = spark.read.schema("value string").text(f"{root}/{MARKERS}").collect()
+    found = [r.value.split(" ", 2) for r in lines if r.value]
+    return sorted(Commit(int(k), int(v), note) for k, v, note in found)
+
+
+def run_to_files(stream: DataFrame, path: str, checkpoint: str, partition_by: str | None = None) -> None:
+    """Append everything a stream has available to Parquet files (each row once, by the sink's own log)."""
+    w = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
+    q = (w.partitionBy(partition_by) if partition_by else w).trigger(availableNow=True).start()
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise RuntimeError(str(q.exception()))
+
+
 def audit_append(rows: DataFrame, path: str) -> None:
     """Append audit rows partitioned by event date (A5).  The write is its own
     job: a failure here never undoes the write it describes."""
