@@ -30,6 +30,11 @@ def manager_stats(restaurants: DataFrame, food_orders: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("total_orders"),
         F.sum(F.when(F.col("status") == "Delivered", money("total_amount"))).alias("rev"),
     )
+    return manager_report(restaurants, per)
+
+
+def manager_report(restaurants: DataFrame, per: DataFrame) -> DataFrame:
+    """G3 from ``per`` (restaurant_id, total_orders, rev): every restaurant, with fee and net."""
     rev = F.coalesce(F.col("rev"), F.lit(0).cast(MONEY))
     fee = rev * rate(0.05)
     return (
@@ -92,6 +97,11 @@ def restaurant_rating(restaurants: DataFrame, reviews: DataFrame) -> DataFrame:
     """
     per = reviews.groupBy("restaurant_id").agg(
         F.sum("rating").cast("bigint").alias("s"), F.count(F.lit(1)).alias("n"))
+    return rating_report(restaurants, per)
+
+
+def rating_report(restaurants: DataFrame, per: DataFrame) -> DataFrame:
+    """G4 from ``per`` (restaurant_id, s, n)."""
     avg1 = (F.floor((F.col("s") * 20 + F.col("n")) / (F.col("n") * 2)) / 10).cast("double")
     return (
         restaurants.select("id", "name", "rating")
@@ -117,20 +127,23 @@ def revenue_breakdown(orders: DataFrame) -> DataFrame:
     """Doughnut split of a list of orders (G7): sums with NULL = 0, the
     restaurant share ``max(0, gmv - delivery - platform - tip)``, each
     rounded like ``Math.round``."""
-    z = F.lit(0).cast(MONEY)
-    agg = orders.agg(
-        F.coalesce(F.sum(money("total_amount")), z).alias("gmv"),
-        F.coalesce(F.sum(money("delivery_fee")), z).alias("delivery"),
-        F.coalesce(F.sum(money("platform_fee")), z).alias("platform"),
-        F.coalesce(F.sum(money("rider_tip")), z).alias("rider"),
-    )
-    rest = F.greatest(F.lit(0).cast(MONEY), F.col("gmv") - F.col("delivery") - F.col("platform") - F.col("rider"))
+    return revenue_split(orders.select(*[money(c).alias(c) for c in SPLIT]))
+
+
+SPLIT = ["total_amount", "delivery_fee", "platform_fee", "rider_tip"]
+
+
+def revenue_split(sums: DataFrame) -> DataFrame:
+    """G7 from rows of decimal amounts or partial sums of them."""
+    gmv, delivery, platform, rider = (F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in SPLIT)
+    agg = sums.agg(gmv, delivery, platform, rider)
+    rest = F.greatest(F.lit(0), F.col("total_amount") - F.col("delivery_fee") - F.col("platform_fee") - F.col("rider_tip"))
     return agg.select(
-        to_double(F.col("gmv")).alias("total_gmv"),
+        to_double(F.col("total_amount")).alias("total_gmv"),
         js_round(rest).cast("bigint").alias("restaurant_revenue"),
-        js_round(F.col("platform")).cast("bigint").alias("platform_fee"),
-        js_round(F.col("delivery")).cast("bigint").alias("delivery_fee"),
-        js_round(F.col("rider")).cast("bigint").alias("rider_tip"),
+        js_round(F.col("platform_fee")).cast("bigint").alias("platform_fee"),
+        js_round(F.col("delivery_fee")).cast("bigint").alias("delivery_fee"),
+        js_round(F.col("rider_tip")).cast("bigint").alias("rider_tip"),
     )
 
 

@@ -18,6 +18,7 @@ QueryFn = Callable[[Domain], DataFrame]
 
 QUERIES: dict[str, QueryFn] = {}
 ORACLE: dict[str, str] = {}
+_BODY: dict[str, str] = {}
 
 
 def query(key: str, oracle: str | None = None) -> Callable[[QueryFn], QueryFn]:
@@ -27,10 +28,16 @@ def query(key: str, oracle: str | None = None) -> Callable[[QueryFn], QueryFn]:
         QUERIES[key] = fn
         if oracle is not None:
             ORACLE[key] = with_domain(oracle)
+            _BODY[key] = oracle.strip()
         return fn
     return deco
 
 
+def sql_of(key: str) -> str:
+    """The oracle of a registered query without its domain tables, to build another on."""
+    return _BODY[key]
+
+
 def load_all() -> None:
     """Import every module that registers queries."""
     from . import (  # noqa: F401

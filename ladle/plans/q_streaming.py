@@ -3,66 +3,60 @@ after all available input, checked against the batch twin's SQL."""
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
-from ..functions.ints import idiv
-from ..functions.money import money
 from ..streaming import streams as X
-from .catalog import query
+from . import q_aggregates, q_joins, q_setops, q_windows  # noqa: F401  (their SQL is the oracle here)
+from .catalog import query, sql_of
+
+
+def _tall(report: str, key: str, names: list[str]) -> str:
+    """A one-row report's SQL as (report, name, value) rows."""
+    body = sql_of(key)
+    return " union all ".join(f"select '{report}' report, '{n}' \"name\", cast({n} as double) \"value\" from ({body}) x" for n in names)
 
 
-@query("stream_admin_kpis", oracle="select order_type, status, count(*) orders from all_orders group by 1, 2")
+@query("stream_admin_kpis", oracle=" union all ".join([
+    _tall("counts", "admin_counts", ["total_orders", "total_users", "total_riders", "pending_riders", "total_restaurants",
+                                     "pending_restaurants"]),
+    _tall("revenue", "admin_revenue", ["revenue", "platform_revenue", "total_platform_cut"]),
+    _tall("breakdown", "revenue_breakdown", ["total_gmv", "restaurant_revenue", "platform_fee", "delivery_fee", "rider_tip"]),
+    f"""select 'top restaurants' report, restaurant_label "name", cast(orders as double) "value"
+        from ({sql_of("orders_top10_restaurants")}) x"""]))
 def _x1(d):
-    return X.stream_admin_kpis(d.spark, d.sf_dir)
+    return X.stream_admin_kpis(X.Arrivals(d))
 
 
-@query("stream_manager_stats", oracle="""
-select restaurant_id, count(*) total_orders,
-  cast(coalesce(sum(case when status = 'Delivered' then cast(total_amount as decimal(18,2)) end), 0) as double) revenue
-from food_orders group by restaurant_id""")
+@query("stream_manager_stats", oracle=sql_of("manager_stats"))
 def _x2(d):
-    lines = d.food_orders.select(idiv("id", 100_000).alias("ok"), "restaurant_id",
-                                 money("total_amount").alias("total"))
-    return X.stream_manager_stats(d.spark, d.sf_dir, lines)
+    return X.stream_manager_stats(X.Arrivals(d))
 
 
-@query("stream_available_orders", oracle="""
-select ok, order_type, customer_id from all_orders where status = 'Confirmed'""")
+@query("stream_available_orders", oracle=sql_of("available_orders"))
 def _x3(d):
-    return X.stream_available_orders(d.spark, d.sf_dir)
+    return X.stream_available_orders(X.Arrivals(d))
 
 
-@query("stream_unread", oracle="""
-select sender_id contact_id, count(*) unread from messages where receiver_id = -1 and is_read = 0 group by 1""")
+@query("stream_unread", oracle=sql_of("conversation_list"))
 def _x4(d):
-    return X.stream_unread(d.spark, d.sf_dir)
+    return X.stream_unread(X.Arrivals(d))
 
 
-@query("stream_loyalty", oracle="select customer_id, total_points, lifetime_points from loyalty_points")
+@query("stream_loyalty", oracle=f"""
+select w.*, t.tier from ({sql_of("loyalty_balance_running")}) w
+join ({sql_of("loyalty_tier")}) t on w.customer_id = t.customer_id""")
 def _x5(d):
-    return X.stream_loyalty(d.spark, d.sf_dir)
+    return X.stream_loyalty(X.Arrivals(d))
 
 
-@query("stream_order_status", oracle="""
-select order_id, status from (select l_orderkey * 100000 + l_suppkey order_id,
-    case when l_linestatus = 'F' then 'Delivered' else 'Out for Delivery' end status,
-    row_number() over (partition by l_orderkey * 100000 + l_suppkey order by l_shipdate desc, l_linenumber desc,
-      l_partkey desc, case when l_linestatus = 'F' then 'Delivered' else 'Out for Delivery' end desc) rn
-  from lineitem where l_orderkey % 4 <> 0) x where rn = 1""")
+@query("stream_order_status", oracle=sql_of("order_detail"))
 def _x6(d):
-    return X.stream_order_status(d.spark, d.sf_dir)
+    return X.stream_order_status(X.Arrivals(d))
 
 
-@query("stream_audit", oracle="""
-select a.id, a.user_id, a.action, coalesce(u.name, 'System') user_name
-from audit_log a left join users u on a.user_id = u.id""")
+@query("stream_audit", oracle=sql_of("audit_with_user"))
 def _x7(d):
-    return X.stream_audit(d.spark, d.sf_dir, d.users)
+    return X.stream_audit(X.Arrivals(d))
 
 
-@query("stream_ratings", oracle="""
-select restaurant_id, count(*) n, cast(floor((sum(rating) * 20 + count(*)) / (count(*) * 2)) as double) / 10 rating
-from reviews group by restaurant_id""")
+@query("stream_ratings", oracle=sql_of("restaurant_rating"))
 def _x8(d):
-    n = d.raw("supplier").count()
-    return X.stream_ratings(d.spark, d.sf_dir, n)
+    return X.stream_ratings(X.Arrivals(d))

@@ -22,7 +22,8 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
-def _numbers(spark: SparkSession, path: str, prefix: str = "") -> list[int]:
+def numbers(spark: SparkSession, path: str, prefix: str = "") -> list[int]:
+    """The n of every ``<prefix><n>`` in a folder; none if there is no such folder."""
     fs, p = _fs(spark, path)
     if not fs.exists(p):
         return []
@@ -31,7 +32,7 @@ def _numbers(spark: SparkSession, path: str, prefix: str = "") -> list[int]:
 
 
 def current_version(spark: SparkSession, root: str) -> int | None:
-    return max(_numbers(spark, f"{root.rstrip('/')}/{MARKERS}"), default=None)
+    return max(numbers(spark, f"{root.rstrip('/')}/{MARKERS}"), default=None)
 
 
 def read_snapshot(spark: SparkSession, root: str) -> DataFrame:
@@ -49,7 +50,7 @@ def write_snapshot(df: DataFrame, root: str) -> int:
     second fails.
     """
     spark, root = df.sparkSession, root.rstrip("/")
-    v = max(_numbers(spark, root, "v="), default=0) + 1
+    v = max(numbers(spark, root, "v="), default=0) + 1
     df.write.mode("errorifexists").parquet(f"{root}/v={v}")
     fs, p = _fs(spark, f"{root}/{MARKERS}/{v}")
     fs.create(p, False).close()
@@ -66,7 +67,7 @@ class Commit(NamedTuple):
 
 def write_version(tables: dict[str, DataFrame], spark: SparkSession, root: str) -> int:
     """Write several tables that belong together as ``<root>/v=<n>/<name>``; nothing reads them before :func:`commit`."""
-    v = max(_numbers(spark, root, "v="), default=0) + 1
+    v = max(numbers(spark, root, "v="), default=0) + 1
     for name, df in tables.items():
         df.write.mode("errorifexists").parquet(f"{root}/v={v}/{name}")
     return v
@@ -83,7 +84,7 @@ def commit(spark: SparkSession, root: str, number: int, version: int, note: str)
 
 def commits(spark: SparkSession, root: str) -> list[Commit]:
     """All commits in order (one small file each)."""
-    if not _numbers(spark, f"{root}/{MARKERS}"):
+    if not numbers(spark, f"{root}/{MARKERS}"):
         return []
     lines = spark.read.schema("value string").text(f"{root}/{MARKERS}").collect()
     found = [r.value.split(" ", 2) for r in lines if r.value]
