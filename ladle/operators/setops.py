@@ -74,10 +74,11 @@ def rider_orders(d) -> DataFrame:
     return union_orders(food, prod, cols)
 
 
-def admin_orders(d, food_k: int | None = 200, produce_k: int | None = 100) -> DataFrame:
+def admin_orders(d, food_k: int | None = 200, produce_k: int | None = 100, items: bool = False) -> DataFrame:
     """The admin order list (U5): newest ``food_k`` food orders (with
     restaurant and customer names) merged with the newest ``produce_k``
-    produce orders (with items).  ``None`` keeps every order."""
+    produce orders.  ``None`` keeps every order.  With ``items``, produce
+    orders carry their ``items[]`` (food orders have none, NULL)."""
     cols = dict(ORDER_COLUMNS, customer_name="string")
     u = d.users.select(F.col("id").alias("_uid"), F.col("name").alias("customer_name"))
     food = orders_with_restaurant(d.food_orders, d.restaurants).join(
@@ -87,9 +88,19 @@ def admin_orders(d, food_k: int | None = 200, produce_k: int | None = 100) -> Da
         food = food.orderBy(F.desc("created_at"), F.desc("id")).limit(food_k)
     if produce_k is not None:
         prod = prod.orderBy(F.desc("created_at"), F.desc("id")).limit(produce_k)
+    if items:
+        cols["items"] = "array<struct<item_id:bigint,name:string,quantity:double,unit_price:double>>"
+        ids = prod.select(F.col("id").alias("order_id"))
+        lines = d.produce_order_items.join(F.broadcast(ids) if produce_k is not None else ids, "order_id", "left_semi")
+        prod = produce_orders_with_items(prod, lines, d.produce_items, detail=False)
     return union_orders(food, prod, cols)
 
 
+def recent_admin_orders(d, k: int = 5) -> DataFrame:
+    """The first ``k`` of the merged admin list (L3, admin): newest first, food before produce at the same time."""
+    return admin_orders(d, k, k).orderBy(F.desc("created_at"), "order_type", F.desc("id")).limit(k)
+
+
 def recent_orders_per_restaurant(orders: DataFrame, k: int = 5) -> DataFrame:
     """The first ``k`` of each restaurant's list, newest first (L3, manager)."""
     from .windows import top_n_per_key

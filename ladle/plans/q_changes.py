@@ -12,8 +12,12 @@ from pyspark.sql import functions as F
 from ..functions.ints import idiv
 from ..operators import aggregates as A
 from ..operators import changes as X
-from ..sources.requests import derived_requests, ingest_json
-from .catalog import query
+from ..sources import sinks
+from ..sources.requests import derived_requests, ingest_checked, ingest_json
+from ..sources.staging import scratch
+from . import q_setops  # noqa: F401  (its SQL is an oracle here)
+from .catalog import query, sql_of
+from .q_nested import as_json
 
 # Food status updates: each food line's shipment, latest by (ship date, line, part).
 _FOOD_STATUS_CHANGES = """(select l_orderkey * 100000 + l_suppkey order_id, l_shipdate ts, l_linenumber seq, l_partkey part,
@@ -78,6 +82,21 @@ def _s20(d):
     return X.last_write_wins(d.food_orders, ch, "order_id", ["ts", "seq"], ["rider_id", "status"], stamp="updated_at")
 
 
+@query("assign_produce_riders", oracle="""
+with ch as (select id order_id, created_at + interval 1 day ts, customer_id // 20 + 1 rider_id from produce_orders
+  where status = 'Confirmed' and (rider_id is null or rider_id = 0))
+select o.* replace (coalesce(ch.rider_id, o.rider_id) as rider_id, coalesce(ch.ts, o.updated_at) as updated_at,
+  case when ch.order_id is not null then 'Out for Delivery' else o.status end as status)
+from produce_orders o left join ch on o.id = ch.order_id""")
+def _s20_produce(d):
+    from ..operators.filters import available_produce
+    ch = available_produce(d.produce_orders).select(
+        F.col("id").alias("order_id"), F.timestamp_add("DAY", F.lit(1), F.col("created_at")).alias("ts"),
+        F.lit(0).alias("seq"), (idiv("customer_id", 20) + 1).alias("rider_id"),
+        F.lit("Out for Delivery").alias("status"))
+    return X.last_write_wins(d.produce_orders, ch, "order_id", ["ts", "seq"], ["rider_id", "status"], stamp="updated_at")
+
+
 @query("rider_approval_apply", oracle="""
 select r.* replace (case when r.status = 'pending' then case when r.id % 3 = 0 then 'rejected' else 'approved' end
   else r.status end as status) from riders r""")
@@ -259,12 +278,55 @@ def _a4(d):
     return d.restaurants.select("id", F.to_json(F.struct("id", "name", "cuisine", "rating")).alias("json"))
 
 
+@query("json_export_nested", oracle=sql_of("customer_order_history"))
+def _a4_nested(d):
+    """The order history with its items, exported as JSON lines and read back."""
+    from ..operators.setops import customer_order_history
+    path = scratch(d.spark, "export")
+    rows = customer_order_history(d)
+    sinks.json_export(rows, path)
+    return sinks.json_import(d.spark, path, rows.schema).withColumn("items", as_json("items"))
+
+
+# Derived requests with a broken body: cut off, without an id, or with text for a number.
+BROKEN = {7: "cut off", 19: "no id", 31: "not a number"}
+
+
+@query("orders_ingest_rejects", oracle="""
+select request_id, case when request_id % 7 = 3 then 'not JSON of the expected form'
+  when request_id % 19 = 3 then 'no request_id' else 'not JSON of the expected form' end error
+from (select id request_id from food_orders union all select id from produce_orders) x
+where request_id % 7 = 3 or request_id % 19 = 3 or request_id % 31 = 3""")
+def _a3_rejects(d):
+    """Bodies that cannot be a request, kept with their error; the id is what the broken body was made from."""
+    r = derived_requests(d).select("request_id", F.to_json(F.struct("request_id", "customer_id", "subtotal")).alias("body"))
+    cut, no_id, text = (F.col("request_id") % n == 3 for n in BROKEN)
+    value = (F.when(cut, F.substring("body", 1, 12)).when(no_id, F.regexp_replace("body", r'"request_id":\d+,', ""))
+             .when(text, F.regexp_replace("body", r'"customer_id":\d+', '"customer_id":"none"')).otherwise(F.col("body")))
+    _, rejects = ingest_checked(r.select(F.col("request_id").alias("made_from"), value.alias("value")))
+    return rejects.select(F.col("made_from").alias("request_id"), "error")
+
+
 @query("audit_append", oracle="""
 select user_id, action, details, "timestamp", cast("timestamp" as date) event_date from audit_log""")
 def _a5(d):
-    """Audit rows with the date partition column used by the append sink."""
-    return d.audit_log.select("user_id", "action", "details", "timestamp",
-                              F.to_date("timestamp").alias("event_date"))
+    """The audit rows appended in three batches, the second of them twice (a replay), and read back."""
+    path = scratch(d.spark, "audit")
+    rows = d.audit_log.select("id", "user_id", "action", "details", "timestamp")
+    for batch in (0, 1, 2, 1):
+        sinks.audit_append(rows.where(F.col("id") % 3 == batch).drop("id"), path, batch=str(batch))
+    return sinks.audit_read(d.spark, path).select("user_id", "action", "details", "timestamp", "event_date")
+
+
+@query("audit_day", oracle="""
+select user_id, action, details, "timestamp", cast("timestamp" as date) event_date from audit_log
+where cast("timestamp" as date) = (select cast(min("timestamp") as date) from audit_log)""")
+def _a5_day(d):
+    """The first day's audit rows: the read prunes to its partition."""
+    path = scratch(d.spark, "audit")
+    sinks.audit_append(d.audit_log.select("user_id", "action", "details", "timestamp"), path, batch="all")
+    first = str(d.audit_log.agg(F.min("timestamp").cast("date")).first()[0])
+    return sinks.audit_read(d.spark, path, first, first).select("user_id", "action", "details", "timestamp", "event_date")
 
 
 @query("seed_insert_ignore", oracle="""
@@ -290,6 +352,24 @@ def _a8(d):
     return X.add_missing_columns(d.restaurants, {"address": F.lit(""), "rating": F.lit(0.0)})
 
 
+@query("read_schema_versions", oracle="""
+select r.* replace (case when id % 3 = 0 then 0.0 else rating end as rating, cast(delivery_time as bigint) as delivery_time),
+  case when id % 3 = 2 then 'Street ' || cast(id as varchar) when id % 3 = 1 then 'unknown' else '' end address
+from restaurants r""")
+def _a8_versions(d):
+    """Restaurants written by three versions of the app: the first without rating and address, with a short number for
+    the delivery time; the second without address; the third with all columns."""
+    root = scratch(d.spark, "versions")
+    wide = d.restaurants.withColumns({"delivery_time": F.col("delivery_time").cast("bigint"),
+                                      "address": F.concat(F.lit("Street "), F.col("id").cast("string"))})
+    parts = {1: d.restaurants.where("id % 3 = 0").drop("rating").withColumn("delivery_time", F.col("delivery_time").cast("smallint")),
+             2: wide.where("id % 3 = 1").drop("address"), 3: wide.where("id % 3 = 2")}
+    for n, df in parts.items():
+        df.write.parquet(f"{root}/schema={n}")
+    return sinks.read_versions(d.spark, root, wide.schema, {1: {"rating": F.lit(0.0), "address": F.lit("")},
+                                                            2: {"address": F.lit("unknown")}})
+
+
 @query("backfill_defaults", oracle="""
 select p.* replace (case when stock_kg is null or stock_kg = 0 then 50.0 else stock_kg end as stock_kg,
   cast(coalesce(is_available, 1) as integer) as is_available,

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
+from types import SimpleNamespace
+
 from pyspark.sql import functions as F
 
 from ..operators import quality as Q
+from ..sources.domain import TABLE_NAMES
 from .catalog import query
 
 
@@ -98,3 +102,60 @@ select * from promo_codes where discount_type <> 'percent'
   and (starts_with(lower(trim(discount_type)), 'percent') or contains(lower(trim(discount_type)), '%'))""")
 def _q7(d):
     return Q.promo_type_audit(d.promo_codes)
+
+
+# Damage done to the tables so that every kind of check has rows to find: (table, column, value), in terms that both
+# engines read.
+DAMAGE = [
+    ("menu_items", "price", "case when id % 53 = 0 then -price else price end"),
+    ("order_items", "quantity", "case when item_id % 59 = 0 then 0 else quantity end"),
+    ("reviews", "rating", "case when id % 61 = 0 then rating + 5 else rating end"),
+    ("produce_order_items", "quantity_kg", "case when produce_id % 67 = 0 then -quantity_kg else quantity_kg end"),
+    ("promo_codes", "discount_value", "case when id % 5 = 0 then 0 else discount_value end"),
+    ("promo_codes", "code", "case when id % 6 = 1 then 'SAME' when id % 6 = 2 then null else code end"),
+    ("users", "email", "case when id % 71 = 0 then 'same@example.com' when id % 73 = 0 then null else email end"),
+    ("users", "name", "case when id % 79 = 0 then null else name end"),
+    ("food_orders", "customer_id", "case when id % 83 = 0 then -5 when id % 89 = 0 then null else customer_id end"),
+    ("food_orders", "rider_id", "case when id % 97 = 0 then 999999999 else rider_id end"),
+    ("restaurants", "manager_id", "case when id % 4 = 3 then 77 else manager_id end"),
+]
+
+
+def _damaged(d) -> SimpleNamespace:
+    tables = {t: getattr(d, t) for t in TABLE_NAMES}
+    for t, c, value in DAMAGE:
+        tables[t] = tables[t].withColumn(f"_{c}", F.expr(value).cast(tables[t].schema[c].dataType))
+    for t, c, _ in DAMAGE:
+        tables[t] = tables[t].withColumn(c, F.col(f"_{c}"))
+    return SimpleNamespace(**{t: df.drop(*[c for c in df.columns if c.startswith("_")]) for t, df in tables.items()})
+
+
+def _on_damaged(body: str) -> str:
+    """The check's SQL with every damaged table under another name."""
+    ctes = []
+    for t in dict.fromkeys(t for t, _, _ in DAMAGE):
+        if re.search(rf"\b{t}\b", body):
+            own = ", ".join(f"{v} as {c}" for tt, c, v in DAMAGE if tt == t)
+            ctes.append(f"damaged_{t} as (select * replace ({own}) from {t})")
+            body = re.sub(rf"\b(from|join) {t}\b", rf"\1 damaged_{t}", body)
+    return f"with {', '.join(ctes)} select * from ({body}) x"
+
+
+@query("check_ranges_damaged", oracle=_on_damaged(_RANGE_SQL))
+def _q2_damaged(d):
+    return Q.check_ranges(_damaged(d))
+
+
+@query("check_required_damaged", oracle=_on_damaged(_REQ_SQL))
+def _q3_damaged(d):
+    return Q.check_required(_damaged(d))
+
+
+@query("check_unique_damaged", oracle=_on_damaged(_UNIQ_SQL))
+def _q4_damaged(d):
+    return Q.check_unique(_damaged(d))
+
+
+@query("check_orphans_damaged", oracle=_on_damaged(_ORPHAN_SQL))
+def _q5_damaged(d):
+    return Q.check_orphans(_damaged(d))

@@ -68,12 +68,14 @@ _ADMIN_PRODUCE = """(select p.*, u.name customer_name from produce_orders p join
 
 @query("admin_orders", oracle=f"""
 select id, 'food' order_type, customer_id, restaurant_id, rider_id, status, total_amount, delivery_fee,
-  platform_fee, rider_tip, payment_method, created_at, restaurant_name, customer_name from {_ADMIN_FOOD} f
+  platform_fee, rider_tip, payment_method, created_at, restaurant_name, customer_name, cast(null as varchar) items
+from {_ADMIN_FOOD} f
 union all
 select id, 'produce', customer_id, null, rider_id, status, total_amount, delivery_fee, null, null,
-  payment_method, created_at, 'Fresh Produce Market', customer_name from {_ADMIN_PRODUCE} p""")
+  payment_method, created_at, 'Fresh Produce Market', customer_name, coalesce(cast(to_json(x.items) as varchar), '[]')
+from {_ADMIN_PRODUCE} p left join {_PRODUCE_ITEMS} x on p.id = x.order_id""")
 def _u5(d):
-    return U.admin_orders(d)
+    return U.admin_orders(d, items=True).withColumn("items", as_json("items"))
 
 
 @query("admin_recent_food_200", oracle=f"select * from {_ADMIN_FOOD} f")
@@ -98,6 +100,17 @@ def _l3(d):
     return U.recent_orders_per_restaurant(d.food_orders, 5)
 
 
+@query("admin_recent_5", oracle=f"""
+select * from (
+  select id, 'food' order_type, restaurant_name, customer_name, status, total_amount, created_at from {_ADMIN_FOOD} f
+  union all
+  select id, 'produce', 'Fresh Produce Market', customer_name, status, total_amount, created_at from {_ADMIN_PRODUCE} p) x
+order by created_at desc, order_type, id desc limit 5""")
+def _l3_admin(d):
+    return U.recent_admin_orders(d, 5).select("id", "order_type", "restaurant_name", "customer_name", "status",
+                                              "total_amount", "created_at")
+
+
 @query("audit_recent_100", oracle="""
 select a.*, coalesce(u.name, 'System') user_name from audit_log a left join users u on a.user_id = u.id
 order by a."timestamp" desc, a.id desc limit 100""")

@@ -60,19 +60,40 @@ def ingest_json(lines: DataFrame, col: str = "value") -> DataFrame:
     ``produce_id`` / ``quantity_kg``; both kinds decode to the columns of
     ``REQUEST_SCHEMA``.  Without ``order_type``, a body with an amount or a
     line of that kind is produce, any other food."""
-    r = lines.select(F.from_json(F.col(col), WIRE_SCHEMA).alias("r")).select("r.*")
+    return _with_defaults(lines.select(F.from_json(F.col(col), WIRE_SCHEMA).alias("r")).select("r.*"), REQUEST_SCHEMA.names)
+
+
+def _with_defaults(r: DataFrame, keep: list[str]) -> DataFrame:
     produce = F.col("total_amount").isNotNull() | F.exists("items", lambda i: i["produce_id"].isNotNull())
     r = (r.withColumn("order_type", F.coalesce("order_type", F.when(produce, "produce").otherwise("food")))
          .withColumn("subtotal", F.coalesce("subtotal", "total_amount"))
          .withColumn("items", F.transform("items", lambda i: F.struct(
              F.coalesce(i["item_id"], i["produce_id"]).alias("item_id"),
              F.coalesce(i["quantity"], i["quantity_kg"]).alias("quantity"), i["unit_price"].alias("unit_price"))))
-         .select(*REQUEST_SCHEMA.names))
+         .select(*keep))
     for c, v in DEFAULTS.items():
         r = r.withColumn(c, F.coalesce(F.col(c), F.lit(v)))
     return r
 
 
+def ingest_checked(lines: DataFrame, col: str = "value") -> tuple[DataFrame, DataFrame]:
+    """Requests as :func:`ingest_json` decodes them, and the bodies that are none, unchanged, with an ``error`` (A3).
+
+    Rejected: NULL or blank bodies, text that is no JSON of the expected form (cut off, or text where a number
+    belongs), and bodies without ``request_id``.  Other columns of ``lines`` stay on both sides; one whose name is a
+    request column is replaced on the first."""
+    schema = T.StructType([*WIRE_SCHEMA.fields, T.StructField("_bad", T.StringType())])
+    body = F.col(col)
+    decoded = lines.withColumn("_r", F.from_json(body, schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
+    error = (F.when(F.coalesce(F.trim(body), F.lit("")) == "", F.lit("empty body"))
+             .when(F.col("_r").isNull() | F.col("_r._bad").isNotNull(), F.lit("not JSON of the expected form"))
+             .when(F.col("_r.request_id").isNull(), F.lit("no request_id")))
+    judged = decoded.withColumn("error", error)
+    own = [c for c in lines.columns if c != col and c not in REQUEST_SCHEMA.names]
+    good = judged.where(F.col("error").isNull()).select(*own, *[F.col(f"_r.{n}").alias(n) for n in WIRE_SCHEMA.names])
+    return _with_defaults(good, [*own, *REQUEST_SCHEMA.names]), judged.where(F.col("error").isNotNull()).select(*lines.columns, "error")
+
+
 def quote_discount(subtotal: Column, kind: Column, value: Column) -> Column:
     """Promo discount as the quote computes it: percent -> round(total*v/100, 2),
     anything else flat; capped at the total; rounded half-even to whole PKR."""

@@ -9,10 +9,12 @@ version counts.  A failed write leaves the previous version live.
 
 from __future__ import annotations
 
+import uuid
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MARKERS = "_committed"
 
@@ -100,13 +102,55 @@ def run_to_files(stream: DataFrame, path: str, checkpoint: str, partition_by: st
         raise RuntimeError(str(q.exception()))
 
 
-def audit_append(rows: DataFrame, path: str) -> None:
-    """Append audit rows partitioned by event date (A5).  The write is its own
-    job: a failure here never undoes the write it describes."""
-    (rows.withColumn("event_date", F.to_date("timestamp"))
-     .write.mode("append").partitionBy("event_date").parquet(path))
+AUDIT = "user_id long, action string, details string, timestamp timestamp_ntz, event_date date, batch string"
+
+
+def audit_append(rows: DataFrame, path: str, batch: str | None = None) -> None:
+    """Append audit rows (A5) under ``event_date=<day>/batch=<id>``.
+
+    A repeated batch replaces its own files and no others, so an append may be
+    retried; without an id the append is a batch of its own.  The write is its own job: a failure here never undoes the write
+    it describes.  Rows without a time share the default partition."""
+    (rows.withColumns({"event_date": F.to_date("timestamp"), "batch": F.lit(batch or uuid.uuid4().hex)})
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("event_date", "batch").parquet(path))
+
+
+def audit_read(spark: SparkSession, path: str, first: str | None = None, last: str | None = None) -> DataFrame:
+    """Audit rows of the days ``first`` to ``last`` (both included, None: open); other days' files are not read."""
+    rows = spark.read.schema(AUDIT).parquet(path)
+    if first is not None:
+        rows = rows.where(F.col("event_date") >= F.lit(first).cast("date"))
+    if last is not None:
+        rows = rows.where(F.col("event_date") <= F.lit(last).cast("date"))
+    return rows
+
+
+# Times with all their digits: the writer's default drops fractions of a second.
+TIMES = {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
 
 
 def json_export(df: DataFrame, path: str) -> None:
     """Rows as JSON records, nested arrays kept (A4)."""
-    df.write.mode("errorifexists").json(path)
+    df.write.mode("errorifexists").options(**TIMES).json(path)
+
+
+def json_import(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Exported records, with the schema they were written from; a broken record fails the read."""
+    return spark.read.schema(schema).options(mode="FAILFAST", **TIMES).json(path)
+
+
+def read_versions(spark: SparkSession, root: str, schema: T.StructType, defaults: dict[int, dict[str, Column]]) -> DataFrame:
+    """A table whose files were written under several schema versions, ``<root>/schema=<n>/``.
+
+    Columns that a version lacks are filled from ``defaults[n]`` (NULL without one); numbers that a version stored in
+    a shorter type are widened by the scan.  A stored NULL of a column that the version had stays NULL."""
+    versioned = T.StructType([*schema.fields, T.StructField("schema", T.IntegerType())])
+    rows = spark.read.schema(versioned).parquet(root)
+    cols = []
+    for f in schema.fields:
+        value = F.col(f.name)
+        for n, given in defaults.items():
+            if f.name in given:
+                value = F.when(F.col("schema") == n, given[f.name].cast(f.dataType)).otherwise(value)
+        cols.append(value.alias(f.name))
+    return rows.select(*cols)

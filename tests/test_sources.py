@@ -8,7 +8,7 @@ import tempfile
 from pyspark.sql import functions as F
 
 from ladle.sources import sinks
-from ladle.sources.requests import ingest_json
+from ladle.sources.requests import ingest_checked, ingest_json
 
 
 def test_ingest_fills_defaults(spark):
@@ -62,3 +62,46 @@ def test_audit_append_partitions_by_day(spark):
     assert got.count() == 3
     assert {str(r.event_date) for r in got.select("event_date").distinct().collect()} == {"2024-05-01", "2024-05-02"}
     assert got.where(F.col("event_date") == "2024-05-02").count() == 1
+
+
+def test_a_repeated_audit_batch_replaces_itself(spark):
+    path = tempfile.mkdtemp(prefix="run-", dir="/tmp") + "/audit"
+    t = dt.datetime(2024, 5, 1, 12)
+    rows = spark.createDataFrame([(i, "LOGIN", "x", t + dt.timedelta(days=i % 3)) for i in range(9)] + [(9, "LOGIN", "x", None)],
+                                 "user_id bigint, action string, details string, timestamp timestamp_ntz")
+    for batch in ("a", "b", "a"):
+        sinks.audit_append(rows, path, batch=batch)
+    got = sinks.audit_read(spark, path)
+    assert got.count() == 20 and {r.batch for r in got.collect()} == {"a", "b"}
+    day = sinks.audit_read(spark, path, "2024-05-02", "2024-05-02")
+    assert sorted(r.user_id for r in day.collect()) == [1, 1, 4, 4, 7, 7]
+    assert "PartitionFilters: [isnotnull(event_date" in day._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rejected_bodies_keep_their_error(spark):
+    good = '{"request_id": 1, "customer_id": 3, "items": []}'
+    bodies = [good, good[:20], "", None, "[]", '{"customer_id": 3}', '{"request_id": "x"}', "not json"]
+    lines = spark.createDataFrame(list(enumerate(bodies)), "n int, value string")
+    ok, bad = ingest_checked(lines)
+    assert [(r.n, r.request_id, r.delivery_fee) for r in ok.collect()] == [(0, 1, 50.0)]
+    form = "not JSON of the expected form"
+    got = {r.n: r.error for r in bad.collect()}
+    assert {k: v for k, v in got.items() if k != 4} == {1: form, 2: "empty body", 3: "empty body", 5: "no request_id", 6: form, 7: form}
+    assert 4 in got and [r.value for r in bad.orderBy("n").collect()] == bodies[1:]
+
+
+def test_versions_fill_only_absent_columns(spark):
+    root = tempfile.mkdtemp(prefix="run-", dir="/tmp") + "/t"
+    spark.createDataFrame([(1, 7)], "id int, n int").write.parquet(f"{root}/schema=1")
+    spark.createDataFrame([(2, 2 ** 40, None), (3, None, "c")], "id int, n long, s string").write.parquet(f"{root}/schema=2")
+    schema = spark.createDataFrame([], "id int, n long, s string").schema
+    got = sinks.read_versions(spark, root, schema, {1: {"s": F.lit("old")}})
+    assert sorted(map(tuple, got.collect())) == [(1, 7, "old"), (2, 2 ** 40, None), (3, None, "c")]
+
+
+def test_nested_export_reads_back_equal(spark):
+    path = tempfile.mkdtemp(prefix="run-", dir="/tmp") + "/json"
+    df = spark.createDataFrame([(1, [(2, 0.1)], dt.datetime(2024, 1, 1, 2, 3, 4, 567)), (2, [], None), (3, None, None)],
+                               "id long, items array<struct<a:long,b:double>>, t timestamp_ntz")
+    sinks.json_export(df, path)
+    assert sorted(map(repr, sinks.json_import(spark, path, df.schema).collect())) == sorted(map(repr, df.collect()))
