@@ -2,19 +2,16 @@
 
 A page becomes a stream of block tags and text slots (inline markup is
 transparent).  The streams of a host are aligned one after another into a
-wrapper, a union-free regular expression over tags: neighbouring elements of
-one kind become a repeated group, elements that one side lacks an optional
-group, texts become slots, and elements on both sides are aligned inside in
-turn.  Equal streams are counted once before anything is aligned, hosts with
-many different ones are folded in salted parts first, so a host with a third
-of all pages costs no more than its number of different page structures.
-
-Every text of a page belongs to a slot of its host's wrapper, and Spark counts
-on how many of the host's pages a slot holds the same text.  What at least
-``least`` pages and half of those with the slot share is template; the rest
-varies and is content.  The regions (article, main, content) that the wrapper
-chooses are those that hold ``region_share`` or more of the varying text of
-the pages that have them.  A page's text is the varying text of the first such
+wrapper, a union-free regular expression (:mod:`grammar`): what one lacks is
+optional, repeated neighbours are repeated items or groups, texts are slots.
+
+Every page is matched against its host's wrapper, which puts each of its texts
+on a slot, and Spark counts on how many of the host's pages a slot holds the
+same text.  A text is template if its pages, less ``doubt``, are half of those
+with the slot or more; the rest varies and is content.  The regions (article,
+main, content) that the wrapper chooses are those that hold ``region_share``
+or more of the varying text of the pages that have them, one more page all
+inside them counted.  A page's text is the varying text of the first such
 region that it has, or all its varying text.  Word lists of tags and classes
 only take out beforehand what is marked as menu, header, footer, sidebar,
 notice, advert, form or comment, as that may vary from page to page too.
@@ -25,7 +22,6 @@ from __future__ import annotations
 
 import hashlib
 import html as html_lib
-import json
 import re
 from collections.abc import Iterator
 
@@ -34,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stage, unstage
+from .grammar import SLOT, Item, Wrapper, decoded, encoded, expression, merged, regions_of, tree_item
 from .urlfilter import host_of
 
 # Element names and the words in class, id or role that mark parts of a page.
@@ -64,7 +61,6 @@ _TOKEN = re.compile(
     r"<!--(?:>|->)|<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*(?:>|\Z)",
     re.DOTALL)
 _ATTR = re.compile(r"([^\s=/\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-SLOT = "#"
 
 
 def _label(tag: str, attrs: str) -> str:
@@ -182,103 +178,14 @@ def _parsed(page: str) -> tuple[list, list[tuple[tuple[str, ...], str]], list[tu
     return root, blocks, places
 
 
-def skeleton(node) -> list:
-    """[label, repeated, optional, children] of a tree; neighbours of one label are one repeated group."""
-    if node == SLOT:
-        return [SLOT, 0, 0, []]
-    return [node[0], 0, 0, _grouped([skeleton(k) for k in node[1]])]
-
-
-def _grouped(items: list[list]) -> list[list]:
-    out: list[list] = []
-    for x in items:
-        if out and out[-1][0] == x[0]:
-            out[-1] = [x[0], 1 if x[0] != SLOT else 0, out[-1][2] & x[2], _aligned(out[-1][3], x[3])]
-        else:
-            out.append(x)
-    return out
-
-
-def _aligned(a: list[list], b: list[list]) -> list[list]:
-    """Align two child sequences: common elements merge, what one side lacks becomes optional."""
-    if a == b:
-        return a
-    n, m = len(a), len(b)
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if a[i][0] == b[j][0] else max(best[i + 1][j], best[i][j + 1])
-    out, i, j = [], 0, 0
-    while i < n or j < m:
-        if i < n and j < m and a[i][0] == b[j][0]:
-            out.append(merged(a[i], b[j]))
-            i, j = i + 1, j + 1
-        elif j == m or (i < n and best[i + 1][j] >= best[i][j + 1]):
-            out.append([a[i][0], a[i][1], 1, a[i][3]])
-            i += 1
-        else:
-            out.append([b[j][0], b[j][1], 1, b[j][3]])
-            j += 1
-    return _grouped(out)
-
-
-def merged(a: list, b: list) -> list:
-    """The wrapper of two wrappers of one element."""
-    return [a[0], a[1] | b[1], a[2] | b[2], _aligned(a[3], b[3])]
-
-
-def expression(w: list) -> str:
-    """A wrapper as a regular expression over tags and text slots."""
-    inner = " ".join(expression(k) for k in w[3])
-    text = SLOT if w[0] == SLOT else (f"<{w[0]}> {inner} </>" if w[0] else inner)
-    return f"({text})" + ("+" if w[1] else "") + ("?" if w[2] else "") if w[1] or w[2] else text
-
-
-def regions_of(w: list, dropped: bool = False) -> set[str]:
-    """Kinds of article regions in a wrapper that hold slots."""
-    def slots(x: list) -> bool:
-        return x[0] == SLOT or (not x[0].endswith("!") and any(slots(k) for k in x[3]))
-
-    if w[0].endswith("!"):
-        return set()
-    found = {w[0].partition("@")[2]} if "@" in w[0] and slots(w) else set()
-    for k in w[3]:
-        found |= regions_of(k)
-    return found
-
-
-def slots_only(w: list) -> list:
-    """[label, children] of a wrapper's elements that are not dropped."""
-    return [w[0], [] if w[0].endswith("!") else [slots_only(k) for k in w[3]]]
-
-
-def located(tree: list, places: list[tuple[int, int]], wrapper: list) -> list[str]:
-    """The wrapper slot of each block of a page, as positions in the wrapper from the root.
-
-    A page's neighbours of one label are one group of the wrapper; the next
-    label is looked for behind the last one's position.  What the wrapper has
-    only further ahead is taken there, what it lacks is named by its labels.
-    """
-    at: dict[tuple[int, int], str] = {}
-    todo: list[tuple[list, list | None, str]] = [(tree, wrapper, "")]
-    while todo:
-        node, w, address = todo.pop()
-        inner = [k[0] for k in w[1]] if w is not None else []
-        last, j = None, -1
-        for i, kid in enumerate(node[1]):
-            label = kid if kid == SLOT else kid[0]
-            if label != last:
-                last = label
-                try:
-                    j = inner.index(label, j + 1)
-                    found = j
-                except ValueError:
-                    found = inner.index(label) if label in inner else -1
-                here = f"{address}/{found if found >= 0 else label}"
-            if kid == SLOT:
-                at[id(node), i] = here
-            elif not label.endswith("!"):
-                todo.append((kid, w[1][found] if found >= 0 else None, here))
+def skeleton(tree: list) -> Item:
+    """The expression of one page."""
+    return merged(tree_item(tree))
+
+
+def located(tree: list, places: list[tuple[int, int]], wrapper: Wrapper) -> list[str]:
+    """The wrapper slot of each block of a page."""
+    at = wrapper.locate(tree)
     return [at.get(p, "") for p in places]
 
 
@@ -303,54 +210,72 @@ def extract(blocks: list[tuple[tuple[str, ...], str]], regions: list[str], varie
     return "\n\n".join(text for _, text in free)
 
 
-def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html", *, salts: int = 16) -> DataFrame:
+PARTS, FAN_IN = 4096, 64
+
+
+def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(host, wrapper, regions, pages, tree): one wrapper per host, over all its pages (staged).
 
-    ``regions`` are the kinds that the host's pages have, ``tree`` the wrapper's slots for ``located``.
+    Equal streams of a host count once.  Different ones are dealt to parts by a hash and folded part by part, then 64
+    parts at a time, each fold reading its rows one by one: no task holds a host, and the result does not depend on how
+    many tasks there are.  ``regions`` are the kinds that the host's pages have, ``tree`` the wrapper for ``located``.
     """
     rows = pages.select(host_of(F.col(url_col)).alias("host"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"host": pdf["host"], "s": [json.dumps(skeleton(parse(x)[0])) for x in pdf["html"]]})
+            yield pd.DataFrame({"host": pdf["host"], "s": [encoded(skeleton(parse(x)[0])) for x in pdf["html"]]})
 
-    streams = rows.mapInPandas(read, "host string, s string").groupBy("host", "s").agg(F.count(F.lit(1)).alias("n"))
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        order = pdf.sort_values(["n", "s"], ascending=[False, True])
-        wrapper = None
-        for s in order["s"]:
-            one = json.loads(s)
-            wrapper = one if wrapper is None else merged(wrapper, one)
-        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "s": [json.dumps(wrapper)], "n": [int(pdf["n"].sum())]})
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """One row for every run of rows of one host and part."""
+        key, wrapper, n = None, None, 0
+        for pdf in batches:
+            out = []
+            for host, part, s, rows in zip(pdf["host"], pdf["part"], pdf["s"], pdf["n"]):
+                if (host, part) != key:
+                    if key is not None:
+                        out.append((*key, wrapper if isinstance(wrapper, str) else encoded(wrapper), n))
+                    key, wrapper, n = (host, part), s, 0
+                else:
+                    wrapper = merged(decoded(wrapper) if isinstance(wrapper, str) else wrapper, decoded(s))
+                n += rows
+            yield pd.DataFrame(out, columns=["host", "part", "s", "n"])
+        if key is not None:
+            yield pd.DataFrame([(*key, wrapper if isinstance(wrapper, str) else encoded(wrapper), n)], columns=["host", "part", "s", "n"])
 
-    kind = "host string, s string, n long"
-    salted = streams.withColumn("salt", F.pmod(F.xxhash64("s"), F.lit(salts)))
-    part = salted.groupBy("host", "salt").applyInPandas(fold, kind)
-    whole = part.groupBy("host").applyInPandas(fold, kind)
+    streams = rows.mapInPandas(read, "host string, s string").groupBy("host", "s").agg(F.count(F.lit(1)).alias("n"))
+    left = streams.withColumn("part", F.pmod(F.xxhash64("s"), F.lit(PARTS)))
+    parts = PARTS
+    while True:
+        left = left.repartition("host", "part").sortWithinPartitions("host", "part", F.xxhash64("s"), "s").mapInPandas(
+            fold, "host string, part long, s string, n long")
+        if parts == 1:
+            break
+        parts = max(1, parts // FAN_IN)
+        left = left.withColumn("part", F.floor(F.col("part") / FAN_IN))
 
     def told(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            trees = [json.loads(s) for s in pdf["s"]]
+            trees = [decoded(s) for s in pdf["s"]]
             found = [regions_of(t) for t in trees]
             yield pd.DataFrame({"host": pdf["host"], "wrapper": [expression(t) for t in trees],
                                 "regions": [[k for k in REGIONS if k in f] for f in found], "pages": pdf["n"],
-                                "tree": [json.dumps(slots_only(t), ensure_ascii=False, separators=(",", ":")) for t in trees]})
+                                "tree": [encoded(t, prune=True) for t in trees]})
 
-    return stage(whole.mapInPandas(told, "host string, wrapper string, regions array<string>, pages long, tree string"), "wrappers")
+    return stage(left.mapInPandas(told, "host string, wrapper string, regions array<string>, pages long, tree string"), "wrappers")
 
 
 class _Trees(dict):
     """Wrappers by their text, so that a task reads the wrapper of a host once."""
 
-    def __missing__(self, text: str) -> list:
+    def __missing__(self, text: str) -> Wrapper:
         if len(self) >= 256:
             self.clear()
-        self[text] = json.loads(text)
+        self[text] = Wrapper(text)
         return self[text]
 
 
-def infer_plans(pages: DataFrame, url_col: str = "url", html_col: str = "html", *, least: int = 5,
+def infer_plans(pages: DataFrame, url_col: str = "url", html_col: str = "html", *, doubt: int = 2,
                 region_share: float = 0.25) -> DataFrame:
     """(host, tree, fixed, regions): the wrapper, the (slot, text) hashes that are template, the regions chosen (staged).
 
@@ -380,15 +305,16 @@ def infer_plans(pages: DataFrame, url_col: str = "url", html_col: str = "html",
                   .dropDuplicates(["host", "page", "text"]), "wrapper-texts")
     slots = texts.groupBy("host", "slot", "page").agg(F.lit(1).alias("one")).groupBy("host", "slot").agg(
         F.count(F.lit(1)).alias("have"))
-    fixed = stage(texts.groupBy("host", "slot", "text").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
-                  .join(slots, ["host", "slot"]).filter(2 * F.col("n") >= F.col("have")).select("host", "text"), "wrapper-fixed")
+    fixed = stage(texts.groupBy("host", "slot", "text").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > doubt)
+                  .join(slots, ["host", "slot"]).filter(2 * (F.col("n") - doubt) >= F.col("have")).select("host", "text"), "wrapper-fixed")
     has = lambda j: F.col("kinds").bitwiseAND(1 << j) > 0
     varying = texts.join(fixed, ["host", "text"], "left_anti").groupBy("host", "page").agg(
         F.sum("chars").alias("chars"), *[F.sum(F.when(has(j), F.col("chars"))).alias(k) for j, k in enumerate(REGIONS)])
     shares = varying.groupBy("host").agg(F.count(F.lit(1)).alias("n"), *[x for k in REGIONS for x in (
-        F.sum(k).alias(k), F.sum(F.when(F.col(k) > 0, F.col("chars"))).alias(f"{k}_of"))])
+        F.sum(k).alias(k), F.avg(F.when(F.col(k) > 0, F.col("chars"))).alias(f"{k}_page"),
+        F.sum(F.when(F.col(k) > 0, F.col("chars"))).alias(f"{k}_of"))])
     chosen = shares.select("host", F.filter(F.array(*[
-        F.when((F.col("n") < least) | (F.col(k) >= region_share * F.col(f"{k}_of")), F.lit(k)) for k in REGIONS]),
+        F.when(F.col(k) + F.col(f"{k}_page") >= region_share * (F.col(f"{k}_of") + F.col(f"{k}_page")), F.lit(k)) for k in REGIONS]),
         lambda x: x.isNotNull()).alias("regions"))
     out = (wrappers.select("host", "tree").join(fixed.groupBy("host").agg(F.collect_list("text").alias("fixed")), "host", "left")
            .join(chosen, "host", "left"))
@@ -402,8 +328,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 
     Character references are decoded, white space inside a block is one
     space, blocks are joined in page order by an empty line; marked parts and
-    template texts are dropped, nothing is cut.  A host with fewer than five
-    different pages has no template texts and all regions.  Defined results: a null or empty page, or one without
+    template texts are dropped, nothing is cut.  Defined results: a null or empty page, or one without
     article text, has the empty text; a null url belongs to the host without
     a name; repeated rows give equal rows; an empty table gives an empty
     result; other columns are not read.
