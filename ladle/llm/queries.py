@@ -67,10 +67,12 @@ URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.exa
 
 @query()
 def op2_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A page counts as bad if the label of its id says low quality or toxic."""
+    """A page has the label of the documents whose lines it shows: bad is low quality or toxic."""
     labels = table(spark, sf_dir, "labels").select(
         F.col("doc_id").alias("id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int").alias("bad"))
-    return urlfilter.judge_urls(table(spark, sf_dir, "pages", "page_id", "url"), labels, URL_RULES)
+    known = urlfilter.text_labels(table(spark, sf_dir, "pages", "page_id", "html"),
+                                  table(spark, sf_dir, "documents", "doc_id", "text"), labels)
+    return urlfilter.judge_urls(table(spark, sf_dir, "pages", "page_id", "url"), known, URL_RULES)
 
 
 @query()
