@@ -116,7 +116,9 @@ def text_labels(pages: DataFrame, documents: DataFrame, labels: DataFrame, id_co
         parts = F.transform(F.split(F.coalesce(text, F.lit("")), cut), lambda s: F.trim(F.regexp_replace(s, r"\s+", " ")))
         return F.array_distinct(F.transform(F.filter(parts, lambda s: F.length(s) >= least_chars), lambda s: F.xxhash64(s)))
 
-    held = documents.join(known, F.col(f"`{doc_col}`") == F.col("_id")).select("bad", F.explode(lines(F.col(f"`{text_col}`"), r"\n")).alias("line"))
+    # texts become hashes of lines before the join, so that no text is shuffled
+    own = documents.select(F.col(f"`{doc_col}`").alias("doc"), lines(F.col(f"`{text_col}`"), r"\n").alias("lines"))
+    held = own.join(known, F.col("doc") == F.col("_id")).select("bad", F.explode("lines").alias("line"))
     votes = held.groupBy("line").agg(F.avg("bad").alias("vote"), F.count(F.lit(1)).alias("docs"))
     shown = pages.select(F.col(f"`{id_col}`").alias("id"), lines(F.col(f"`{html_col}`"), r"<[^>]*>|\n").alias("lines"))
     shown = shown.select("id", F.size("lines").alias("size"), F.explode("lines").alias("line"))
