@@ -3,7 +3,7 @@
 Base patterns find e-mail addresses, IP addresses, payment cards and phone
 numbers.  These are the seeds: the words around them are lexical patterns, and
 the words around other identifier-shaped phrases (tokens with four digits or
-more, two to five digit groups with white space between, e-mail forms with or
+more, digit groups with white space between, e-mail forms with or
 without digits, IPv6 addresses) are collected too.  Spark then scores the bipartite graph of patterns
 and instances, kind by kind:
 
@@ -46,7 +46,11 @@ PATTERNS = {
 TOKEN = r"(?<![^ \t-\r])(?:[^ \t-\r0-9]*+[0-9]){4}[^ \t-\r]*+"
 # A group of digits at the start of a token; phrases are made of neighbouring ones.
 PIECE = r"(?<![^ \t-\r])[(]?[0-9][0-9().-]*+(?![^ \t-\r,;:!?'\"\]])"
-PHRASE_PIECES = 5
+# The words beside a match; each is found in one run over the piece, however long its words are.
+LAST_WORD = r"(?<![^ \t-\r])([^ \t-\r]++)\z"
+FIRST_WORD = r"\A([^ \t-\r]++)"
+NEAR = 48
+MOST_DIGITS = 19
 # E-mail forms: any host, the sign written out in brackets or as a word.
 _L = r"[^ \t-\r@<>()\[\]{},;:\"'|]"
 MAIL = (rf"(?<!{_L}){_L}++(?:@{_L}++| ?[\[({{](?i:at)[\])}}] ?{_L}++(?: ?[\[({{](?i:dot)[\])}}] ?{_L}++)*+"
@@ -109,15 +113,20 @@ def _located(df: DataFrame, text: Column, name: str, pattern: str) -> DataFrame:
         lambda c: add(F.slice(lens, c * k + 1, k)))))
     before = lambda i: (add(F.slice(F.col("_c"), F.lit(1), F.floor(i / k).cast("int")))
                         + add(F.slice(lens, F.floor(i / k).cast("int") * k + 1, i % k)))
-    last_word, first_word, blank = r"([^ \t-\r]+)$", r"^([^ \t-\r]+)", F.lit(" \t\n\x0b\x0c\r")
+    blank = F.lit(" \t\n\x0b\x0c\r")
+
+    def word(near: Column, piece: Column, pattern: str) -> Column:
+        """The neighbour word: mostly within ``NEAR`` code points; else it is read from the whole piece."""
+        w = F.regexp_extract(near, pattern, 1)
+        return F.lower(F.when(F.length(w) < NEAR, w).otherwise(F.regexp_extract(piece, pattern, 1)))
 
     def one(m: Column, i: Column) -> Column:
-        piece, after = F.get(F.col("_p"), i), F.get(F.col("_p"), i + 1)
+        before_it, after = F.rtrim(F.get(F.col("_p"), i), blank), F.ltrim(F.get(F.col("_p"), i + 1), blank)
         end = before(i) + F.get(lens, i)
         return F.struct(
             (end - F.length(m)).alias("start"), end.alias("end"), m.alias("s"),
-            F.lower(F.regexp_extract(F.right(F.rtrim(piece, blank), F.lit(48)), last_word, 1)).alias("left"),
-            F.lower(F.regexp_extract(F.left(F.ltrim(after, blank), F.lit(48)), first_word, 1)).alias("right"))
+            word(F.right(before_it, F.lit(NEAR)), before_it, LAST_WORD).alias("left"),
+            word(F.left(after, F.lit(NEAR)), after, FIRST_WORD).alias("right"))
 
     empty = F.array().cast("array<struct<start:int,end:int,s:string,left:string,right:string>>")
     return df.withColumn(name, F.coalesce(F.transform(F.col("_m"), one), empty)).drop("_m", "_p", "_l", "_k", "_c")
@@ -150,42 +159,51 @@ def locate(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     v6 = F.transform("v6", lambda x: x.withField("part", F.lit(False)))
     shaped = F.filter(F.concat(trimmed, F.col("phrase"), v6), lambda x: _shapes(x["s"]) > 0)
     free = F.filter(shaped, lambda x: ~F.exists(F.col("base"), lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-    return df.withColumn("cand", F.array_distinct(free)).select("id", "h", "base", "cand")
+    df = df.withColumn("sorted", F.sort_array(free))  # to drop repeats beside each other: a long text has very many
+    fresh = F.filter("sorted", lambda x, i: ~x.eqNullSafe(F.get(F.col("sorted"), i - 1)))
+    return df.withColumn("cand", fresh).select("id", "h", "base", "cand")
 
 
 def _groups(pieces: Column) -> Column:
-    """Digit groups with their number of digits, the length of the marks at the end, and their brackets."""
+    """Digit groups with their number of digits, the length of the marks at the end, their brackets, and whether one
+    white space stands between the one before and them."""
+    near = lambda x, i: F.coalesce(F.get(pieces, i - 1)["end"] + 1 == x["start"], F.lit(False))
     tail = lambda x: F.length(F.regexp_extract(x["s"], r"[^0-9]*$", 0))
-    return F.transform(pieces, lambda x: F.struct(
+    return F.transform(pieces, lambda x, i: F.struct(
         x["start"].alias("start"), x["end"].alias("end"), x["s"].alias("s"), x["left"].alias("left"), x["right"].alias("right"),
-        F.length(_digits(x["s"])).alias("d"), tail(x).alias("tail"), x["s"].startswith("(").alias("open"),
+        near(x, i).alias("near"), F.length(_digits(x["s"])).alias("d"), tail(x).alias("tail"), x["s"].startswith("(").alias("open"),
         F.contains(x["s"], F.lit(")")).alias("close")))
 
 
 def _phrases(pieces: Column) -> Column:
-    """Phrases of two to ``PHRASE_PIECES`` digit groups with one white space between; ``part``: in a longer one."""
-    def near(a: Column, b: Column) -> Column:
-        return F.coalesce(a["end"] + 1 == b["start"], F.lit(False))
-
-    def of(rows: Column, i: Column, k: int) -> Column:
-        own = [F.get(rows, i + j) for j in range(k)]
-        joined, digits = F.lit(True), own[0]["d"]
-        for a, b in zip(own, own[1:]):
-            joined, digits = joined & near(a, b), digits + b["d"]
-        before, after = F.get(rows, i - 1), F.get(rows, i + k)
-        part = F.lit(False) if k == PHRASE_PIECES else ((near(before, own[0]) & (digits + before["d"] <= 19))
-                                                        | (near(own[-1], after) & (digits + after["d"] <= 19)))
-        s, end, closed = F.concat_ws(" ", *[x["s"] for x in own]), own[-1]["tail"], own[0]["close"]
-        for x in own[1:-1]:
-            closed = closed | x["close"]
-        lead = F.when(own[0]["open"] & ~closed, 1).otherwise(0)
-        return F.when(joined & digits.between(7, 19), F.struct(
-            (own[0]["start"] + lead).alias("start"), (own[-1]["end"] - end).alias("end"),
-            F.substring(s, lead + 1, own[-1]["end"] - own[0]["start"] - end - lead).alias("s"), own[0]["left"].alias("left"),
-            own[-1]["right"].alias("right"), F.coalesce(part, F.lit(False)).alias("part")))
-
-    every = F.flatten(F.transform(pieces, lambda x, i: F.array(*[of(pieces, i, k) for k in range(2, PHRASE_PIECES + 1)])))
-    return F.when(F.size(pieces) > 1, F.filter(every, lambda x: x.isNotNull())).otherwise(
+    """Phrases of two or more digit groups with one white space between and 7 to 19 digits in all; ``part``: a longer
+    one has it inside.  A group has a digit or more, so 19 groups are the most."""
+    def near(i: Column) -> Column:
+        return F.coalesce(F.get(pieces, i)["near"], F.lit(False))
+
+    # elements are read one by one: a slice would copy the whole array each time
+    def of(i: Column, k: Column) -> Column:
+        own = F.sequence(i, i + k - 1)
+        first, last = F.get(pieces, i), F.get(pieces, i + k - 1)
+        digits = F.aggregate(own, F.lit(0), lambda a, j: a + F.get(pieces, j)["d"])
+        before, after = F.get(pieces, i - 1), F.get(pieces, i + k)
+        part = (near(i) & (digits + F.coalesce(before["d"], F.lit(MOST_DIGITS)) <= MOST_DIGITS)) | (
+            near(i + k) & (digits + F.coalesce(after["d"], F.lit(MOST_DIGITS)) <= MOST_DIGITS))
+        s = F.array_join(F.transform(own, lambda j: F.get(pieces, j)["s"]), " ")
+        closed = F.exists(F.sequence(i, i + k - 2), lambda j: F.get(pieces, j)["close"])
+        lead = F.when(first["open"] & ~closed, 1).otherwise(0)
+        return F.when(digits.between(7, MOST_DIGITS), F.struct(
+            (first["start"] + lead).alias("start"), (last["end"] - last["tail"]).alias("end"),
+            F.substring(s, lead + 1, last["end"] - first["start"] - last["tail"] - lead).alias("s"), first["left"].alias("left"),
+            last["right"].alias("right"), part.alias("part")))
+
+    def from_start(i: Column) -> Column:
+        sizes = F.filter(F.sequence(F.lit(2), F.least(F.lit(MOST_DIGITS), F.size(pieces) - i)),
+                         lambda k: F.forall(F.sequence(i + 1, i + k - 1), near))
+        return F.transform(sizes, lambda k: of(i, k))
+
+    starts = F.filter(F.sequence(F.lit(0), F.size(pieces) - 2), lambda i: near(i + 1))
+    return F.when(F.size(pieces) > 1, F.filter(F.flatten(F.transform(starts, from_start)), lambda x: x.isNotNull())).otherwise(
         F.array().cast("array<struct<start:int,end:int,s:string,left:string,right:string,part:boolean>>"))
 
 
