@@ -1,22 +1,21 @@
 """Document fingerprints by locally consistent parsing.
 
-Level 0 names the code points.  A level first joins runs of equal names, then
-deterministic coin tossing gives every symbol a small label: twice the lowest
-bit in which its name differs from the name before, plus that bit, repeated
-until labels are below 6.  Neighbouring labels always differ, so their local
-maxima, which depend on a handful of neighbours only, cut the sequence into
-phrases of two to about ten symbols.  A phrase is named by a hash of its
-symbols' names, and the names are the next level's symbols, up to a single
-name for the text.  Equal substrings are thus parsed alike except near their
-ends, at whatever offset they stand.
-
-The fingerprint holds bottom-k sketches of the sets of phrase names from a
-lowest level upward (lower for short texts, so that they have enough phrases)
-and from each level above it up to ``TOP``: the ``SKETCH`` smallest 32-bit
-names each, every name once, in hexadecimal.  Two fingerprints are compared
-from the higher of their lowest levels upward, so that both stand for phrases
-of the same levels; their likeness is the share of the smallest names of their
-union that both have, an estimate of the resemblance of the two phrase sets.
+Level 0 names the code points.  A level cuts runs of equal names into pairs
+(the last of an odd run into a triple).  Between runs, deterministic coin
+tossing gives every symbol a small label: twice the lowest bit in which its
+name differs from the name before, plus that bit, repeated until labels are
+below 6.  Neighbouring labels always differ, so their local maxima, which
+depend on a handful of neighbours only, cut the sequence into phrases of two to
+about ten symbols.  A phrase is named by a hash of its symbols' names, and the
+names are the next level's symbols, up to a single name for the text.  Equal
+substrings are thus parsed alike except near their ends, at whatever offset
+they stand.
+
+The fingerprint is a bottom-k sketch of the set of all phrase names from level
+``LOWEST`` upward (and the text's own name, however short it is): the
+``SKETCH`` smallest 32-bit names, sorted, in hexadecimal.  The likeness of two
+fingerprints is the share of the smallest names of their union that both have,
+an estimate of the resemblance of the two phrase sets.
 """
 
 from __future__ import annotations
@@ -32,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import shuffle_partitions, stage
 
 SKETCH = 64
-TOP = 3  # no text's lowest level is higher
+LOWEST = 2  # phrases of about ten code points
 PIECE_CHARS = 1 << 20
 _K = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)]
 
@@ -68,93 +67,62 @@ def parse_level(x: np.ndarray, seg: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     new = np.ones(n, bool)
     new[1:] = (x[1:] != x[:-1]) | (seg[1:] != seg[:-1])
     at = np.flatnonzero(new)
-    if len(at) < n:  # runs of equal names
-        runs = np.diff(np.append(at, n)).astype(np.uint64)
-        x, seg = x[at], seg[at]
-        x = np.where(runs > 1, _mixed(x * _K[0] + runs), x)
-        n = len(x)
-    first = np.ones(n, bool)
-    first[1:] = seg[1:] != seg[:-1]
-    last = np.ones(n, bool)
-    last[:-1] = first[1:]
-    lab = _labels(x, first)
-    top = np.zeros(n, bool)
-    top[1:-1] = (lab[1:-1] > lab[:-2]) & (lab[1:-1] > lab[2:])
-    top[1:] &= ~first[:-1]          # every phrase has two symbols or more, unless the sequence has one
-    top &= ~last
-    start = np.flatnonzero(first | top)
+    cut = np.zeros(n, bool)
+    between = np.arange(n)
+    if len(at) < n:  # runs of equal names: pairs, and a triple at the end of an odd run
+        runs = np.diff(np.append(at, n))
+        length, offset = np.repeat(runs, runs), np.arange(n) - np.repeat(at, runs)
+        cut = (length > 1) & (offset % 2 == 0) & (offset <= length - 2)
+        between = np.flatnonzero(length == 1)
+    if len(between):
+        first = np.ones(len(between), bool)
+        first[1:] = (between[1:] != between[:-1] + 1) | (seg[between[1:]] != seg[between[:-1]])
+        last = np.ones(len(between), bool)
+        last[:-1] = first[1:]
+        lab = _labels(x[between], first)
+        top = np.zeros(len(between), bool)
+        top[1:-1] = (lab[1:-1] > lab[:-2]) & (lab[1:-1] > lab[2:])
+        top[1:] &= ~first[:-1]          # every phrase has two symbols or more, unless the stretch has one
+        top &= ~last
+        cut[between] = first | top
+    start = np.flatnonzero(cut)
     sizes = np.diff(np.append(start, n))
     pos = (np.arange(n) - np.repeat(start, sizes)).astype(np.uint64)
     name = _mixed(np.add.reduceat(_mixed(x + pos * _K[0]), start) + sizes.astype(np.uint64) * _K[2])
     return name, seg[start]
 
 
-def _lowest_level(n: np.ndarray) -> np.ndarray:
-    return np.where(n < 400, 1, np.where(n < 1500, 2, 3))
-
-
 def sketches(texts: list[str]) -> list[np.ndarray]:
-    """The fingerprint of each text as words (uint32); none for an empty text.
-
-    The first word holds the lowest level and the numbers of names of levels
-    1 and 2 (a byte each); the smallest names of each level, sorted, follow,
-    those of ``TOP`` and all levels above together.
-    """
+    """The fingerprint of each text as sorted names (uint32); none for an empty text."""
     lengths = np.array([len(t) for t in texts], np.int64)
     code = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-    out = [np.empty(0, np.uint32)] * len(texts)
     if not len(code):
-        return out
-    lowest = _lowest_level(lengths)
+        return [np.empty(0, np.uint32)] * len(texts)
     with np.errstate(over="ignore"):
         x = _mixed(code.astype(np.uint64) * _K[2] + _K[0])
         seg = np.repeat(np.arange(len(texts)), lengths)
-        names, owners, levels = [], [], []
+        names, owners = [], []
         level = 0
         while len(x):
             first = np.ones(len(x), bool)
             first[1:] = seg[1:] != seg[:-1]
             alone = first.copy()
-            alone[:-1] &= first[1:]     # a sequence of one symbol is done: that is the text's own name, at every level
-            keep = alone | ((level > 0) & (level >= lowest[seg]))
+            alone[:-1] &= first[1:]     # a sequence of one symbol is done: that is the text's own name
+            keep = alone if level < LOWEST else np.ones(len(x), bool)
             names.append((_mixed(x[keep] + np.uint64(level)) >> np.uint64(32)).astype(np.uint32))
             owners.append(seg[keep])
-            levels.append(np.where(alone[keep], TOP, min(level, TOP)).astype(np.uint8))
             x, seg = x[~alone], seg[~alone]
             if len(x):
                 x, seg = parse_level(x, seg)
             level += 1
-    name, owner, at = np.concatenate(names), np.concatenate(owners), np.concatenate(levels)
+    name, owner = np.concatenate(names), np.concatenate(owners)
     order = np.argsort((owner.astype(np.uint64) << np.uint64(32)) | name, kind="stable")
-    name, owner, at = name[order], owner[order], at[order]
+    name, owner = name[order], owner[order]
     fresh = np.ones(len(name), bool)
     fresh[1:] = (name[1:] != name[:-1]) | (owner[1:] != owner[:-1])
-    at = np.maximum.reduceat(at, np.flatnonzero(fresh))
     name, owner = name[fresh], owner[fresh]
-    held = np.zeros(len(name), bool)
-    for k in range(1, TOP + 1):  # a level's names among the smallest from it upward
-        rank = np.cumsum(at >= k)
-        before = np.searchsorted(owner, owner)
-        held |= (at == k) & (rank - np.where(before > 0, rank[before - 1], 0) <= SKETCH)
-    name, owner, at = name[held], owner[held], at[held]
-    order = np.argsort(owner * (TOP + 1) + at, kind="stable")
-    name, owner, at = name[order], owner[order], at[order]
     cuts = np.searchsorted(owner, np.arange(len(texts) + 1))
-    for i in range(len(texts)):
-        if cuts[i] < cuts[i + 1]:
-            own = slice(cuts[i], cuts[i + 1])
-            n = np.bincount(at[own], minlength=TOP + 1)
-            head = np.array([int(lowest[i]) | int(n[1]) << 8 | int(n[2]) << 16], np.uint32)
-            out[i] = np.concatenate([head, name[own]])
-    return out
-
-
-def _from_level(sketch: np.ndarray, level: int) -> np.ndarray:
-    """The sorted smallest names of a level upward, from the text's lowest level on."""
-    head = int(sketch[0])
-    skip = [0, head >> 8 & 255, head >> 16 & 255]
-    names = sketch[1 + sum(skip[:level]):]
-    return names if level == TOP else np.sort(names)[:SKETCH]
+    return [name[i:min(i + SKETCH, j)] for i, j in zip(cuts[:-1], cuts[1:])]
 
 
 def hexed(sketch: np.ndarray) -> str:
@@ -169,8 +137,6 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     """Estimated resemblance, 0 to 1; two empty sketches are alike."""
     if not len(a) or not len(b):
         return float(len(a) == len(b))
-    level = max(int(a[0]) & 255, int(b[0]) & 255)
-    a, b = _from_level(a, level), _from_level(b, level)
     union = np.union1d(a, b)[:SKETCH]
     return float((np.isin(union, a, assume_unique=True) & np.isin(union, b, assume_unique=True)).sum() / len(union))
 

@@ -287,7 +287,7 @@ def test_phrases_do_not_depend_on_the_offset():
     assert np.array_equal(fingerprint.unhexed(fingerprint.hexed(s[0])), s[0])
 
 
-def test_near_copies_of_different_lowest_levels_are_alike():
+def test_near_copies_on_both_sides_of_former_limits_are_alike():
     rng = random.Random(6)
     words = vocabulary(400, 6)
     for limit in (400, 1500):
@@ -295,7 +295,6 @@ def test_near_copies_of_different_lowest_levels_are_alike():
         for _ in range(30):
             t = " ".join(rng.choice(words) for _ in range(limit))[:limit + 1]
             a, b = fingerprint.sketches([t, t[:limit - 1]])
-            assert int(a[0]) & 255 == (int(b[0]) & 255) + 1
             near.append(fingerprint.likeness(a, b))
         assert sum(near) / 30 > 0.7 and fingerprint.likeness(a, fingerprint.sketches(["other words " * 40])[0]) < 0.2
 
