@@ -252,43 +252,78 @@ def _portions(texts: list) -> Iterator[list]:
         yield held
 
 
+def _encoded(model: PieceTable, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.ListArray, pa.RecordBatch]]:
+    """Each batch with the ids of its texts (column t); at most ``CACHE`` solved segments are kept."""
+    cache: dict[str, bytes] = {}
+    for batch in batches:
+        raw: list[bytes] = []
+        for texts in _portions(_plain(batch, "t").to_pylist()):
+            split = [model.segments(t) if t else [] for t in texts]
+            if len(cache) > CACHE:
+                cache.clear()
+            new = list({s for segs in split for s in segs if s not in cache})
+            cache.update(zip(new, [x.tobytes() for x in model.solve(new)]))
+            raw += [b"".join([cache[s] for s in segs]) for segs in split]
+        offsets = np.zeros(len(raw) + 1, np.int32)
+        np.cumsum([len(x) // 4 for x in raw], out=offsets[1:])
+        yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(raw), np.int32))), batch
+
+
+def _decoded(model: PieceTable, lists: pa.ListArray) -> pa.Array:
+    cuts, ids = lists.offsets.to_numpy(), pc.fill_null(lists.values, -1).to_numpy()
+    return pa.array([model.decode(ids[x:y].tolist()) if ok else None
+                     for x, y, ok in zip(cuts, cuts[1:], lists.is_valid().to_pylist())], pa.string())
+
+
+def _inner(docs: DataFrame, text_col: str, *replaced: str) -> tuple[DataFrame, list[str]]:
+    """The text as ``t`` and the other columns under positional names (clashing names do no harm in the task)."""
+    gone = {c.lower() for c in (text_col, *replaced)}
+    rest = [c for c in docs.columns if c.lower() not in gone]
+    return docs.select(F.col(text_col).alias("t"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(rest)]), rest
+
+
+_IDS = T.StructField("ids", T.ArrayType(T.IntegerType()))
+
+
 def encode(docs: DataFrame, model: PieceTable, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """``docs`` with ``ids_col`` (array of int) in place of ``text_col``.
 
-    The table (bounded by the vocabulary) goes to every task; a task keeps at
-    most ``CACHE`` solved segments.  Defined results: a null or empty text
-    has no ids; other columns are passed through, ``ids_col`` replaces a
-    column of its name.
+    The table (bounded by the vocabulary) goes to every task.  Defined
+    results: a null or empty text has no ids; other columns are passed
+    through, ``ids_col`` replaces a column of its name; repeated rows are
+    encoded alike; an empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    held = spark.sparkContext.broadcast(model)
-    rest = [c for c in docs.columns if c.lower() not in (text_col.lower(), ids_col.lower())]
-    # positional names inside the task, so that clashing names do no harm
-    inner = docs.select(F.col(text_col).alias("t"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(rest)])
-    schema = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType()))] + list(inner.schema.fields[1:]))
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    inner, rest = _inner(docs, text_col, ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = held.value
-        cache: dict[str, bytes] = {}
-        for batch in batches:
-            raw: list[bytes] = []
-            for texts in _portions(_plain(batch, "t").to_pylist()):
-                split = [model.segments(t) if t else [] for t in texts]
-                if len(cache) > CACHE:
-                    cache.clear()
-                new = list({s for segs in split for s in segs if s not in cache})
-                cache.update(zip(new, [x.tobytes() for x in model.solve(new)]))
-                raw += [b"".join([cache[s] for s in segs]) for segs in split]
-            offsets = np.zeros(len(raw) + 1, np.int32)
-            np.cumsum([len(x) // 4 for x in raw], out=offsets[1:])
-            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(raw), np.int32)))
-            yield pa.RecordBatch.from_arrays([ids, *batch.columns[1:]], names=[
-                "ids", *batch.schema.names[1:]])
+        for ids, batch in _encoded(held.value, batches):
+            yield pa.RecordBatch.from_arrays([ids, *batch.columns[1:]], names=["ids", *batch.schema.names[1:]])
 
-    out = inner.mapInArrow(trimmed(run), schema)
+    out = inner.mapInArrow(trimmed(run), T.StructType([_IDS] + list(inner.schema.fields[1:])))
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(rest)], F.col("ids").alias(ids_col))
 
 
+def encode_and_decode(docs: DataFrame, model: PieceTable, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
+    """``docs`` with ``ids_col`` and the text decoded from it in place of ``text_col``.
+
+    The same rows as ``decode(encode(docs))``, but one worker with one table
+    does both for a task, where two stand in line otherwise.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    inner, rest = _inner(docs, text_col, ids_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, batch in _encoded(held.value, batches):
+            yield pa.RecordBatch.from_arrays([ids, _decoded(held.value, ids), *batch.columns[1:]],
+                                             names=["ids", "t", *batch.schema.names[1:]])
+
+    fields = [_IDS, T.StructField("t", T.StringType())] + list(inner.schema.fields[1:])
+    out = inner.mapInArrow(trimmed(run), T.StructType(fields))
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(rest)], F.col("ids").alias(ids_col),
+                      F.col("t").alias(text_col))
+
+
 def decode(encoded: DataFrame, model: PieceTable, ids_col: str = "ids", text_col: str = "text") -> DataFrame:
     """``encoded`` with the decoded ``text_col`` added.
 
@@ -303,13 +338,8 @@ def decode(encoded: DataFrame, model: PieceTable, ids_col: str = "ids", text_col
     schema = T.StructType([T.StructField("t", T.StringType())] + list(inner.schema.fields[1:]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = held.value
         for batch in batches:
-            lists = _plain(batch, "ids")
-            cuts, ids = lists.offsets.to_numpy(), pc.fill_null(lists.values, -1).to_numpy()
-            texts = [model.decode(ids[x:y].tolist()) if ok else None
-                     for x, y, ok in zip(cuts, cuts[1:], lists.is_valid().to_pylist())]
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), *batch.columns[1:]],
+            yield pa.RecordBatch.from_arrays([_decoded(held.value, _plain(batch, "ids")), *batch.columns[1:]],
                                              names=["t", *batch.schema.names[1:]])
 
     out = inner.mapInArrow(trimmed(run), schema)

@@ -250,7 +250,10 @@ def test_sentencepiece_viterbi_and_round_trip(docs, texts, empty):
     assert len(back) == len(texts) + 2
     for r in back:
         assert r.text == (texts[r.doc_id] or "").replace(pieces.MARK, " ") and r.Node == "n"
-    assert pieces.encode(empty, table).count() == 0
+    once = pieces.encode_and_decode(docs, table)
+    assert once.columns == pieces.decode(pieces.encode(docs, table), table).columns
+    assert sorted(map(str, once.collect())) == sorted(map(str, back))
+    assert pieces.encode(empty, table).count() == pieces.encode_and_decode(empty, table).count() == 0
     assert table.decode([]) == "" and table.decode([table.byte_ids[0xFF]]) == "�"
 
 
