@@ -39,7 +39,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_chars, ids, n_tokens and the hash of the text decoded from the ids."""
     model = pieces.load(tokenizer_path(PIECE_MODEL))
-    back = pieces.decode(pieces.encode(docs, model), model)
+    back = pieces.encode_and_decode(docs, model)
     return back.select("doc_id", "lang", "source", "n_chars", "ids", F.size("ids").cast("long").alias("n_tokens"),
                        F.sha2("text", 256).alias("decoded_sha256"))
 
