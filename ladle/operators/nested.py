@@ -79,36 +79,36 @@ def _menu(restaurants: DataFrame, categories: DataFrame, items: DataFrame, fallb
           include_empty_fallback: bool) -> DataFrame:
     """Shared body of N3/N4: categories with items, plus a group for items
     with no category (NULL or 0), and -- for N3 -- the all-items fallback for
-    restaurants that would otherwise show nothing."""
+    restaurants that would otherwise show nothing.
+
+    Items are grouped once, by restaurant and category.  A full join with the
+    categories tells the groups apart: those of a category (or empty), those
+    without a category, and strays whose category is not the restaurant's.  A
+    restaurant that shows nothing has strays only, so they are its fallback."""
     big = F.lit(9_223_372_036_854_775_807)
-    per_cat = (items.where(~uncategorised()).groupBy("category_id", "restaurant_id")
-               .agg(F.array_sort(F.collect_list(_item())).alias("items")))
-    cats = (categories.join(per_cat, (categories["id"] == per_cat["category_id"])
-                            & (categories["restaurant_id"] == per_cat["restaurant_id"]), "left")
-            .select(categories["restaurant_id"].alias("rid"), categories["id"].alias("cid"),
-                    categories["name"].alias("cname"),
-                    F.coalesce(F.col("items"), F.array().cast(MENU_ITEMS_EMPTY)).alias("items")))
-    loose = (items.where(uncategorised()).groupBy(F.col("restaurant_id").alias("rid"))
-             .agg(F.array_sort(F.collect_list(_item())).alias("items"))
-             .select("rid", F.lit(None).cast("bigint").alias("cid"), F.lit(fallback_label).alias("cname"), "items"))
-    groups = cats.unionByName(loose)
-    per_rest = groups.groupBy("rid").agg(
-        F.array_sort(F.collect_list(F.struct(F.coalesce("cid", big).alias("k"), F.col("cid").alias("id"),
-                                             F.col("cname").alias("name"), "items"))).alias("cs"))
-    cats_col = F.transform("cs", lambda c: F.struct(c["id"].alias("id"), c["name"].alias("name"),
-                                                    c["items"].alias("items")))
-    out = restaurants.join(per_rest.select("rid", cats_col.alias("categories")),
-                           restaurants["id"] == F.col("rid"), "left").drop("rid")
-    cat_type = ("array<struct<id:bigint,name:string,items:" + MENU_ITEMS_EMPTY + ">>")
+    groups = (items.groupBy(F.col("restaurant_id").alias("grid"),
+                            F.when(~uncategorised(), F.col("category_id")).alias("gcid"))
+              .agg(F.array_sort(F.collect_list(_item())).alias("gitems")))
+    cats = categories.select(F.col("restaurant_id").alias("crid"), F.col("id").alias("cid"),
+                             F.col("name").alias("cname"), F.lit(True).alias("listed"))
+    both = cats.join(groups, (F.col("crid") == F.col("grid")) & (F.col("cid") == F.col("gcid")), "full")
+    shown = F.col("listed").isNotNull() | F.col("gcid").isNull()
+    group = F.struct(F.coalesce("cid", big).alias("k"), F.col("cid").alias("id"),
+                     F.when(F.col("listed"), F.col("cname")).otherwise(F.lit(fallback_label)).alias("name"),
+                     F.coalesce(F.col("gitems"), F.array().cast(MENU_ITEMS_EMPTY)).alias("items"))
+    aggs = [F.array_sort(F.collect_list(F.when(shown, group))).alias("cs")]
     if include_empty_fallback:
-        every = (items.groupBy(F.col("restaurant_id").alias("rid2"))
-                 .agg(F.array_sort(F.collect_list(_item())).alias("all_items")))
-        out = out.join(every, out["id"] == every["rid2"], "left").drop("rid2")
-        fallback = F.when(F.col("all_items").isNotNull(), F.array(F.struct(
-            F.lit(None).cast("bigint").alias("id"), F.lit(fallback_label).alias("name"),
-            F.col("all_items").alias("items")))).otherwise(F.array().cast(cat_type))
-        out = out.withColumn("categories", F.when(F.coalesce(F.size("categories"), F.lit(0)) > 0,
-                                                  F.col("categories")).otherwise(fallback)).drop("all_items")
+        aggs.append(F.array_sort(F.flatten(F.collect_list(F.when(~shown, F.col("gitems"))))).alias("strays"))
+    per_rest = both.groupBy(F.coalesce("crid", "grid").alias("rid")).agg(*aggs)
+    menu = F.transform("cs", lambda c: F.struct(c["id"].alias("id"), c["name"].alias("name"),
+                                                c["items"].alias("items")))
+    if include_empty_fallback:
+        fallback = F.array(F.struct(F.lit(None).cast("bigint").alias("id"), F.lit(fallback_label).alias("name"),
+                                    F.col("strays").alias("items")))
+        menu = F.when((F.size("cs") == 0) & (F.size("strays") > 0), fallback).otherwise(menu)
+    cat_type = ("array<struct<id:bigint,name:string,items:" + MENU_ITEMS_EMPTY + ">>")
+    out = restaurants.join(per_rest.select("rid", menu.alias("categories")),
+                           restaurants["id"] == F.col("rid"), "left").drop("rid")
     return out.withColumn("categories", F.coalesce(F.col("categories"), F.array().cast(cat_type)))
 
 
