@@ -10,7 +10,7 @@ from ladle.operators import windows as W
 from ladle.plans import catalog
 from ladle.plans.compare import compare, duck_connect
 from ladle.sources.domain import Domain
-from ladle.sources.sinks import numbers
+from ladle.sources.sinks import numbers, run_to_files
 from ladle.sources.staging import scratch
 from ladle.streaming import streams as X
 from ladle.streaming.keyed import all_versions, newest, run_updates
@@ -71,3 +71,24 @@ def test_only_committed_batches_are_read(spark):
     versions.where("epoch = 2").drop("epoch").withColumn("n", F.lit(-1).cast("bigint")).write.parquet(f"{root}/rows/epoch=3")
     again = all_versions(spark, root, versions.drop("epoch").schema)
     assert _rows(newest(again, "restaurant_id")) == want
+
+
+def test_a_deal_is_as_many_files_as_its_rows_need(spark):
+    """With a small partition size a deal is cut; without, it is one file.  Either way all rows arrive."""
+    from types import SimpleNamespace
+    rows = spark.range(0, 200_000, 1, 8).selectExpr("id", "uuid() as text")
+    a = X.Arrivals(SimpleNamespace(spark=spark), files=2)
+    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    old = spark.conf.get(size)
+    try:
+        spark.conf.set(size, "1m")
+        cut = a.stream(rows, "cut")
+    finally:
+        spark.conf.set(size, old)
+    whole = a.stream(rows, "whole")
+    for stream, few in ((cut, False), (whole, True)):
+        top = scratch(spark, "deals")
+        run_to_files(stream, f"{top}/rows", f"{top}/checkpoint")
+        got = spark.read.schema(rows.schema).parquet(f"{top}/rows")
+        assert got.count() == 200_000 and got.select("id").distinct().count() == 200_000
+        assert (len(got.inputFiles()) <= 4) == few
