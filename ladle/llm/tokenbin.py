@@ -25,7 +25,7 @@ import re
 import struct
 import uuid
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -41,10 +41,13 @@ SKIPPABLE = 0x184D2A5E
 FOOTER = struct.Struct("<IIQQ8s")  # crc32 of the block, frames, documents, block length, magic
 FRAME = np.dtype([("size", "<u8"), ("ids", "<u8"), ("docs", "<u8"), ("crc", "<u4")])
 DOC = np.dtype([("id", "<i8"), ("ids", "<u8"), ("null", "u1")])
-CACHE = 600_000
+CACHE = 500_000  # chunks in one generation of an encoder's cache
+LONGEST = 64  # characters of the longest chunk that is kept
 
-_PLAIN = re.compile(r"[A-Za-z0-9À-ÖØ-öø-ÿ!-&(-/:-@\[-`{-~ \n]+")
-_WORDS = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[!-&(-/:-@\[-`{-~]+|\n")
+_LETTERS, _MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", r"!-&(-/:-@\[-`{-~"
+_PLAIN = re.compile(rf"[{_LETTERS}0-9{_MARKS} \n]+")
+_WORDS = re.compile(rf" ?[{_LETTERS}]+| ?[0-9]+| ?[{_MARKS}]+|\n")
+_WORD_MARKS = re.compile(rf"([{_LETTERS}]+|[0-9]+)?([{_MARKS}]*)")
 _SPLIT = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -57,14 +60,43 @@ def _byte_letters() -> dict[int, str]:
     return table
 
 
+class _NoBorder(Exception):
+    """The space before a chunk may not be a border."""
+
+
+class _Kept(dict):
+    """Values of ``make`` by text, in two generations.
+
+    When the newer one has ``size`` values it becomes the older, whose values
+    come back as they are used: rare texts leave and frequent ones stay.
+    """
+
+    def __init__(self, make: Callable[[str], bytes], size: int):
+        super().__init__()
+        self.make, self.size, self.older = make, size, {}
+
+    def __missing__(self, text: str) -> bytes:
+        value = self.older.get(text)
+        if value is None:
+            value = self.make(text)
+            if len(text) > LONGEST:
+                return value
+        if len(self) >= self.size:
+            self.older = dict(self)
+            self.clear()
+        self[text] = value
+        return value
+
+
 class CachedEncoder:
-    """Byte-level BPE ids by the tokenizers library, each distinct chunk encoded once.
+    """Byte-level BPE ids by the tokenizers library, each frequent chunk encoded once.
 
     The pre-tokenizer always cuts before a space that stands between two
     characters that are not white space, so a text is encoded chunk by chunk.
     Chunks of plain words, numbers and marks are cut into words here, and the
     library's model gives each distinct word's ids; any other chunk goes
-    through the whole tokenizer.  At most ``CACHE`` chunks and words are kept.
+    through the whole tokenizer.  Two generations of at most ``CACHE`` chunks
+    that follow a space, and of a quarter as many other words, are kept.
     """
 
     def __init__(self, path: str):
@@ -73,47 +105,44 @@ class CachedEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
-        self.chunks: dict[str, bytes | None] = {}
-        self.words: dict[str, bytes] = {}
+        self.chunks = _Kept(self._later, CACHE)
+        self.words = _Kept(self._word, max(1, CACHE // 4))
 
     def _word(self, word: str) -> bytes:
-        ids = self.words.get(word)
-        if ids is None:
-            if len(self.words) > CACHE:
-                self.words.clear()
+        if word.isascii():  # words hold no other unprintable characters
+            shown = word.replace(" ", "Ġ").replace("\n", "Ċ")
+        else:
             shown = "".join([self.letters[b] for b in word.encode()])
-            ids = self.words[word] = np.array([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
-        return ids
+        ids = [t.id for t in self.model.tokenize(shown)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _chunk(self, chunk: str) -> bytes:
         if _PLAIN.fullmatch(chunk) and "<|" not in chunk and "\n\n" not in chunk and " " not in chunk[1:]:
             parts = _WORDS.findall(chunk)
             if sum(map(len, parts)) == len(chunk):
-                return b"".join([self._word(p) for p in parts])
+                return b"".join([self.chunks[p[1:]] if p[0] == " " else self.words[p] for p in parts])
         return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _later(self, chunk: str) -> bytes | None:
-        """Ids of a chunk that a space precedes; None if that space may not be a border."""
+    def _later(self, chunk: str) -> bytes:
+        """Ids of a chunk that a space precedes, that space included."""
         if not chunk or chunk[0].isspace() or chunk[-1].isspace():
-            return None
-        return self._chunk(" " + chunk)
+            raise _NoBorder
+        plain = _WORD_MARKS.fullmatch(chunk)
+        if plain is None:
+            return self._chunk(" " + chunk)
+        word, marks = plain.groups()
+        return self.chunks[word] + self.words[marks] if word and marks else self._word(" " + chunk)
 
     def encode(self, text: str) -> bytes:
         """The ids of a whole text as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
-        known = self.chunks
-        if len(known) > CACHE:
-            known.clear()
-        parts = text.split(" ")
-        head = parts[0]
+        head, *parts = text.split(" ")
         if head and not head[-1].isspace():
-            for p in parts[1:]:
-                if p not in known:
-                    known[p] = self._later(p)
-            ids = [known[p] for p in parts[1:]]
-            if None not in ids:
-                return self._chunk(head) + b"".join(ids)
+            try:
+                return self._chunk(head) + b"".join(map(self.chunks.__getitem__, parts))
+            except _NoBorder:
+                pass
         parts = _SPLIT.split(text)
         return self._chunk(parts[0]) + b"".join([self._chunk(" " + p) for p in parts[1:]])
 

@@ -176,6 +176,28 @@ def test_reader_decompresses_only_what_it_needs_and_checks_it():
     assert plain == b"".join(data)
 
 
+def test_encoder_keeps_frequent_words_and_not_long_chunks(monkeypatch):
+    from tokenizers import Tokenizer
+    path = queries.tokenizer_path(queries.BYTE_BPE)
+    monkeypatch.setattr(tokenbin, "CACHE", 200)
+    e, tok = tokenbin.CachedEncoder(path), Tokenizer.from_file(path)
+    model, asked = e.model, Counter()
+
+    class Counted:
+        def tokenize(self, word):
+            asked[word] += 1
+            return model.tokenize(word)
+
+    e.model = Counted()
+    rare = vocabulary(4000, seed=8)
+    text = " ".join(f"{w}r frequent, {w}s" for w in rare) + " " + "long" * 50 + " end"
+    want = np.array(tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert e.encode(text) == e.encode(text) == want
+    assert asked["Ġfrequent"] == asked[","] == 1  # rare words fill the cache some 80 times
+    kept = [*e.chunks, *e.chunks.older, *e.words, *e.words.older]
+    assert len(kept) <= 2 * (200 + 50) and max(map(len, kept)) <= tokenbin.LONGEST
+
+
 def test_cached_encoder_equals_the_tokenizer():
     from tokenizers import Tokenizer
     path = queries.tokenizer_path(queries.BYTE_BPE)
