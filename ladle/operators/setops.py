@@ -41,10 +41,20 @@ def newest_first(df: DataFrame, ts: str = "created_at", k: int | None = None) ->
     return out if k is None else out.limit(k)
 
 
+NAMES_BYTES = 32 << 20
+
+
+def _names(restaurants: DataFrame) -> DataFrame:
+    """Ids and names; broadcast if they measure at most ``NAMES_BYTES``, so that orders need no shuffle by restaurant."""
+    names = restaurants.select("id", "name")
+    size = names.agg(F.sum(F.coalesce(F.octet_length("name"), F.lit(0)) + F.lit(32).cast("bigint"))).first()[0] or 0
+    return F.broadcast(names) if size <= NAMES_BYTES else names
+
+
 def customer_order_history(d) -> DataFrame:
     """Food (with restaurant name) and produce orders of every customer, each
     with ``items[]`` (U2).  Filter ``customer_id`` for one customer."""
-    food = orders_with_items(orders_with_restaurant(d.food_orders, d.restaurants), d.order_items, d.menu_items)
+    food = orders_with_items(orders_with_restaurant(d.food_orders, _names(d.restaurants)), d.order_items, d.menu_items)
     prod = produce_orders_with_items(d.produce_orders, d.produce_order_items, d.produce_items, detail=False)
     cols = dict(ORDER_COLUMNS, items="array<struct<item_id:bigint,name:string,quantity:double,unit_price:double>>")
     return union_orders(food, prod, cols)

@@ -129,9 +129,17 @@ def audit_read(spark: SparkSession, path: str, first: str | None = None, last: s
 TIMES = {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
 
 
-def json_export(df: DataFrame, path: str) -> None:
-    """Rows as JSON records, nested arrays kept (A4)."""
-    df.write.mode("errorifexists").options(**TIMES).json(path)
+EXPORT_ROWS = 1_000_000
+
+
+def json_export(df: DataFrame, path: str, compression: str = "gzip") -> None:
+    """Rows as JSON records, nested arrays kept (A4).
+
+    The field names and digits of every record make plain files many times as
+    large as the rows, so they are packed; ``compression="none"`` writes plain
+    ones.  One task reads a packed file, so a file has at most ``EXPORT_ROWS`` records."""
+    (df.write.mode("errorifexists").option("compression", compression).option("maxRecordsPerFile", EXPORT_ROWS)
+     .options(**TIMES).json(path))
 
 
 def json_import(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

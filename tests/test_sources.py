@@ -2,8 +2,10 @@
 committed snapshots, partitioned audit append."""
 
 import datetime as dt
+import gzip
 import json
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
@@ -105,3 +107,18 @@ def test_nested_export_reads_back_equal(spark):
                                "id long, items array<struct<a:long,b:double>>, t timestamp_ntz")
     sinks.json_export(df, path)
     assert sorted(map(repr, sinks.json_import(spark, path, df.schema).collect())) == sorted(map(repr, df.collect()))
+
+
+def test_export_is_packed_and_bounded_by_file(spark, monkeypatch):
+    path = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    monkeypatch.setattr(sinks, "EXPORT_ROWS", 400)
+    df = spark.range(1000).select("id", F.lit("Confirmed").alias("status"), F.array(F.col("id") * 0.1).alias("items")).coalesce(1)
+    sinks.json_export(df, f"{path}/packed")
+    sinks.json_export(df, f"{path}/plain", compression="none")
+    packed, plain = ([f for f in Path(path, k).iterdir() if f.name.startswith("part-")] for k in ("packed", "plain"))
+    assert len(packed) == len(plain) == 3  # 400, 400 and 200 records
+    assert all(f.name.endswith(".json.gz") for f in packed)
+    assert 4 * sum(f.stat().st_size for f in packed) < sum(f.stat().st_size for f in plain)
+    lines = [line for f in packed for line in gzip.open(f, "rt")]
+    assert sorted(json.loads(line)["id"] for line in lines) == [*range(1000)]
+    assert sorted(map(tuple, sinks.json_import(spark, f"{path}/packed", df.schema).collect())) == sorted(map(tuple, df.collect()))
