@@ -43,15 +43,24 @@ def instant(c: str) -> Column:
 class Arrivals:
     """Streams of a domain's rows: every table is laid out as ``files`` deals by a hash of the row's id, and read
     ``per_trigger`` deals' worth of files at a time.  A deal is one file, or as many of AQE's partition size as its rows
-    need, so that no task writes or reads more.  Rows are dealt without regard to time, so they come out of order."""
+    need, so that no task writes or reads more.  Rows are dealt without regard to time, so they come out of order.
+    Queries over the same table read the same files."""
 
     def __init__(self, domain, files: int = 2, per_trigger: int = 1):
         self.d, self.files, self.per_trigger = domain, files, per_trigger
+        self._laid: dict[tuple[str, str], tuple[DataFrame, str]] = {}
+
+    def _lay(self, rows: DataFrame, name: str, key: str) -> str:
+        laid = self._laid.get((name, key))
+        if laid is None or laid[0] is not rows:
+            path = scratch(self.d.spark, f"arriving-{name}")
+            dealt = rows.withColumn("deal", F.pmod(F.xxhash64(key), F.lit(self.files)))
+            dealt.hint("rebalance", "deal").write.partitionBy("deal").parquet(path)
+            laid = self._laid[name, key] = rows, path
+        return laid[1]
 
     def stream(self, rows: DataFrame, name: str, key: str = "id") -> DataFrame:
-        spark, path = self.d.spark, scratch(self.d.spark, f"arriving-{name}")
-        dealt = rows.withColumn("deal", F.pmod(F.xxhash64(key), F.lit(self.files)))
-        dealt.hint("rebalance", "deal").write.partitionBy("deal").parquet(path)
+        spark, path = self.d.spark, self._lay(rows, name, key)
         parts = len(spark.read.schema(rows.schema).option("recursiveFileLookup", True).parquet(path).inputFiles())
         at_once = max(1, -(-parts * self.per_trigger // self.files))
         return (spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", at_once)
@@ -216,7 +225,7 @@ def stream_order_status(a: Arrivals, within: str = "2 hours") -> DataFrame:
     given = d.food_orders.where(F.col("rider_id").isNotNull()).select(
         F.col("id").alias("order_id"), "rider_id", F.timestamp_add("MINUTE", F.lit(25), F.col("created_at")).alias("assigned_at"))
     top = scratch(spark, "tracking")
-    status = a.stream(a.changes_table.where(F.col("order_type") == "food").select("id", "seq", "changed_at"), "status").select(
+    status = a.changes().where(F.col("order_type") == "food").select(
         "id", "seq", instant("changed_at").alias("changed")).withWatermark("changed", within)
     riders = a.stream(given, "riders", "order_id").withColumn("assigned", instant("assigned_at")).withWatermark("assigned", within)
     near = (F.col("id") == F.col("order_id")) & (F.col("assigned") >= F.col("changed") - F.expr("interval 1 hour")) \
