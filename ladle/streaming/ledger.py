@@ -49,6 +49,7 @@ def settle_arrivals(spark: SparkSession, inbox: str, root: str, menu_items: Data
     """Settle every batch that has no marker, then return :func:`ledger`.  ``after_write(batch)`` is called between a
     batch's write and its marker (tests let a run die there)."""
     requests = receive(spark, inbox, root)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))  # one task reads a file, so a batch is dealt anew
     done = sinks.commits(spark, root)
     settled = {c.note for c in done}
     arrived = sorted(r.batch for r in requests.select("batch").distinct().collect())  # one name per arrived file
@@ -60,7 +61,7 @@ def settle_arrivals(spark: SparkSession, inbox: str, root: str, menu_items: Data
             state = Start(*[spark.read.parquet(f"{last}/{t}") for t in ("promo_codes", "loyalty_points", "produce_items")])
         else:
             state = start
-        s = S.settle(requests.where(F.col("batch") == batch).drop("batch"), menu_items, state.produce_items, state.promo_codes,
+        s = S.settle(requests.where(F.col("batch") == batch).drop("batch").repartition(parts, "request_id"), menu_items, state.produce_items, state.promo_codes,
                      state.loyalty_points, ui_adds_fee=ui_adds_fee)
         promos, loyalty, produce = S.carried(s, state.promo_codes, state.loyalty_points, state.produce_items)
         number = len(done) + 1
